@@ -19,7 +19,7 @@ def lookup(df: DataFrame, mapping: DataFrame, keys: Sequence[str], count_col: st
 
     The mapping is broadcast only if it is counted to be small.  A larger one is split: the
     ``HOT_KEYS`` most frequent keys are broadcast, so no task gets all rows of a hot key, and the
-    rest goes through a shuffle join.
+    rest goes through a shuffle join.  ``count_col`` holds the frequency and is not returned.
     """
     keys = list(keys)
     limit = BROADCAST_ROWS if broadcast_rows is None else broadcast_rows
@@ -33,6 +33,15 @@ def lookup(df: DataFrame, mapping: DataFrame, keys: Sequence[str], count_col: st
     if count_col is None:
         return df.join(small.hint("shuffle_merge"), on, "left").select(*out)
     hot = small.orderBy(F.desc("__n"), *[F.col(f"__k{i}") for i in range(len(keys))]).limit(HOT_KEYS)
-    hot_part = df.join(F.broadcast(hot), on, "inner").select(*out)
-    cold_part = df.join(F.broadcast(hot), on, "left_anti").join(small.hint("shuffle_merge"), on, "left").select(*out)
-    return hot_part.unionByName(cold_part)
+    hot = hot.select(*[F.col(f"__k{i}").alias(f"__h{i}") for i in range(len(keys))],
+                     F.lit(True).alias("__hot"), *[col(p).alias(f"__p{i}") for i, p in enumerate(payload)])
+    marked = df.join(F.broadcast(hot), [col(k).eqNullSafe(F.col(f"__h{i}")) for i, k in enumerate(keys)], "left")
+    # rows of hot keys already have their answer: a salt that matches nothing spreads them over all tasks
+    salt = F.when(F.col("__hot"), F.pmod(F.xxhash64(*[col(c) for c in df.columns]), F.lit(1_000_000)) + 1).otherwise(F.lit(0))
+    marked = marked.withColumn("__salt", salt)
+    cold = small.drop("__n").withColumn("__cold_salt", F.lit(0).cast("long")).hint("shuffle_merge")
+    joined = marked.join(cold, [*on, F.col("__salt") == F.col("__cold_salt")], "left")
+    return joined.select(
+        *[col(c) for c in df.columns],
+        *[F.when(F.col("__hot"), F.col(f"__p{i}")).otherwise(col(p)).alias(p) for i, p in enumerate(payload)],
+    )
