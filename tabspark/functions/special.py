@@ -17,8 +17,13 @@ _TINY = 1e-300
 _STEPS = 400
 _EPS = 1e-15
 
-_lgamma = np.vectorize(math.lgamma, otypes=[float])
-_erfc = np.vectorize(math.erfc, otypes=[float])
+
+def _lgamma(x):
+    return np.vectorize(math.lgamma, otypes=[float])(x)
+
+
+def _erfc(x):
+    return np.vectorize(math.erfc, otypes=[float])(x)
 
 
 def _arrays(*values):
