@@ -25,21 +25,21 @@ def lookup(df: DataFrame, mapping: DataFrame, keys: Sequence[str], count_col: st
     limit = BROADCAST_ROWS if broadcast_rows is None else broadcast_rows
     payload = [c for c in mapping.columns if c not in keys and c != count_col]
     small = mapping.select(*[col(k).alias(f"__k{i}") for i, k in enumerate(keys)], *[col(p) for p in payload],
-                           *([col(count_col).alias("__n")] if count_col else []))
+                           *([col(count_col).alias("__freq")] if count_col else []))
     on = [col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)]
     out = [*[col(c) for c in df.columns], *[col(p) for p in payload]]
     if small.limit(limit + 1).count() <= limit:
         return df.join(F.broadcast(small), on, "left").select(*out)
     if count_col is None:
         return df.join(small.hint("shuffle_merge"), on, "left").select(*out)
-    hot = small.orderBy(F.desc("__n"), *[F.col(f"__k{i}") for i in range(len(keys))]).limit(HOT_KEYS)
+    hot = small.orderBy(F.desc("__freq"), *[F.col(f"__k{i}") for i in range(len(keys))]).limit(HOT_KEYS)
     hot = hot.select(*[F.col(f"__k{i}").alias(f"__h{i}") for i in range(len(keys))],
                      F.lit(True).alias("__hot"), *[col(p).alias(f"__p{i}") for i, p in enumerate(payload)])
     marked = df.join(F.broadcast(hot), [col(k).eqNullSafe(F.col(f"__h{i}")) for i, k in enumerate(keys)], "left")
     # rows of hot keys already have their answer: a salt that matches nothing spreads them over all tasks
     salt = F.when(F.col("__hot"), F.pmod(F.xxhash64(*[col(c) for c in df.columns]), F.lit(1_000_000)) + 1).otherwise(F.lit(0))
     marked = marked.withColumn("__salt", salt)
-    cold = small.drop("__n").withColumn("__cold_salt", F.lit(0).cast("long")).hint("shuffle_merge")
+    cold = small.drop("__freq").withColumn("__cold_salt", F.lit(0).cast("long")).hint("shuffle_merge")
     joined = marked.join(cold, [*on, F.col("__salt") == F.col("__cold_salt")], "left")
     return joined.select(
         *[col(c) for c in df.columns],
