@@ -65,8 +65,9 @@ def with_range_bucket(df: DataFrame, keys: Sequence[str], code: str, buckets: in
 
 
 def ranked_counts(df: DataFrame, keys: Sequence[str], value: str, weight: str | None = None,
-                  rows: int | None = None, small: int | None = None) -> DataFrame:
+                  rows: int | None = None, small: int | None = None, carry: dict[str, Column] | None = None) -> DataFrame:
     """(keys, value, cnt, before, total): copies of each value, rows with a smaller value, rows of the key.
+    ``carry`` adds further aggregates per (keys, value).
 
     Null values are left out.  Copies are added up map-side first, so a value that holds a third of
     the rows travels as one row per task.
@@ -74,7 +75,9 @@ def ranked_counts(df: DataFrame, keys: Sequence[str], value: str, weight: str |
     keys = list(keys)
     small = SMALL_CELLS if small is None else small
     weighted = F.count(F.lit(1)) if weight is None else F.sum(weight)
-    counts = (df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(weighted.cast("long").alias("cnt")))
+    carried = list(carry or {})
+    counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(
+        weighted.cast("long").alias("cnt"), *[(carry or {})[c].alias(c) for c in carried])
     if rows is None:
         rows = df.count()
     if rows <= small and keys:
@@ -82,7 +85,7 @@ def ranked_counts(df: DataFrame, keys: Sequence[str], value: str, weight: str |
         return counts.select(
             *keys, value, "cnt",
             (F.sum("cnt").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("cnt")).alias("before"),
-            F.sum("cnt").over(Window.partitionBy(*keys)).alias("total"),
+            F.sum("cnt").over(Window.partitionBy(*keys)).alias("total"), *carried,
         )
     coded = counts.withColumn("__code", order_code(counts, value))
     bucketed = with_range_bucket(coded, keys, "__code", bucket_count(rows)).drop("__code")
@@ -104,7 +107,7 @@ def ranked_counts(df: DataFrame, keys: Sequence[str], value: str, weight: str |
     return bucketed.join(offsets, on).select(
         *keys, value, "cnt",
         (F.col("__offset") + F.sum("cnt").over(inside) - F.col("cnt")).alias("before"),
-        "total",
+        "total", *carried,
     )
 
 
