@@ -48,6 +48,13 @@ class Folds:
     def per_repeat(self) -> int:
         return self.n_folds // self.repeats
 
+    def persist(self) -> Folds:
+        self.table = self.table.persist()
+        return self
+
+    def unpersist(self) -> None:
+        self.table.unpersist()
+
     def split(self, fold: int) -> DataFrame:
         """All rows of the source with their ``split`` in one fold."""
         if not 0 <= fold < self.n_folds:
