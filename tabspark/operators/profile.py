@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from decimal import ROUND_HALF_UP, Decimal
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -60,6 +61,15 @@ def top_shares(df: DataFrame, columns: list[str], k: int = TOP) -> DataFrame:
     return both.select("name", "value", F.round(F.col("n") / F.lit(float(max(rows, 1))), 4).alias("share"))
 
 
+def rounded(value: float | None) -> float | None:
+    """Four digits, halves away from zero, as the SQL ``round`` does."""
+    if value is None or not math.isfinite(value):
+        return None if value is None or math.isnan(value) else float(value)
+    if abs(value) >= 1e15:
+        return float(value)
+    return float(Decimal(repr(float(value))).quantize(Decimal("0.0001"), ROUND_HALF_UP))
+
+
 def profile(df: DataFrame, datetime_format: str = "yyyy-MM-dd HH:mm:ss", columns: list[str] | None = None) -> DataFrame:
     """Profile of the table; three jobs whatever the number of columns.
 
@@ -89,22 +99,19 @@ def profile(df: DataFrame, datetime_format: str = "yyyy-MM-dd HH:mm:ss", columns
     # one row per column of the table
     shares = {r["name"]: r for r in distinct.join(top, "name").collect()}
 
-    def rounded(value):
-        return None if value is None or (isinstance(value, float) and math.isnan(value)) else round(float(value), 4)
-
     out = []
     for c in names:
         n = facts["n", c]
         nunique = shares[c]["nunique"] if c in shares else 0
-        top_10 = {t["value"]: round(t["n"] / rows, 4) for t in shares[c]["top"]} if c in shares else {}
+        top_10 = {t["value"]: rounded(t["n"] / rows) for t in shares[c]["top"]} if c in shares else {}
         others = n - sum(t["n"] for t in shares[c]["top"]) if c in shares else 0
         if others:
-            top_10["others"] = round(others / rows, 4)
-        rate = round((rows - n) / rows, 4) if rows else 0.0
+            top_10["others"] = rounded(others / rows)
+        rate = rounded((rows - n) / rows) if rows else 0.0
         q = quartiles.get(c, [None] * 3)
         out.append((
             c, df.schema[c].dataType.simpleString(), f"{rows - n} ({round(rate * 100, 2)}%)", nunique,
-            round(nunique / math.sqrt(n), 4) if n else 0.0,
+            rounded(nunique / math.sqrt(n)) if n else 0.0,
             bool(n and nunique == n and c not in floats), nunique == 1, top_10, n,
             *[rounded(facts.get((k, c))) for k in ("mean", "std", "min")], *[rounded(x) for x in q],
             *[rounded(facts.get((k, c))) for k in ("max", "skew", "kurt")],

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -40,3 +41,9 @@ def materialize(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: survives the loss of executors, and cuts the lineage of iterative jobs."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def shared_scratch(spark: SparkSession) -> str:
+    """A new folder for written intermediate tables, beside the checkpoints that all executors share."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{uuid.uuid4().hex}"
