@@ -48,20 +48,37 @@ def _splits(df: DataFrame, keys: Sequence[str], value: str, buckets: int) -> Dat
     return df.groupBy(*keys).agg(agg) if keys else df.agg(agg)
 
 
+def count_below(splits: Column, value: Column) -> Column:
+    """Number of split points below the value: its place in the sorted array.
+
+    (A lambda over the array would do, but join planning may copy a lambda's outer columns to the
+    wrong side of a join.)
+    """
+    spot = F.array_position(F.sort_array(F.array_append(splits, value)), value) - 1
+    return F.coalesce(spot, F.lit(0)).cast("int")
+
+
+def _literal_bucket(points: list[float], value: Column, first: int = 0) -> Column:
+    """The same number for constant split points, as a binary tree of comparisons that stays in codegen."""
+    if not points:
+        return F.lit(first)
+    mid = len(points) // 2
+    above = _literal_bucket(points[mid + 1:], value, first + mid + 1)
+    return F.when(value > F.lit(float(points[mid])), above).otherwise(_literal_bucket(points[:mid], value, first))
+
+
 def with_range_bucket(df: DataFrame, keys: Sequence[str], code: str, buckets: int, out: str = "__bucket") -> DataFrame:
     """Bucket number = how many split points of the row's key lie below the code."""
     keys = list(keys)
     splits = _splits(df.filter(F.col(code).isNotNull()), keys, code, buckets)
-    if keys:
-        on = [df[k].eqNullSafe(splits[k]) for k in keys]
-        joined = df.join(splits, on, "left")
-        for k in keys:
-            joined = joined.drop(splits[k])
-    else:
+    if not keys:
         points = (splits.first() or [None])[0] or []
-        joined = df.withColumn("__splits", F.array(*[F.lit(float(p)) for p in dict.fromkeys(points)]).cast("array<double>"))
-    bucket = F.size(F.filter(F.coalesce("__splits", F.array().cast("array<double>")), lambda s: s < F.col(code)))
-    return joined.withColumn(out, bucket).drop("__splits")
+        return df.withColumn(out, _literal_bucket(sorted(set(points)), F.col(code)))
+    on = [df[k].eqNullSafe(splits[k]) for k in keys]
+    joined = df.join(splits, on, "left")
+    for k in keys:
+        joined = joined.drop(splits[k])
+    return joined.withColumn(out, count_below(F.col("__splits"), F.col(code))).drop("__splits")
 
 
 def ranked_counts(df: DataFrame, keys: Sequence[str], value: str, weight: str | None = None,

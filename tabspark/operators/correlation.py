@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from tabspark.columns import aggregate_once, as_list, choose_numeric, col, numeric_columns
 from tabspark.functions import special
 from tabspark.functions.lookup import lookup
-from tabspark.functions.order_stats import SMALL_CELLS, ranked_counts, with_range_bucket
+from tabspark.functions.order_stats import count_below, ranked_counts, with_range_bucket
 from tabspark.session import materialize
 
 METHODS = ("pearson", "spearman", "kendall")
@@ -253,7 +253,7 @@ def _tie_aware_block(df: DataFrame, axis: str, blocks: int) -> DataFrame:
     at = F.array(*[F.lit(i / blocks) for i in range(1, blocks)])
     splits = df.groupBy("pair").agg(F.array_distinct(F.percentile_approx(axis, at, 10_000)).alias("__s"))
     joined = df.join(F.broadcast(splits), "pair")  # one row per pair of columns
-    below = F.size(F.filter("__s", lambda s: s < F.col(axis)))
+    below = count_below(F.col("__s"), F.col(axis))
     on_split = F.array_contains("__s", F.col(axis)).cast("int")
     return joined.withColumn(f"b{axis}", 2 * below + on_split).drop("__s")
 
