@@ -252,8 +252,15 @@ def pca_reducer(df: DataFrame, columns=None, n_components: int | None = None, va
     ratio = values / values.sum() if values.sum() > 0 else np.ones_like(values) / len(values)
     k = n_components or int(np.searchsorted(np.cumsum(ratio), min(variance_threshold, 1.0) - 1e-12) + 1)
     k = min(k, len(names))
+    shifted = F.array(*[_num(c) - float(shift[i]) for i, c in enumerate(names)])
+    whole = F.lit(True)
+    for c in names:
+        whole = whole & col(c).isNotNull()
+
     def score(j):
-        return sum(((_num(c) - float(shift[i])) * float(vectors[i, j]) for i, c in enumerate(names)), F.lit(0.0))
+        # one literal array per component: a sum of p products would make the plan p x k terms long
+        terms = F.zip_with(shifted, F.array(*[F.lit(float(v)) for v in vectors[:, j]]), lambda x, w: x * w)
+        return F.when(whole, F.aggregate(terms, F.lit(0.0), lambda acc, x: acc + x))
     return Transform({f"{prefix}{j}": score(j) for j in range(k)}, drop=list(names),
                      params={"variance": values[:k].tolist(), "ratio": ratio[:k].tolist(), "components": vectors[:, :k].T.tolist(), "mean": shift.tolist()})
 

@@ -27,8 +27,8 @@ def orders_key(spark, sf) -> DataFrame:
     return read(spark, sf, "orders", "o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")
 
 
-@query("""WITH n AS (SELECT count(*) AS n FROM orders), c AS (SELECT n, CAST(ceil((1 - 0.7 - 0.2) * CAST(n AS DOUBLE)) AS BIGINT) AS test FROM n),
-v AS (SELECT *, CAST(ceil(CAST(0.2 / (0.7 + 0.2) AS DOUBLE) * (n - test)) AS BIGINT) AS val FROM c) SELECT 0 AS fold, n - test - val AS train, val, test FROM v""")
+@query("""WITH n AS (SELECT count(*) AS n FROM orders), c AS (SELECT n, CAST(ceil((1::DOUBLE - 0.7::DOUBLE - 0.2::DOUBLE) * n) AS BIGINT) AS test FROM n),
+v AS (SELECT *, CAST(ceil(0.2::DOUBLE / (0.7::DOUBLE + 0.2::DOUBLE) * (n - test)) AS BIGINT) AS val FROM c) SELECT 0 AS fold, n - test - val AS train, val, test FROM v""")
 def simple_cv(spark, sf):
     return folds.simple_cv(orders_key(spark, sf), "o_orderkey", 0.7, 0.2).summary()
 
@@ -179,16 +179,12 @@ def pca_embeddings(spark, sf):
     df = read(spark, sf, "embeddings", "vec_id", "embedding")
     width = df.agg(F.max(F.size("embedding"))).first()[0]
     wide = df.select("vec_id", *[F.get("embedding", F.lit(i)).cast("double").alias(f"e{i}") for i in range(width)])
-    out = tr.pca_reducer(wide, [f"e{i}" for i in range(width)], variance_threshold=0.8).apply(wide)
-    names = [c for c in out.columns if c.startswith("pca")]
-    var = [F.var_samp(c) for c in names]
-    falling = F.lit(True)
-    for a, b in zip(var, var[1:]):
-        falling = falling & (a >= b)
-    centred = F.lit(True)
-    for c in names:
-        centred = centred & (F.abs(F.avg(c)) < 1e-8)
-    return out.agg(F.count(F.lit(1)).alias("n"), centred.alias("centred"), falling.alias("sorted_by_variance"))
+    fitted = tr.pca_reducer(wide, [f"e{i}" for i in range(width)], n_components=8)
+    out = fitted.apply(wide)
+    cells = F.array(*[F.struct(F.lit(i).alias("i"), F.col(f"pca{i}").alias("v")) for i in range(8)])
+    per = out.select(F.inline(cells)).groupBy("i").agg(F.count(F.lit(1)).alias("n"), F.avg("v").alias("m"), F.var_samp("v").alias("s"))
+    falls = per.agg(F.sort_array(F.collect_list(F.struct("i", "s"))).alias("x"), F.max("n").alias("n"), (F.max(F.abs("m")) < 1e-8).alias("centred"))  # 8 rows
+    return falls.select("n", "centred", (F.col("x.s") == F.sort_array("x.s", asc=False)).alias("sorted_by_variance"))
 
 
 @query("SELECT l_orderkey, l_linenumber, l_quantity, l_discount, l_tax, round(CASE WHEN l_tax = 0 THEN CASE WHEN l_discount > 0 THEN 1e300 END ELSE l_discount / l_tax END, 6) AS ratio, round(l_quantity * l_tax, 6) AS l_quantity_x_l_tax FROM lineitem")

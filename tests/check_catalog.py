@@ -2,6 +2,7 @@
 
 import math
 import os
+import signal
 import sys
 import time
 
@@ -54,7 +55,14 @@ def compare(spark, sf_dir, name, fn, sql):
     return False, f"{len(a)} vs {len(b)} rows, {sum(x != y for x, y in zip(a, b))} differ, e.g. {diff}", took
 
 
+LIMIT = int(os.environ.get("QUERY_SECONDS", "90"))
+
+
 def main():
+    def stop(*_):
+        raise TimeoutError(f"over {LIMIT} seconds")
+
+    signal.signal(signal.SIGALRM, stop)
     args = sys.argv[1:]
     sf_dir = args.pop(0) if args and args[0].startswith("/") else "/root/testdata/sf0.01"
     spark = local_session(8)
@@ -62,10 +70,12 @@ def main():
     queries, sql = entry_module.queries(), entry_module.oracle_sql()
     bad = []
     for name in args or queries:
+        signal.alarm(LIMIT)
         try:
             ok, note, took = compare(spark, sf_dir, name, queries[name], sql.get(name))
         except Exception as e:  # report and go on
             ok, note, took = False, f"{type(e).__name__}: {str(e)[:300]}", 0.0
+        signal.alarm(0)
         print(f"{'ok  ' if ok else 'FAIL'} {name:32s} {took:6.1f}s {note}", flush=True)
         if not ok:
             bad.append(name)
