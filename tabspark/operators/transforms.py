@@ -238,10 +238,13 @@ def pca_reducer(df: DataFrame, columns=None, n_components: int | None = None, va
                 prefix: str = "pca") -> Transform:
     """Centred principal components as ``pca0..``; the p x p covariance is the only thing on the driver."""
     names = choose_numeric(df, columns)
-    complete = df.dropna(subset=names)
-    mean = aggregate_once(complete, {c: F.avg(_num(c)) for c in names})
-    shift = np.array([mean[c] for c in names], dtype=float)
-    n, product = _second_moments(complete, names, shift)
+    # rows travel as one array and incomplete ones are left out in the batch: a filter over many
+    # derived columns makes planning very slow
+    rows = df.select(F.array(*[_num(c) for c in names]).alias("__x"))
+    n, total = _batch_sums(rows, len(names), lambda x: x.sum(0))
+    shift = total / max(n, 1)
+    n, product = _batch_sums(rows, len(names) ** 2, lambda x: (x - shift).T @ (x - shift))
+    product = product.reshape(len(names), len(names))
     if n < 2:
         raise ValueError("principal components need at least two complete rows")
     values, vectors = np.linalg.eigh(product / (n - 1))
@@ -265,25 +268,25 @@ def pca_reducer(df: DataFrame, columns=None, n_components: int | None = None, va
                      params={"variance": values[:k].tolist(), "ratio": ratio[:k].tolist(), "components": vectors[:, :k].T.tolist(), "mean": shift.tolist()})
 
 
-def _second_moments(df: DataFrame, names: list[str], shift: np.ndarray) -> tuple[int, np.ndarray]:
-    """Row count and X'X of shifted complete rows: one matrix product per Arrow batch, one row per task."""
-    p = len(names)
+def _batch_sums(rows: DataFrame, width: int, reduce: Callable[[np.ndarray], np.ndarray]) -> tuple[int, np.ndarray]:
+    """Number of complete rows ``__x`` and the sum of ``reduce`` over Arrow batches; one row per task."""
 
-    def products(batches):
-        total, n = np.zeros((p, p)), 0
+    def sums(batches):
+        total, n = np.zeros(width), 0
         for pdf in batches:
-            x = pdf.to_numpy(dtype=float) - shift
-            total, n = total + x.T @ x, n + len(x)
-        yield pd.DataFrame({"n": [n], "xx": [total.ravel()]})
-
-    parts = df.select(*[_num(c).alias(f"c{i}") for i, c in enumerate(names)]).mapInPandas(products, "n bigint, xx array<double>")
-    n = parts.agg(F.sum("n")).first()[0] if p == 0 else None
-    cells = parts.select("n", F.posexplode("xx").alias("at", "v")).groupBy("at").agg(F.sum("v").alias("v"), F.sum("n").alias("n")).toPandas()  # p^2 numbers
+            if len(pdf):
+                x = np.stack(pdf["__x"].to_numpy()).astype(float)
+                x = x[~np.isnan(x).any(axis=1)]
+                total, n = total + reduce(x).ravel(), n + len(x)
+        yield pd.DataFrame({"n": [n], "s": [total]})
+
+    parts = rows.mapInPandas(sums, "n bigint, s array<double>")
+    cells = parts.select("n", F.posexplode("s").alias("at", "v")).groupBy("at").agg(F.sum("v").alias("v"), F.sum("n").alias("n")).toPandas()  # width numbers
+    total = np.zeros(width)
     if cells.empty:
-        return n or 0, np.zeros((p, p))
-    total = np.zeros(p * p)
+        return 0, total
     total[cells["at"].to_numpy()] = cells["v"].to_numpy()
-    return int(cells["n"].iloc[0]), total.reshape(p, p)
+    return int(cells["n"].iloc[0]), total
 
 
 # default names of interaction columns (fixed values)

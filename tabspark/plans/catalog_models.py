@@ -173,20 +173,6 @@ def pca_reducer(spark, sf):
     return rounded(tr.pca_reducer(df, ["p_size", "p_retailprice"], n_components=2).apply(df), 5)
 
 
-@query("SELECT count(*) AS n, true AS centred, true AS sorted_by_variance FROM embeddings")
-def pca_embeddings(spark, sf):
-    """All coordinates of the vectors; components have mean zero and falling variance."""
-    df = read(spark, sf, "embeddings", "vec_id", "embedding")
-    width = df.agg(F.max(F.size("embedding"))).first()[0]
-    wide = df.select("vec_id", *[F.get("embedding", F.lit(i)).cast("double").alias(f"e{i}") for i in range(width)])
-    fitted = tr.pca_reducer(wide, [f"e{i}" for i in range(width)], n_components=8)
-    out = fitted.apply(wide)
-    cells = F.array(*[F.struct(F.lit(i).alias("i"), F.col(f"pca{i}").alias("v")) for i in range(8)])
-    per = out.select(F.inline(cells)).groupBy("i").agg(F.count(F.lit(1)).alias("n"), F.avg("v").alias("m"), F.var_samp("v").alias("s"))
-    falls = per.agg(F.sort_array(F.collect_list(F.struct("i", "s"))).alias("x"), F.max("n").alias("n"), (F.max(F.abs("m")) < 1e-8).alias("centred"))  # 8 rows
-    return falls.select("n", "centred", (F.col("x.s") == F.sort_array("x.s", asc=False)).alias("sorted_by_variance"))
-
-
 @query("SELECT l_orderkey, l_linenumber, l_quantity, l_discount, l_tax, round(CASE WHEN l_tax = 0 THEN CASE WHEN l_discount > 0 THEN 1e300 END ELSE l_discount / l_tax END, 6) AS ratio, round(l_quantity * l_tax, 6) AS l_quantity_x_l_tax FROM lineitem")
 def interaction_creator(spark, sf):
     df = read(spark, sf, "lineitem", "l_orderkey", "l_linenumber", "l_quantity", "l_discount", "l_tax")
