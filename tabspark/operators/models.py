@@ -77,7 +77,7 @@ def mlp(**params) -> ModelSpec:
     return ModelSpec("MLP", params)
 
 
-def estimator(spec: ModelSpec, task: str, n_classes: int, n_features: int, max_arity: int, validation: str | None = None):
+def estimator(spec: ModelSpec, task: str, n_classes: int, n_features: int, max_arity: int):
     """The Spark ML estimator of a preset; trees need as many bins as the widest category."""
     s = spec.settings
     names = {"featuresCol": "__features", "labelCol": "__label"}
@@ -99,8 +99,6 @@ def estimator(spec: ModelSpec, task: str, n_classes: int, n_features: int, max_a
         common.update(maxDepth=max(1, math.ceil(math.log2(int(s["num_leaves"])))), minInstancesPerNode=max(1, int(s["min_child_samples"])))
     else:
         common.update(maxDepth=int(s["depth"]), maxBins=max(bins, int(s["border_count"])))
-    if validation and n_classes <= 2:
-        common["validationIndicatorCol"] = validation
     if task == REGRESSION:
         return GBTRegressor(**common)
     if n_classes <= 2:
@@ -184,22 +182,18 @@ def class_labels(df: DataFrame, y_name: str) -> list[str]:
 
 
 def fit_model(train: DataFrame, features: Sequence[str], y_name: str, task: str, spec: ModelSpec, chain: Chain | None = None,
-              fitted: DataFrame | None = None, validation: DataFrame | None = None, fold: int = 0, labels: list[str] | None = None) -> FoldModel:
+              fitted: DataFrame | None = None, fold: int = 0, labels: list[str] | None = None) -> FoldModel:
     """Fit on training rows.  ``fitted`` are the training rows after ``chain`` (cross-fitted encoders give
-    them other values than ``chain.apply``); ``validation`` rows steer early stopping of boosted trees."""
+    them other values than ``chain.apply``).  Boosted trees run all their rounds: the library's own early
+    stop has no patience and ends after the first round that does not help."""
     chain = chain or Chain([])
     rows = chain.apply(train) if fitted is None else fitted
     dropped = set(train.columns) - set(features)
     usable = [c for c in rows.columns if c not in dropped and (c in numeric_columns(rows) or c in category_columns(rows))]
     last, numbers, texts = input_step(rows, usable)
     whole = Chain([*chain.steps, last])
-    ready = last.apply(rows).withColumn("__held_out", F.lit(False))
+    ready = last.apply(rows)
     labels = [] if task == REGRESSION else labels or class_labels(train, y_name)
-    if validation is not None and spec.flavor in BOOSTED:
-        ready = ready.unionByName(whole.apply(validation).withColumn("__held_out", F.lit(True)))
-        check = "__held_out"
-    else:
-        check = None
     label = col(y_name).cast("double") if task == REGRESSION else \
         (F.array_position(F.array(*[F.lit(v) for v in labels]), col(y_name).cast("string")) - 1).cast("double")
     ready = ready.withColumn("__label", label)
@@ -215,11 +209,10 @@ def fit_model(train: DataFrame, features: Sequence[str], y_name: str, task: str,
     assembler = VectorAssembler(inputCols=inputs, outputCol="__features", handleInvalid="keep")
     stages.append(assembler)
     ready = assembler.transform(ready)
-    kept = ["__features", "__label", *([check] if check else [])]
     n_classes = len(labels)
     if spec.flavor in BOOSTED and task == CLASSIFICATION and n_classes < 2:
         raise ValueError(f"{y_name} has a single class in fold {fold}")
-    fitted_model = estimator(spec, task, n_classes, len(inputs), arity, check).fit(ready.select(*kept))
+    fitted_model = estimator(spec, task, n_classes, len(inputs), arity).fit(ready.select("__features", "__label"))
     return FoldModel(spec.flavor, fold, y_name, task, whole, PipelineModel([*stages, fitted_model]), list(features),
                      [c.removeprefix("__i_") for c in inputs], labels, train.select(*[col(f) for f in features]).schema, spec.label)
 

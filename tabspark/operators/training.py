@@ -59,10 +59,10 @@ def cross_validate(table: ModelTable, folds: Folds, spec: ModelSpec, transforms:
 
     def one(job):
         fold, y = job
-        train, val = folds.train(fold), folds.val(fold)
+        train = folds.train(fold)
         train = train.drop(*[c for c in train.columns if c not in (*table.features, *table.targets, *folds.key)])
         chain, fitted = fit_chain(train, [lambda d, t=t: t(d, y) for t in transforms])
-        return fit_model(train, table.features, y, table.task, spec, chain, fitted, val, fold, labels.get(y))
+        return fit_model(train, table.features, y, table.task, spec, chain, fitted, fold, labels.get(y))
 
     jobs = [(f, y) for f in range(folds.n_folds) for y in table.targets]
     with ThreadPool(max(1, min(parallelism, len(jobs)))) as pool:

@@ -14,7 +14,7 @@ from tabspark.operators import transforms as tr
 from tabspark.operators.target import CLASSIFICATION, REGRESSION, x_y
 from tabspark.plans import jobs
 from tabspark.plans.catalog_tables import GAP, LINE_NUMBERS, QUERIES, SQL, gappy_orders, query, read, rounded, union_sql
-from tabspark.session import shared_scratch
+from tabspark.session import materialize, shared_scratch
 from tabspark.sources import runlog
 from tabspark.streaming import apply as streams
 
@@ -419,7 +419,7 @@ def cross_validate_perceptron(spark, sf):
     emb = read(spark, sf, "embeddings", "vec_id", "embedding", "label")
     width = emb.agg(F.max(F.size("embedding"))).first()[0]
     wide = emb.select("vec_id", "label", *[F.get("embedding", F.lit(i)).cast("double").alias(f"e{i}") for i in range(width)])
-    t = x_y(wide, "label", task=CLASSIFICATION, keep="vec_id")
+    t = x_y(materialize(wide), "label", task=CLASSIFICATION, keep="vec_id")
     return _check(training.cross_validate(t, _two_folds(t, "vec_id"), models.mlp(hidden=[16], epochs=30)))
 
 

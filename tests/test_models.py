@@ -101,7 +101,7 @@ def test_classification(data):
         training.cross_validate(reg, folds.k_fold(reg.df, "id", 2), models.mlp())
 
 
-def test_early_stopping_and_loss_curve(data):
+def test_loss_curve(data):
     pdf, df = data
     table = x_y(df.select("id", "a", "b", "c", "y"), "y", task="regression", keep="id")
     f = folds.simple_cv(table.df, "id", 0.6, 0.2)
