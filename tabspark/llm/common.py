@@ -40,7 +40,7 @@ def attach(rows: DataFrame, groups: DataFrame, key: str, weight: str) -> DataFra
     marked = rows.join(F.broadcast(hot), F.col(key) == F.col("__hk"), "left")
     salt = F.when(F.col("__hk").isNotNull(), F.lit(1) + F.pmod(F.monotonically_increasing_id(), F.lit(1 << 20))).otherwise(F.lit(0).cast("long"))
     marked = marked.withColumn("__salt", salt)
-    cold = groups.select(F.col(key).alias("__ck"), *[F.col(c).alias(f"__c_{c}") for c in payload], F.lit(0).cast("long").alias("__cs"))
+    cold = groups.select(F.col(key).alias("__ck"), *[F.col(c).alias(f"__c_{c}") for c in payload], F.pmod(F.col(weight).cast("long"), F.lit(1)).alias("__cs"))  # zero, but no constant that the optimizer would take out of the join key
     joined = marked.join(cold.hint("shuffle_merge"), (F.col(key) == F.col("__ck")) & (F.col("__salt") == F.col("__cs")), "left")
     return joined.select(*rows.columns, *[F.coalesce(F.col(f"__h_{c}"), F.col(f"__c_{c}")).alias(c) for c in payload])
 
