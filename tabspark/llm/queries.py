@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabspark.llm import decontamination, exact_dedup, line_dedup, near_dedup
+from tabspark.llm import decontamination, exact_dedup, line_dedup, near_dedup, toxicity
 from tabspark.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -79,3 +79,8 @@ comp AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a)
 SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept FROM comp LEFT JOIN n USING (doc_id)""")
 def op10_near_dedup(spark, sf):
     return near_dedup.near_dedup(table(spark, sf, "documents"))
+
+
+@query()
+def op9_toxicity(spark, sf):
+    return toxicity.report(table(spark, sf, "documents"), table(spark, sf, "labels"))

@@ -52,14 +52,15 @@ class Words:
     end: np.ndarray
     hash: np.ndarray  # equal words (A-Z lower-cased) have equal hashes
     first: np.ndarray  # per text: index of its first word; one more entry than texts
+    prefix: np.ndarray  # (lengths, words): hash of the first bytes of each word, 0 where the word is shorter
 
     def text_of(self) -> np.ndarray:
         """Per word: index of its text."""
         return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
 
 
-def words(data: np.ndarray, offsets: np.ndarray, byte_class: np.ndarray) -> Words:
-    """Maximal runs of bytes of a class inside each text."""
+def words(data: np.ndarray, offsets: np.ndarray, byte_class: np.ndarray, prefixes: tuple[int, ...] = ()) -> Words:
+    """Maximal runs of bytes of a class inside each text, and hashes of their prefixes of some lengths."""
     n = len(data)
     inside = byte_class[data]
     fresh = np.zeros(n + 1, bool)
@@ -72,7 +73,7 @@ def words(data: np.ndarray, offsets: np.ndarray, byte_class: np.ndarray) -> Word
     after = np.zeros(n, bool)
     after[:-1] = inside[1:]
     end = np.flatnonzero(inside & (~after | fresh[1:])) + 1
-    out = np.empty(len(start), U)
+    out, heads = np.empty(len(start), U), np.zeros((len(prefixes), len(start)), U)
     i = 0
     while i < len(start):  # blocks of words: the running sums stay small even in a very long text
         j = max(i + 1, int(np.searchsorted(end, start[i] + _BLOCK, "right")))
@@ -83,8 +84,11 @@ def words(data: np.ndarray, offsets: np.ndarray, byte_class: np.ndarray) -> Word
         np.cumsum(_VALUE[data[lo:hi]] * power[: hi - lo], out=sums[1:])
         s, e = start[i:j] - lo, end[i:j] - lo
         out[i:j] = mix((sums[e] - sums[s]) * back[s] + (e - s).astype(U) * U(0xA0761D6478BD642F))
+        for row, n in zip(heads, prefixes):
+            cut = np.minimum(s + n, hi - lo)
+            row[i:j] = np.where(e - s >= n, mix((sums[cut] - sums[s]) * back[s] + U(n * 0xE7037ED1A0B428DB % (1 << 64))), U(0))
         i = j
-    return Words(start, end, out, np.searchsorted(start, offsets))
+    return Words(start, end, out, np.searchsorted(start, offsets), heads)
 
 
 def grams(hashes: np.ndarray, k: int) -> np.ndarray:
