@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabspark.llm import decontamination, exact_dedup, line_dedup, near_dedup, quality, toxicity
+from tabspark.llm import decontamination, exact_dedup, license_scan, line_dedup, near_dedup, quality, toxicity
 from tabspark.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -89,3 +89,8 @@ def op9_toxicity(spark, sf):
 @query()
 def op8_quality(spark, sf):
     return quality.report(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
+@query()
+def op5_license_scan(spark, sf):
+    return license_scan.report(table(spark, sf, "documents"))
