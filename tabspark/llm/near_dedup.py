@@ -4,14 +4,14 @@ A document's set holds its distinct shingles of ``SHINGLE`` words.  Equal sets a
 set is summarised by ``COORDS`` minwise tokens.  In every tree a document goes down the paths of the
 tokens that are smallest under a hash of the node, and of the few more below a threshold, ``1 / similarity``
 paths on average; documents that go on together are a node.  Nodes of at most ``LEAF`` documents are compared
-exhaustively by their tokens, larger ones branch again.  What is still large after ``DEPTH`` levels is
-dense: it is cut into blocks that share pivots, and members that end up outside the node's main
-component are compared with every block.
+exhaustively by their tokens.  Larger ones are first cut into overlapping blocks, which are leaves too.
 
-Only confirmed links count: candidates are first a forest in each leaf, counted on full sets; after the
-components of these links are known, every pair of a leaf that lies in two components and is not plainly
-dissimilar (estimate below ``similarity - 4`` standard errors) is counted as well.  So no group of copies
-is expanded into its pairs, and no pair that meets in a leaf is lost to a cap.
+Only confirmed links count: candidates are first a forest in each leaf, counted on full sets, and their components
+are found.  A large node inside one component is done; of one with few members outside its main component, these are
+compared with every block; any other branches, ``DEPTH`` levels at most, after which the outsiders of what is
+still large meet all blocks as well.  At last every pair of a leaf that lies in two components and is not plainly
+dissimilar (estimate 4 standard errors below the similarity) is counted on full sets.  So no group of copies is expanded
+into its pairs, and no pair that meets in a node is lost to a cap.
 
 Null and blank texts have empty sets and are linked with nothing.  Rows of one doc_id are one node, linked by all
 their texts; a null doc_id is never linked and stays.  An empty table gives an empty result.
@@ -30,7 +30,8 @@ from tabspark.llm.common import attach, flat, pieces, saved, text_column
 from tabspark.llm.tokens import SOLID, grams, mix, words
 
 SHINGLE = 5
-TREES, COORDS, LEAF, DEPTH, PIVOTS = 12, 128, 24, 4, 3
+TREES, COORDS, LEAF, DEPTH = 12, 128, 24, 4
+FEW = 48  # members outside the main component of a large node that are compared with all of it instead of branching
 U32, U64 = np.uint32, np.uint64
 _SEEDS = mix(np.arange(1, 2 * COORDS + 1, dtype=U64))
 _A, _B = (_SEEDS[:COORDS] >> U64(32)).astype(U32) | U32(1), (_SEEDS[COORDS:] >> U64(32)).astype(U32)
@@ -158,20 +159,24 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """id, component (its smallest id) of every id in ``edges`` (a, b), by alternating large and small stars."""
-    now, mark = saved(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()), None
+    """id, component (its smallest id) of every id in ``edges`` (a, b).
+
+    Labels move along edges until none changes.  Forests of bounded leaves have small degrees and diameters, so a round
+    has no hot key; every fourth round labels also jump to the label of their label, which shortens long chains.
+    """
+    pairs = edges.where("a <> b")
+    both = saved(pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    labels, before, n = saved(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("component")).withColumnRenamed("a", "id")), None, 0
     while True:
-        state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % (1 << 31))).first()
-        if tuple(state) == mark:
-            return now.groupBy("a").agg(F.min("b").alias("component")).withColumnRenamed("a", "id").unionByName(
-                now.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())
-        mark = tuple(state)
-        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("__w"))
-        large = saved(attach(both, least, "a", "__w").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())
-        least = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("__w"))
-        small = attach(large, least, "a", "__w")
-        now = saved(small.select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").unionByName(least.select("a", F.col("m").alias("b"))).distinct())
+        total = labels.agg(F.sum(F.col("component").cast("decimal(38,0)"))).first()[0]
+        if total == before:
+            return labels
+        before, n = total, n + 1
+        moved = both.join(labels, F.col("b") == F.col("id")).select(F.col("a").alias("id"), "component").unionByName(labels)
+        labels = saved(moved.groupBy("id").agg(F.min("component").alias("component")))
+        if n % 4 == 0:
+            roots = labels.groupBy("component").agg(F.count("*").alias("__w")).join(labels.select(F.col("id").alias("component"), F.col("component").alias("__to")), "component")
+            labels = saved(attach(labels, roots, "component", "__w").select("id", F.least("component", F.coalesce("__to", "component")).alias("component")))
 
 
 def _with_members(leaves: DataFrame, reps: DataFrame, labels: DataFrame | None) -> DataFrame:
@@ -201,35 +206,31 @@ def links(docs: DataFrame, percent: int = 85, trees: int = TREES, depth: int = D
     reps = sets.select("digest", F.col("doc_id").alias("id"), "n_shingles", "tokens", "paths").join(one, ["digest", "id"]).dropDuplicates(["digest"])
     # a doc_id with several texts is several sets: compare the sets under ids of their own
     reps = saved(reps.withColumnRenamed("id", "doc_id").withColumn("id", F.monotonically_increasing_id()))
-    level, leaves, dense = reps.select("id", F.explode("paths").alias("node")).distinct(), [], None
-    for step in range(depth):
-        sizes = level.groupBy("node").agg(F.count("*").alias("size")).where("size > 1")
-        level = saved(attach(level, sizes, "node", "size").where("size is not null"))
-        leaves.append(level.where(F.col("size") <= leaf).select("node", "id"))
-        dense = level.where(F.col("size") > leaf)
-        if dense.isEmpty():
-            dense = None
-            break
-        if step + 1 < depth:
-            level = dense.join(reps.select("id", "tokens"), "id").select("id", "node", "tokens").mapInArrow(_branch(similarity), "node bigint, id bigint").distinct()
-    found = leaves[0]
-    for x in leaves[1:]:
-        found = found.unionByName(x)
-    blocks = None
-    if dense is not None:
-        blocks, shared = _blocks(dense, leaf)
-        blocks = saved(blocks)
-        found = found.unionByName(blocks.unionByName(shared).select(F.xxhash64("node", "block").alias("node"), "id").distinct())
-    leaf_sets = saved(_leaf_sets(found))
+    schema = "a bigint, b bigint"
+    small, dense = _nodes(reps.select("id", F.explode("paths").alias("node")).distinct(), leaf)
+    blocks = saved(_blocks(dense, leaf))
+    leaf_sets = saved(_leaf_sets(small.unionByName(blocks.select(F.xxhash64("node", "block").alias("node"), "id"))))
     needed = leaf_sets.select(F.explode("ids").alias("id")).distinct().join(reps.select("id", "doc_id", "digest"), "id")
     texts = saved(docs.select("doc_id", "text").join(needed, "doc_id").dropDuplicates(["id"]).select("id", "text")) if _unique(rows) else _own_texts(docs, needed)
-    schema = "a bigint, b bigint"
     first = saved(_confirmed(_with_members(leaf_sets, reps, None).mapInArrow(_pairs(similarity, True), schema).distinct(), texts, percent))
-    labels = saved(components(first))
+    labels = components(first)
     rest = leaf_sets
-    if blocks is not None:
-        rest = rest.unionByName(_outside(blocks, labels, leaf))
-    second = _confirmed(_with_members(rest, reps, labels).mapInArrow(_pairs(similarity, False), schema).distinct(), texts, percent)
+    for step in range(depth):
+        if dense.isEmpty():
+            break
+        # a large node within one component is done; few members outside its main one meet all blocks; else it branches
+        marked, main = _main(blocks, labels)
+        last = step + 1 == depth
+        few = main.where(F.lit(last) | ((F.col("odd") > 0) & (F.col("odd") <= FEW)))
+        rest = rest.unionByName(_outside(marked, few, leaf))
+        if last:
+            break
+        again = dense.join(main.where(F.col("odd") > FEW).select("node"), "node", "left_semi")
+        level = again.join(reps.select("id", "tokens"), "id").select("id", "node", "tokens").mapInArrow(_branch(similarity), "node bigint, id bigint").distinct()
+        small, dense = _nodes(level, leaf)
+        blocks = saved(_blocks(dense, leaf))
+        rest = rest.unionByName(_leaf_sets(small.unionByName(blocks.select(F.xxhash64("node", "block").alias("node"), "id"))))
+    second = _confirmed(_with_members(saved(rest.dropDuplicates(["leaf"])), reps, labels).mapInArrow(_pairs(similarity, False), schema).distinct(), texts, percent)
     known = labels.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(second)
     # sets of one doc_id belong together
     same = reps.groupBy("doc_id").agg(F.min("id").alias("b"), F.collect_list("id").alias("all")).where(F.size("all") > 1).select(F.explode("all").alias("a"), "b")
@@ -256,26 +257,36 @@ def _own_texts(docs: DataFrame, needed: DataFrame) -> DataFrame:
     return saved(marked.join(needed, ["doc_id", "digest"]).dropDuplicates(["id"]).select("id", "text"))
 
 
-def _blocks(dense: DataFrame, leaf: int) -> tuple[DataFrame, DataFrame]:
-    """Dense nodes cut into blocks of about half a leaf, and the pivots that all blocks of a node share."""
-    half = max(2, leaf // 2)
-    blocks = dense.select("node", "id", F.ceil(F.col("size") / half).cast("long").alias("n_blocks")).withColumn(
-        "block", F.pmod(F.xxhash64("node", "id"), F.col("n_blocks")))
-    pick = [F.min(F.struct(F.xxhash64("node", "id", F.lit(s)).alias("h"), "id")) for s in range(1, PIVOTS + 1)]
-    pivots = dense.groupBy("node").agg(F.array_distinct(F.transform(F.array(*pick), lambda x: x["id"])).alias("ids"), F.max(F.ceil(F.col("size") / half).cast("long")).alias("n_blocks"))
-    shared = pivots.select("node", F.explode("ids").alias("id"), "n_blocks").select("node", "id", "n_blocks", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)).alias("block"))
-    return blocks, shared
-
-
-def _outside(blocks: DataFrame, labels: DataFrame, leaf: int) -> DataFrame:
-    """Leaves that bring the members outside a dense node's main component together with every block of the node."""
-    marked = blocks.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    counted = marked.groupBy("node", "component").agg(F.count("*").alias("n"))
-    main = counted.groupBy("node").agg(F.max_by("component", F.struct("n", F.col("component"))).alias("main"), F.sum("n").alias("size"))
-    odd = attach(marked, main, "node", "size").where("component <> main")
-    chunks = odd.withColumn("chunk", F.pmod(F.xxhash64("id"), F.ceil(F.col("size") / leaf).cast("long")))
-    spread = chunks.select("node", "chunk", "id", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)).alias("block"))
-    own = spread.select("node", "block", "chunk").distinct().join(blocks.select("node", "block", "id"), ["node", "block"])
+def _nodes(level: DataFrame, leaf: int) -> tuple[DataFrame, DataFrame]:
+    """(node, id) of the nodes that can be compared exhaustively, and (node, id, size) of larger ones; lone members are gone."""
+    sizes = level.groupBy("node").agg(F.count("*").alias("size")).where("size > 1")
+    level = saved(attach(level, sizes, "node", "size").where("size is not null"))
+    return level.where(F.col("size") <= leaf).select("node", "id"), level.where(F.col("size") > leaf)
+
+
+def _blocks(dense: DataFrame, leaf: int) -> DataFrame:
+    """Large nodes cut into blocks of about half a leaf; each passes a quarter of its members on to the next block as well."""
+    h = F.xxhash64("node", "id")
+    cut = dense.select("node", "id", F.ceil(F.col("size") / max(2, leaf // 2)).cast("long").alias("n_blocks"), h.alias("h"))
+    own = F.pmod(F.col("h"), F.col("n_blocks"))
+    places = F.when(F.pmod(F.shiftright("h", 40), F.lit(4)) == 0, F.array(own, F.pmod(own + 1, F.col("n_blocks")))).otherwise(F.array(own))
+    return cut.select("node", "id", "n_blocks", F.explode(F.array_distinct(places)).alias("block"))
+
+
+def _main(blocks: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Members of large nodes with their components; and per node the component of most, and how many are outside it."""
+    marked = saved(blocks.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id")))
+    counted = marked.select("node", "id", "component").distinct().groupBy("node", "component").agg(F.count("*").alias("n"))
+    main = counted.groupBy("node").agg(F.max_by("component", F.struct("n", F.col("component"))).alias("main"), F.sum("n").alias("size"), F.max("n").alias("most"))
+    return marked, saved(main.select("node", "main", "size", (F.col("size") - F.col("most")).alias("odd")))
+
+
+def _outside(marked: DataFrame, main: DataFrame, leaf: int) -> DataFrame:
+    """Leaves that bring the members outside a large node's main component together with every block of the node."""
+    odd = attach(marked, main, "node", "size").where("component <> main").select("node", "id", "n_blocks", "odd").distinct()
+    chunks = odd.withColumn("chunk", F.pmod(F.xxhash64("id"), F.ceil(F.col("odd") / leaf).cast("long")))
+    spread = chunks.select("node", "chunk", "id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_blocks") - 1)).alias("block"))
+    own = spread.select("node", "block", "chunk").distinct().join(marked.select("node", "block", "id"), ["node", "block"])
     rows = spread.select("node", "block", "chunk", "id").unionByName(own.select("node", "block", "chunk", "id"))
     return _leaf_sets(rows.select(F.xxhash64("node", "block", "chunk").alias("node"), "id"))
 
