@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabspark.llm import decontamination, exact_dedup, html_extract, license_scan, line_dedup, lm_score, near_dedup, quality, toxicity
+from tabspark.llm import decontamination, exact_dedup, html_extract, license_scan, line_dedup, lm_score, near_dedup, quality, sentencepiece_codec, toxicity
 from tabspark.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -104,3 +104,8 @@ def op2_lm_score(spark, sf):
 @query()
 def op3_html_extract(spark, sf):
     return html_extract.extract(table(spark, sf, "pages"))
+
+
+@query()
+def op4_sentencepiece(spark, sf):
+    return sentencepiece_codec.report(table(spark, sf, "documents"))
