@@ -248,11 +248,14 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, field_ro
     bad, good = np.flatnonzero(toxic == 1), np.flatnonzero(toxic == 0)
     chosen = np.concatenate([bad[: field_rows // 2], good[: field_rows // 2]])
     f = fit_field([tokens_of[i] for i in chosen], toxic[chosen], seeds, useful)
-    x = []
-    for t in tokens_of:
-        first = np.array([0, t.shape[1]])
-        x.append(features(marginals(f.emissions(f.ids(t), first), first, f.moves)[0], first)[0])
-    f.doc = fit_logistic(np.array(x), toxic.astype(float))
+    x, part = [], []
+    for t in [*tokens_of, None]:  # texts are scored together, some hundred thousand tokens at a time
+        if t is None or sum(k.shape[1] for k in part) > 200_000:
+            first = np.concatenate([[0], np.cumsum([k.shape[1] for k in part])])
+            x.append(features(marginals(f.emissions(f.ids(np.hstack(part)), first), first, f.moves)[0], first))
+            part = []
+        part.append(t)
+    f.doc = fit_logistic(np.concatenate(x), toxic.astype(float))
     return f
 
 
