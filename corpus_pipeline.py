@@ -1,30 +1,60 @@
-"""Cleaning of a corpus in stages, each a whole pass over what the one before kept."""
+"""Cleaning of a corpus in stages, each a whole pass over what the one before kept.
+
+Documents that the toxicity model rejects go; lines that many documents share go; of every group of near duplicates the
+document with the smallest doc_id stays; documents that contain a benchmark passage go; what remains is tokenized, and
+the tokens are decoded again.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tabspark.llm import decontamination, line_dedup, near_dedup, sentencepiece_codec, toxicity
+from tabspark.session import shared_scratch
+
+ORACLE_SQL = None  # classification and tokenizing have no SQL form; the tests compare the stages with brute force
+
+
+def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
 
-from tabspark.llm.line_dedup import drop_repeated_lines
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    scored = toxicity.toxicity(docs, _read(spark, sf_dir, "labels"), spans=False)
+    return scored.where(F.col("__score") < toxicity.THRESHOLD).select(*docs.columns)
 
-ORACLE_SQL = None  # classification and tokenizing have no SQL form; the tests compare with brute force
 
+def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    out = line_dedup.drop_repeated_lines(docs)
+    return out.select(*[F.length("text").cast("bigint").alias(c) if c == "n_chars" else c for c in docs.columns])
 
-def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    out = drop_repeated_lines(docs)
-    return out.select(*docs.columns)
 
+def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return near_dedup.keep_one(docs)
 
-STAGES = [("line_dedup", line_dedup)]
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without any benchmark passage."""
+    out = decontamination.contamination(docs, _read(spark, sf_dir, "benchmark"))
+    return out.where(F.size("__items") == 0).select(*docs.columns)
+
+
+def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    model = sentencepiece_codec.load()
+    out = sentencepiece_codec.decode(sentencepiece_codec.encode(docs, model), model)
+    return out.select(*docs.columns, F.coalesce(F.size("__ids"), F.lit(0)).cast("bigint").alias("n_tokens"), F.col("__ids").alias("token_ids"),
+                      F.col("__decoded").alias("decoded"), F.col("text").eqNullSafe(F.col("__decoded")).alias("round_trip"))
+
+
+STAGES = [("toxicity", drop_toxic), ("line_dedup", dedup_lines), ("near_dedup", dedup_near), ("decontamination", decontaminate), ("sentencepiece", tokenize)]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; each is written and read again before the next."""
-    from tabspark.session import shared_scratch
-
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = _read(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        out = stage(spark, docs, sf_dir)
         path = f"{shared_scratch(spark)}/{name}.parquet"
-        out.write.parquet(path)
+        stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return docs
