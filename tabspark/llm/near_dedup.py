@@ -295,7 +295,7 @@ def near_dedup(docs: DataFrame, percent: int = 85, trees: int = TREES) -> DataFr
     """Per row: doc_id, n_shingles, component_id (smallest doc_id linked with it, itself included) and kept."""
     rows, classes = links(docs, percent, trees)
     out = attach(rows, classes, "digest", "n_rows")
-    component = F.coalesce("component_id", "doc_id")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
