@@ -26,7 +26,7 @@ from tabspark.llm.common import flat, pieces, text_column
 from tabspark.llm.supervised import fit_logistic, labelled_sample, logistic, remainder
 from tabspark.llm.tokens import ALNUM, Words, words
 
-MAX_ROWS, FIELD_ROWS = 6_000, 1_200
+MAX_ROWS, FIELD_ROWS = 3_000, 1_000
 THRESHOLD = 0.3
 FOLDS, HELD = 4, 2
 SEGMENT = 64
@@ -244,6 +244,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, field_ro
     if not len(rows) or not toxic.any():
         return None
     tokens_of = [r[2] for r in rows]
+    del rows
     seeds, useful = seed_attributes(tokens_of, toxic)
     bad, good = np.flatnonzero(toxic == 1), np.flatnonzero(toxic == 0)
     chosen = np.concatenate([bad[: field_rows // 2], good[: field_rows // 2]])
