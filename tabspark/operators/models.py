@@ -19,11 +19,11 @@ from pyspark.sql import types as T
 
 from tabspark.columns import SEED, aggregate_once, category_columns, col, numeric_columns
 from tabspark.operators.target import CLASSIFICATION, REGRESSION
-from tabspark.operators.transforms import Chain, TargetEncoding, Transform
+from tabspark.operators.transforms import BUILDERS, Chain, TargetEncoding, Transform, builder
 
 FLAVORS = ("RF", "XGB", "LGBM", "CAT", "MLP")
 BOOSTED = ("XGB", "LGBM", "CAT")
-MAX_LEVELS = 256
+MAX_LEVELS = 10_000  # default of the documented limit on levels of a text feature
 MAX_CLASSES = 1_000
 MISSING = "__missing__"
 
@@ -106,18 +106,25 @@ def estimator(spec: ModelSpec, task: str, n_classes: int, n_features: int, max_a
     return OneVsRest(classifier=GBTClassifier(**common), featuresCol="__features", labelCol="__label")
 
 
-def input_step(df: DataFrame, features: Sequence[str]) -> tuple[Transform, list[str], list[str]]:
-    """Last step before the vector: numbers get their mean where missing, texts a level of their own, and
-    texts with more than ``MAX_LEVELS`` levels are hashed to that many (tree bins grow with the levels)."""
+def input_step(df: DataFrame, features: Sequence[str], max_levels: int = MAX_LEVELS) -> tuple[Transform, list[str], list[str]]:
+    """Last step before the vector: numbers get their mean where missing, texts a level of their own.
+
+    A text with more than ``max_levels`` levels is refused by name: tree bins grow with the levels, and whether to
+    hash or encode such a column (``hash_encoder``, ``target_encoder``) is the caller's choice.
+    """
     numbers = [f for f in features if f in numeric_columns(df)]
     texts = [f for f in features if f in category_columns(df)]
-    facts = aggregate_once(df, {**{("m", c): F.avg(col(c).cast("double")) for c in numbers},
-                                **{("u", c): F.approx_count_distinct(col(c)) for c in texts}})
-    exprs: dict[str, Column] = {c: F.coalesce(col(c).cast("double"), F.lit(float(facts["m", c] or 0.0))) for c in numbers}
+    facts = aggregate_once(df, {c: F.avg(col(c).cast("double")) for c in numbers})
     for c in texts:
-        level = F.coalesce(col(c).cast("string"), F.lit(MISSING))
-        exprs[c] = F.pmod(F.xxhash64(level), F.lit(MAX_LEVELS)).cast("string") if facts["u", c] > MAX_LEVELS else level
-    return Transform(exprs), numbers, texts
+        if df.select(col(c)).distinct().limit(max_levels + 1).count() > max_levels:
+            raise ValueError(f"text feature {c} has more than {max_levels} levels: use hash_encoder or target_encoder, or raise max_levels")
+    return _build_inputs({}, means={c: float(facts[c] or 0.0) for c in numbers}, texts=texts), numbers, texts
+
+
+@builder
+def _build_inputs(means, texts):
+    exprs = {c: F.coalesce(col(c).cast("double"), F.lit(m)) for c, m in means.items()}
+    return Transform(exprs | {c: F.coalesce(col(c).cast("string"), F.lit(MISSING)) for c in texts})
 
 
 @dataclass
@@ -220,34 +227,21 @@ def fit_model(train: DataFrame, features: Sequence[str], y_name: str, task: str,
 # -- persistence ---------------------------------------------------------------------------------
 
 
-def _sql_of(df: DataFrame, exprs: Mapping[str, Column]) -> dict[str, str]:
-    """SQL text of column expressions, taken from the analysed projection over an empty table."""
-    if not exprs:
-        return {}
-    names = list(exprs)
-    plan = df.select(*[exprs[n].alias(f"e{i}") for i, n in enumerate(names)])._jdf.queryExecution().analyzed()
-    listed = plan.projectList()
-    return {n: listed.apply(i).child().sql() for i, n in enumerate(names)}
-
-
 def save_model(model: FoldModel, root: str, run_id: str) -> str:
     """``root/run_id/flavor_target_fold``: the ML pipeline, the transform chain and one JSON line of facts."""
     spark = SparkSession.getActiveSession()
     path = f"{root.rstrip('/')}/{run_id}/{model.flavor}_{model.y_name}_{model.fold}"
-    empty = spark.createDataFrame([], model.schema)
     steps = []
     for i, step in enumerate(model.chain.steps):
         if isinstance(step, TargetEncoding):
             step.table.write.mode("overwrite").parquet(f"{path}/step{i}")
             steps.append({"kind": "target", "columns": step.columns, "labels": step.labels, "prior": step.prior, "key": step.key, "seed": step.seed})
-        else:
-            joins = []
-            for j, (mapping, source, out, default) in enumerate(step.joins):
-                mapping.write.mode("overwrite").parquet(f"{path}/step{i}_{j}")
-                joins.append({"source": source, "out": out, "default": _sql_of(empty, {"d": default})["d"]})
-            joined = Transform(joins=step.joins).apply(empty) if step.joins else empty
-            steps.append({"kind": "columns", "exprs": _sql_of(joined, step.exprs), "drop": step.drop, "joins": joins})
-        empty = step.apply(empty)
+            continue
+        if not step.recipe:
+            raise ValueError(f"step {i} of the chain was not made by a registered transform and cannot be stored")
+        for j, (mapping, *_) in enumerate(step.joins):
+            mapping.write.mode("overwrite").parquet(f"{path}/step{i}_{j}")
+        steps.append({**step.recipe, "tables": len(step.joins)})
     facts = {"flavor": model.flavor, "fold": model.fold, "y_name": model.y_name, "task": model.task, "x_names": model.x_names,
              "inputs": model.inputs, "labels": model.labels, "schema": json.loads(model.schema.json()), "name": model.name, "steps": steps}
     model.pipeline.write().overwrite().save(f"{path}/pipeline")
@@ -262,8 +256,8 @@ def load_model(spark: SparkSession, path: str) -> FoldModel:
         if s["kind"] == "target":
             steps.append(TargetEncoding(spark.read.parquet(f"{path}/step{i}"), s["columns"], s["labels"], s["prior"], s["key"], s["seed"], {}))
         else:
-            joins = [(spark.read.parquet(f"{path}/step{i}_{j}"), x["source"], x["out"], F.expr(x["default"])) for j, x in enumerate(s["joins"])]
-            steps.append(Transform({n: F.expr(e) for n, e in s["exprs"].items()}, s["drop"], joins))
+            tables = [spark.read.parquet(f"{path}/step{i}_{j}") for j in range(s["tables"])]
+            steps.append(BUILDERS[s["kind"]](tables=tables, **s["values"]))
     return FoldModel(facts["flavor"], facts["fold"], facts["y_name"], facts["task"], Chain(steps), PipelineModel.load(f"{path}/pipeline"),
                      facts["x_names"], facts["inputs"], facts["labels"], T.StructType.fromJson(facts["schema"]), facts["name"])
 

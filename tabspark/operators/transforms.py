@@ -32,6 +32,7 @@ class Transform:
     drop: list[str] = field(default_factory=list)
     joins: list[tuple[DataFrame, str, str, Column]] = field(default_factory=list)
     params: dict = field(default_factory=dict)
+    recipe: dict = field(default_factory=dict)  # kind and fitted values (plain JSON) that rebuild the expressions
 
     def apply(self, df: DataFrame) -> DataFrame:
         for mapping, source, out, default in self.joins:
@@ -54,6 +55,20 @@ class Transform:
 
 
 Fitter = Callable[[DataFrame], Transform]
+BUILDERS: dict[str, Callable[..., Transform]] = {}
+
+
+def builder(fn: Callable[..., Transform]) -> Callable[..., Transform]:
+    """Register a function of fitted values: what is stored is its name and these values."""
+    kind = fn.__name__.removeprefix("_build_")
+
+    def build(params: dict | None = None, tables: Sequence[DataFrame] = (), **values) -> Transform:
+        out = fn(*([list(tables)] if tables else []), **values)
+        out.recipe, out.params = {"kind": kind, "values": values}, params if params is not None else values
+        return out
+
+    BUILDERS[kind] = build
+    return build
 
 
 class Chain(Transform):
@@ -87,7 +102,12 @@ def standard_scaler(df: DataFrame, columns=None) -> Transform:
     """(x - mean) / population deviation, 1 if there is none."""
     names = choose_numeric(df, columns)
     s = aggregate_once(df, {**{("m", c): F.avg(_num(c)) for c in names}, **{("s", c): F.stddev_pop(_num(c)) for c in names}})
-    return Transform({c: (_num(c) - F.lit(s["m", c])) / F.lit(s["s", c] or 1.0) for c in names}, params=s)
+    return _build_standard(s, columns={c: [s["m", c], s["s", c] or 1.0] for c in names})
+
+
+@builder
+def _build_standard(columns):
+    return Transform({c: (_num(c) - F.lit(m)) / F.lit(d) for c, (m, d) in columns.items()})
 
 
 def minmax_scaler(df: DataFrame, columns=None, feature_range: tuple[float, float] = (0.0, 1.0), clip: bool = False) -> Transform:
@@ -96,15 +116,17 @@ def minmax_scaler(df: DataFrame, columns=None, feature_range: tuple[float, float
         raise ValueError(f"feature_range must grow, got {feature_range}")
     names = choose_numeric(df, columns)
     s = aggregate_once(df, {**{("lo", c): F.min(_num(c)) for c in names}, **{("hi", c): F.max(_num(c)) for c in names}})
+    return _build_minmax(s, columns={c: [s["lo", c], s["hi", c]] for c in names if s["lo", c] is not None}, low=low, high=high, clip=clip)
+
+
+@builder
+def _build_minmax(columns, low, high, clip):
     out = {}
-    for c in names:
-        lo, hi = s["lo", c], s["hi", c]
-        if lo is None:
-            continue
+    for c, (lo, hi) in columns.items():
         scaled = (_num(c) - lo) / F.lit((hi - lo) or 1.0) * (high - low) + low
         # least/greatest skip nulls: guard them
         out[c] = F.when(col(c).isNotNull(), F.least(F.greatest(scaled, F.lit(low)), F.lit(high))) if clip else scaled
-    return Transform(out, params=s)
+    return Transform(out)
 
 
 def robust_scaler(df: DataFrame, columns=None, with_centering: bool = True, with_scaling: bool = True,
@@ -114,13 +136,17 @@ def robust_scaler(df: DataFrame, columns=None, with_centering: bool = True, with
         raise ValueError(f"quantile_range must lie within 0..100, got {quantile_range}")
     names = choose_numeric(df, columns)
     q = column_quantiles(df, names, [lo / 100, 0.5, hi / 100])
+    known = [c for c in names if q[c][0] is not None]
+    return _build_robust(q, columns={c: [q[c][1] if with_centering else None, ((q[c][2] - q[c][0]) or 1.0) if with_scaling else None] for c in known})
+
+
+@builder
+def _build_robust(columns):
     out = {}
-    for c in names:
-        if q[c][0] is None:
-            continue
-        value = _num(c) - q[c][1] if with_centering else _num(c)
-        out[c] = value / F.lit((q[c][2] - q[c][0]) or 1.0) if with_scaling else value
-    return Transform(out, params=q)
+    for c, (centre, scale) in columns.items():
+        value = _num(c) if centre is None else _num(c) - centre
+        out[c] = value if scale is None else value / F.lit(scale)
+    return Transform(out)
 
 
 _LOGS = {"e": F.ln, "10": F.log10, "2": F.log2}
@@ -132,20 +158,25 @@ def log_transformer(df: DataFrame, columns=None, base: str = "e", handle_negativ
         raise ValueError(f"base must be one of {sorted(_LOGS)}, got {base!r}")
     if handle_negative not in ("error", "shift", "clip"):
         raise ValueError(f"handle_negative must be error, shift or clip, got {handle_negative!r}")
-    names, log = choose_numeric(df, columns), _LOGS[base]
+    names = choose_numeric(df, columns)
     least = aggregate_once(df, {c: F.min(_num(c)) for c in names}) if handle_negative == "shift" else {}
-    out = {}
-    for c in names:
+    shifts = {c: abs(least[c]) + 1 if least.get(c) is not None and least[c] <= 0 else 0.0 for c in names}
+    return _build_log(least, columns=shifts, base=base, handle_negative=handle_negative)
+
+
+@builder
+def _build_log(columns, base, handle_negative):
+    out, log = {}, _LOGS[base]
+    for c, shift in columns.items():
         x = _num(c)
         if handle_negative == "shift":
-            shift = abs(least[c]) + 1 if least[c] is not None and least[c] <= 0 else 0.0
             out[c] = log(x + shift)
         elif handle_negative == "clip":
             out[c] = F.when(x <= 0, F.lit(float("-inf"))).otherwise(log(x))
         else:
             problem = F.raise_error(F.lit(f"column {c} has values that are not positive; use shift or clip")).cast("double")
             out[c] = F.when(x <= 0, problem).otherwise(log(x))
-    return Transform(out, params=least)
+    return Transform(out)
 
 
 def _power(x: Column, lam: float, method: str) -> Column:
@@ -195,12 +226,21 @@ def power_transformer(df: DataFrame, columns=None, method: str = "yeo-johnson",
             if 0 < best < points - 1:
                 half[c] *= 2 / (points - 1)
     lam = {c: round(centre[c], 9) for c in live}
-    out = {c: _power(_num(c), lam[c], method) for c in live}
+    moments, flat = {}, {}
     if standardize:
-        moments = aggregate_once(df, {**{("m", c): F.avg(e) for c, e in out.items()}, **{("s", c): F.stddev_pop(e) for c, e in out.items()}})
-        out = {c: (e - F.lit(moments["m", c])) / F.lit(moments["s", c] or 1.0) for c, e in out.items()}
-        out.update({c: _num(c) - F.lit(s["min", c]) for c in names if c not in live and s["n", c]})
-    return Transform(out, params={"lambda": lam})
+        powers = {c: _power(_num(c), lam[c], method) for c in live}
+        m = aggregate_once(df, {**{("m", c): F.avg(e) for c, e in powers.items()}, **{("s", c): F.stddev_pop(e) for c, e in powers.items()}})
+        moments = {c: [m["m", c], m["s", c] or 1.0] for c in live}
+        flat = {c: s["min", c] for c in names if c not in live and s["n", c]}
+    return _build_power({"lambda": lam}, exponents=lam, method=method, moments=moments, flat=flat)
+
+
+@builder
+def _build_power(exponents, method, moments, flat):
+    out = {c: _power(_num(c), x, method) for c, x in exponents.items()}
+    out.update({c: (out[c] - F.lit(m)) / F.lit(d) for c, (m, d) in moments.items()})
+    out.update({c: _num(c) - F.lit(low) for c, low in flat.items()})
+    return Transform(out)
 
 
 # edges of the named binning rules (fixed values)
@@ -229,9 +269,14 @@ def numerical_binner(df: DataFrame, columns=None, strategy: str = "3class", thre
         raise ValueError(f"unknown binning strategy {strategy!r}")
     if any(b <= a for a, b in zip(edges, edges[1:])):
         raise ValueError(f"bin edges must grow, got {edges}")
+    return _build_bins({"edges": edges}, columns=names, edges=[float(e) for e in edges])
+
+
+@builder
+def _build_bins(columns, edges):
     def code(c):
-        return F.when(col(c).isNotNull(), sum(((_num(c) > F.lit(float(e))).cast("int") for e in edges), F.lit(0)))
-    return Transform({c: code(c) for c in names}, params={"edges": edges})
+        return F.when(col(c).isNotNull(), sum(((_num(c) > F.lit(e)).cast("int") for e in edges), F.lit(0)))
+    return Transform({c: code(c) for c in columns})
 
 
 def pca_reducer(df: DataFrame, columns=None, n_components: int | None = None, variance_threshold: float = 0.95,
@@ -255,17 +300,22 @@ def pca_reducer(df: DataFrame, columns=None, n_components: int | None = None, va
     ratio = values / values.sum() if values.sum() > 0 else np.ones_like(values) / len(values)
     k = n_components or int(np.searchsorted(np.cumsum(ratio), min(variance_threshold, 1.0) - 1e-12) + 1)
     k = min(k, len(names))
-    shifted = F.array(*[_num(c) - float(shift[i]) for i, c in enumerate(names)])
+    params = {"variance": values[:k].tolist(), "ratio": ratio[:k].tolist(), "components": vectors[:, :k].T.tolist(), "mean": shift.tolist()}
+    return _build_components(params, columns=names, mean=params["mean"], components=params["components"], prefix=prefix)
+
+
+@builder
+def _build_components(columns, mean, components, prefix):
+    shifted = F.array(*[_num(c) - m for c, m in zip(columns, mean)])
     whole = F.lit(True)
-    for c in names:
+    for c in columns:
         whole = whole & col(c).isNotNull()
 
-    def score(j):
+    def score(loadings):
         # one literal array per component: a sum of p products would make the plan p x k terms long
-        terms = F.zip_with(shifted, F.array(*[F.lit(float(v)) for v in vectors[:, j]]), lambda x, w: x * w)
+        terms = F.zip_with(shifted, F.array(*[F.lit(v) for v in loadings]), lambda x, w: x * w)
         return F.when(whole, F.aggregate(terms, F.lit(0.0), lambda acc, x: acc + x))
-    return Transform({f"{prefix}{j}": score(j) for j in range(k)}, drop=list(names),
-                     params={"variance": values[:k].tolist(), "ratio": ratio[:k].tolist(), "components": vectors[:, :k].T.tolist(), "mean": shift.tolist()})
+    return Transform({f"{prefix}{j}": score(x) for j, x in enumerate(components)}, drop=list(columns))
 
 
 def _batch_sums(rows: DataFrame, width: int, reduce: Callable[[np.ndarray], np.ndarray]) -> tuple[int, np.ndarray]:
@@ -305,15 +355,23 @@ def interaction_creator(df: DataFrame, interactions: Sequence[Sequence[str]], in
         raise ValueError(f"interaction_type must be one of {sorted(INTERACTION_NAMES)}, got {interaction_type!r}")
     if handle_missing not in ("skip", "fill") or handle_zero_division not in ("inf", "nan", "clip"):
         raise ValueError("handle_missing is skip or fill, handle_zero_division is inf, nan or clip")
-    out = {}
+    pairs = []
     for i, pair in enumerate(interactions):
         if len(pair) != 2:
             raise ValueError(f"interaction {i} must name exactly two features, got {list(pair)}")
         a, b = require(df, pair, "interaction features") if pair[0] != pair[1] else (require(df, pair)[0],) * 2
+        pairs.append([(template or INTERACTION_NAMES[interaction_type]).format(feature1=a, feature2=b), a, b])
+    return _build_interactions({}, pairs=pairs, kind=interaction_type, fill=handle_missing == "fill", zero=handle_zero_division)
+
+
+@builder
+def _build_interactions(pairs, kind, fill, zero):
+    out = {}
+    for name, a, b in pairs:
         x, y = _num(a), _num(b)
-        if handle_missing == "fill":
+        if fill:
             x, y = F.coalesce(x, F.lit(0.0)), F.coalesce(y, F.lit(0.0))
-        out[(template or INTERACTION_NAMES[interaction_type]).format(feature1=a, feature2=b)] = _combine(x, y, interaction_type, handle_zero_division)
+        out[name] = _combine(x, y, kind, zero)
     return Transform(out)
 
 
@@ -342,16 +400,21 @@ def onehot_encoder(df: DataFrame, columns=None, drop_first: bool = False, handle
     if handle_unknown not in ("ignore", "error"):
         raise ValueError(f"handle_unknown is ignore or error, got {handle_unknown!r}")
     names = choose_category(df, columns)
-    out, levels = {}, {}
-    for c in names:
-        levels[c] = _levels(df, c, MAX_ONEHOT)
+    levels = {c: _levels(df, c, MAX_ONEHOT) for c in names}
+    return _build_onehot({"levels": levels}, levels=levels, drop_first=drop_first, strict=handle_unknown == "error")
+
+
+@builder
+def _build_onehot(levels, drop_first, strict):
+    out = {}
+    for c, known in levels.items():
         value = col(c).cast("string")
-        if handle_unknown == "error":
+        if strict:
             problem = F.raise_error(F.concat(F.lit(f"unknown category in {c}: "), value)).cast("string")
-            value = F.when(value.isNull() | value.isin(levels[c]), value).otherwise(problem)
-        for v in levels[c][1 if drop_first else 0:]:
+            value = F.when(value.isNull() | value.isin(known), value).otherwise(problem)
+        for v in known[1 if drop_first else 0:]:
             out[f"{c}_{v}"] = F.coalesce((value == v).cast("int"), F.lit(0))
-    return Transform(out, drop=names, params={"levels": levels})
+    return Transform(out, drop=list(levels))
 
 
 def ordinal_encoder(df: DataFrame, columns=None, handle_unknown: str = "value", unknown_value: int = -1) -> Transform:
@@ -359,15 +422,22 @@ def ordinal_encoder(df: DataFrame, columns=None, handle_unknown: str = "value",
     if handle_unknown not in ("value", "error"):
         raise ValueError(f"handle_unknown is value or error, got {handle_unknown!r}")
     names = choose_category(df, columns)
-    joins = []
+    tables = []
     for c in names:
         counts = df.select(col(c).cast("string").alias("__value")).filter("__value IS NOT NULL").groupBy("__value").agg(F.count(F.lit(1)).alias("__rows"))
         counts = materialize(counts)
-        codes = with_global_rank(counts, ["__value"], order_by="__value", out="__code")
+        tables.append(materialize(with_global_rank(counts, ["__value"], order_by="__value", out="__code")))
+    return _build_codes({}, tables, columns=names, strict=handle_unknown == "error", unknown_value=unknown_value)
+
+
+@builder
+def _build_codes(tables, columns, strict, unknown_value):
+    joins = []
+    for table, c in zip(tables, columns):
         default: Column = F.lit(unknown_value).cast("long")
-        if handle_unknown == "error":
+        if strict:
             default = F.when(col(c).isNull(), default).otherwise(F.raise_error(F.lit(f"unknown category in {c}")).cast("long"))
-        joins.append((materialize(codes), c, c, default))
+        joins.append((table, c, c, default))
     return Transform(joins=joins)
 
 
@@ -380,8 +450,13 @@ def hash_encoder(df: DataFrame, columns=None, n_buckets: int = 8, prefix: str =
     if n_buckets <= 0:
         raise ValueError(f"n_buckets must be positive, got {n_buckets}")
     names = choose_category(df, columns)
-    buckets = [F.pmod(F.xxhash64(F.concat(F.lit(f"{c}="), F.coalesce(col(c).cast("string"), F.lit("None")))), F.lit(n_buckets)) for c in names]
-    return Transform({f"{prefix}{i}": sum(((b == i).cast("int") for b in buckets), F.lit(0)) for i in range(n_buckets)}, drop=names)
+    return _build_buckets({}, columns=names, n_buckets=n_buckets, prefix=prefix)
+
+
+@builder
+def _build_buckets(columns, n_buckets, prefix):
+    buckets = [F.pmod(F.xxhash64(F.concat(F.lit(f"{c}="), F.coalesce(col(c).cast("string"), F.lit("None")))), F.lit(n_buckets)) for c in columns]
+    return Transform({f"{prefix}{i}": sum(((b == i).cast("int") for b in buckets), F.lit(0)) for i in range(n_buckets)}, drop=list(columns))
 
 
 class TargetEncoding(Transform):
