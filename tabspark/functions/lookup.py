@@ -10,9 +10,18 @@ from pyspark.sql import functions as F
 from tabspark.columns import col
 
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 64 << 20
 HOT_KEYS = 1_000
 
 
+def _small(mapping: DataFrame, limit: int) -> bool:
+    """At most ``limit`` rows, and at most ``BROADCAST_BYTES`` of texts and fixed cells in them."""
+    texts = [F.length(col(c)) for c, t in mapping.dtypes if t in ("string", "binary")]
+    size = sum((F.coalesce(x, F.lit(0)) for x in texts), F.lit(16 * len(mapping.columns)))
+    r = mapping.limit(limit + 1).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(size), F.lit(0)).alias("b")).first()
+    return r["n"] <= limit and r["b"] <= BROADCAST_BYTES
+
+
 def lookup(df: DataFrame, mapping: DataFrame, keys: Sequence[str], count_col: str | None = None,
            broadcast_rows: int | None = None) -> DataFrame:
     """Left join of a mapping with unique ``keys``; nulls match nulls.
@@ -28,7 +37,7 @@ def lookup(df: DataFrame, mapping: DataFrame, keys: Sequence[str], count_col: st
                            *([col(count_col).alias("__freq")] if count_col else []))
     on = [col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)]
     out = [*[col(c) for c in df.columns], *[col(p) for p in payload]]
-    if small.limit(limit + 1).count() <= limit:
+    if _small(small, limit):
         return df.join(F.broadcast(small), on, "left").select(*out)
     if count_col is None:
         return df.join(small.hint("shuffle_merge"), on, "left").select(*out)
@@ -36,8 +45,8 @@ def lookup(df: DataFrame, mapping: DataFrame, keys: Sequence[str], count_col: st
     hot = hot.select(*[F.col(f"__k{i}").alias(f"__h{i}") for i in range(len(keys))],
                      F.lit(True).alias("__hot"), *[col(p).alias(f"__p{i}") for i, p in enumerate(payload)])
     marked = df.join(F.broadcast(hot), [col(k).eqNullSafe(F.col(f"__h{i}")) for i, k in enumerate(keys)], "left")
-    # rows of hot keys already have their answer: a salt that matches nothing spreads them over all tasks
-    salt = F.when(F.col("__hot"), F.pmod(F.xxhash64(*[col(c) for c in df.columns]), F.lit(1_000_000)) + 1).otherwise(F.lit(0))
+    # rows of hot keys already have their answer: a salt that matches nothing spreads them by position, equal rows too
+    salt = F.when(F.col("__hot"), F.pmod(F.monotonically_increasing_id(), F.lit(1_000_000)) + 1).otherwise(F.lit(0))
     marked = marked.withColumn("__salt", salt)
     cold = small.drop("__freq").withColumn("__cold_salt", F.lit(0).cast("long")).hint("shuffle_merge")
     joined = marked.join(cold, [*on, F.col("__salt") == F.col("__cold_salt")], "left")

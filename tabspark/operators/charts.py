@@ -106,7 +106,7 @@ def target_trend(df: DataFrame, targets, numerical_cols=None, top_k: int = 9, me
     return df.select(F.inline(F.filter(cells, lambda x: x.isNotNull())))
 
 
-def trend_lines(trend: DataFrame, frac: float = 2 / 3) -> DataFrame:
+def trend_lines(trend: DataFrame, frac: float = 0.3) -> DataFrame:
     return density.lowess(trend, ["target", "feature"], "x", "y", frac)
 
 

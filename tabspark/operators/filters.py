@@ -73,7 +73,7 @@ def row_variance_filter(df: DataFrame, threshold: float = 0.0, row_thresholds: M
     return df.filter(row_variance(cells) >= gate)
 
 
-def correlation_filter(df: DataFrame, threshold: float = 0.9, method: str = "pearson", priority_features=None,
+def correlation_filter(df: DataFrame, threshold: float = 0.9, method: str = "spearman", priority_features=None,
                        exclude=None) -> DataFrame:
     """Of every highly correlated pair keep one column.
 

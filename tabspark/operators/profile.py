@@ -31,6 +31,10 @@ def sample_kurtosis(value: Column, n: Column) -> Column:
 def value_counts(df: DataFrame, columns: list[str]) -> DataFrame:
     """(name, value, n) of all columns in one shuffle; values as text, nulls left out."""
     def text(c):
+        if df.schema[c].dataType.typeName() in ("double", "float"):  # one zero, and no-number is missing
+            return F.when(~F.isnan(col(c)), F.when(col(c) == 0, F.lit(0.0)).otherwise(col(c)).cast("string"))
+        if df.schema[c].dataType.typeName() == "timestamp":  # two instants can share a local time
+            return F.concat(col(c).cast("string"), F.date_format(col(c), "XXX"))
         return col(c).cast("string") if _castable(df, c) else F.to_json(F.struct(col(c)))
     cells = F.array(*[F.struct(F.lit(c).alias("name"), text(c).alias("value")) for c in columns])
     return df.select(F.inline(cells)).filter("value IS NOT NULL").groupBy("name", "value").agg(F.count(F.lit(1)).alias("n"))

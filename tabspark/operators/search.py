@@ -237,6 +237,12 @@ def _skyline(costs: np.ndarray) -> np.ndarray:
     return np.array(sorted(kept), dtype=int)
 
 
+def _ranks(values: pd.Series, descending: bool) -> np.ndarray:
+    """Dense ranks of a batch, smallest best."""
+    codes = np.unique(values.to_numpy(), return_inverse=True)[1]
+    return -codes if descending else codes
+
+
 def with_pareto_flag(df: DataFrame, directions: Mapping[str, str]) -> DataFrame:
     """``pareto`` is true for rows that no other row dominates.
 
@@ -244,15 +250,16 @@ def with_pareto_flag(df: DataFrame, directions: Mapping[str, str]) -> DataFrame:
     only fronts are moved.
     """
     names = list(directions)
-    signs = [-1.0 if directions[t] == "maximize" else 1.0 for t in names]
-    costs = df.select("id", *[(col(t) * s).alias(f"c{i}") for i, (t, s) in enumerate(zip(names, signs))]).dropna()
+    # the columns' own types: a double could not tell large whole numbers apart
+    best_first = [directions[t] == "maximize" for t in names]
+    costs = df.select("id", *[col(t).alias(f"c{i}") for i, t in enumerate(names)]).dropna()
     fields = [f"c{i}" for i in range(len(names))]
 
     def local(batches):
         front = None
         for pdf in batches:
             pdf = pdf if front is None else pd.concat([front, pdf], ignore_index=True)
-            front = pdf.iloc[_skyline(pdf[fields].to_numpy())]
+            front = pdf.iloc[_skyline(np.column_stack([_ranks(pdf[f], high) for f, high in zip(fields, best_first)]))]
         if front is not None:
             yield front
 

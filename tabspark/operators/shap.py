@@ -197,7 +197,7 @@ class Dependence:
     turns: DataFrame  # feature, turn
 
 
-def shap_dependence(shap: DataFrame, key, top_n: int = 10, frac: float = 2 / 3, output: str | None = None, y_name: str | None = None) -> Dependence:
+def shap_dependence(shap: DataFrame, key, top_n: int = 10, frac: float = 0.3, output: str | None = None, y_name: str | None = None) -> Dependence:
     """Value against contribution of the strongest features, smoothed, with the steepest zero crossing."""
     one = shap.filter(F.col("output").eqNullSafe(F.lit(output)))
     if y_name is not None:

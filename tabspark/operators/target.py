@@ -28,7 +28,8 @@ class ModelTable:
 
 
 def x_y(df: DataFrame, targets, task: str | None = None, keep=None) -> ModelTable:
-    """Rows with all targets present; text features as categories, numeric features as doubles.
+    """Rows with all targets present; text features as categories, numeric features as doubles,
+    dates and nested features as they are.
 
     ``keep`` names key columns that travel along without being features.
     """
@@ -38,10 +39,10 @@ def x_y(df: DataFrame, targets, task: str | None = None, keep=None) -> ModelTabl
     if present.isEmpty():
         raise TaskError(f"no row has all of the targets {targets}")
     numbers, texts = set(numeric_columns(df)), set(category_columns(df))
-    features = [c for c in df.columns if c not in targets and c not in kept and (c in numbers or c in texts)]
+    features = [c for c in df.columns if c not in targets and c not in kept]
     table = present.select(
         *[col(k) for k in kept],
-        *[(col(c).cast("double") if c in numbers else col(c).cast("string")).alias(c) for c in features],
+        *[(col(c).cast("double") if c in numbers else col(c).cast("string") if c in texts else col(c)).alias(c) for c in features],
         *[col(t) for t in targets],
     )
     return ModelTable(table, features, targets, task or infer_task(present, targets))

@@ -606,7 +606,8 @@ def predict_from_run(spark, sf):
     base = shared_scratch(spark)
     part = read(spark, sf, "part", "p_partkey", "p_size", "p_type", "p_retailprice")
     jobs.modeling(spark, part, "p_retailprice", "p_partkey", [models.random_forest(n_estimators=3)], task=REGRESSION, make_folds=lambda d: folds.k_fold(d, "p_partkey", 2), out_dir=base, experiment="parts")
-    out = jobs.predict(spark, f"{sf}/part.parquet", f"{base}/models", "parts-RF", "RF", out_dir=f"{base}/scored")
+    run_id = runlog.finished_models(runlog.run_log(spark, f"{base}/runs"), "parts").first()["run_id"]
+    out = jobs.predict(spark, f"{sf}/part.parquet", f"{base}/models", run_id, "RF", out_dir=f"{base}/scored")
     return out.agg(F.count(F.lit(1)).alias("n"), F.count("p_retailprice_pred").alias("predicted"))
 
 

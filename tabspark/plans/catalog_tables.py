@@ -90,6 +90,16 @@ def json_records(spark, sf):
 TIDY = "CASE WHEN l_quantity > 40 THEN NULL ELSE {c} END"
 
 
+@query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, CASE WHEN event_id % 97 = 0 THEN event_id END AS late FROM events")
+def json_records_inferred(spark, sf):
+    """Objects with a text under a list key are records themselves; a field of few documents is in the inferred schema."""
+    events = read(spark, sf, "events", "event_id", "props")
+    late = F.when(F.col("event_id") % 97 == 0, F.concat(F.lit(', "late": '), F.col("event_id").cast("string"))).otherwise("")
+    body = F.concat(F.lit('{"event_id": '), F.col("event_id").cast("string"), F.lit(', "data": "[1,2]", "k": '), F.get_json_object("props", "$.k"), late, F.lit("}"))
+    documents = events.select(body.alias("body"))
+    return readers.json_records(documents, "body", readers.infer_record_schema(documents, "body")).select("event_id", "k", "late")
+
+
 @query(union_sql(f"SELECT '{{c}}' AS name, count({TIDY}) AS n, (SELECT count(*) FROM lineitem WHERE l_quantity <= 40) AS rows_after, 8 AS columns_before, 6 AS columns_after FROM lineitem",
                  ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus"]))
 def tidy_on_load(spark, sf):
@@ -289,6 +299,13 @@ def correlation_filter(spark, sf):
     return filters.correlation_filter(wide, 0.99)
 
 
+@query("SELECT p_name, p_size FROM part")
+def correlation_filter_ranks(spark, sf):
+    """A monotone but far from linear copy: only ranks tell."""
+    part = read(spark, sf, "part", "p_name", "p_size")
+    return filters.correlation_filter(part.withColumn("curve", F.exp(-F.col("p_size").cast("double"))), 0.99)
+
+
 IQR_SQL = """WITH q AS (SELECT quantile_cont(o_totalprice, 0.25) AS a, quantile_cont(o_totalprice, 0.75) AS b FROM orders),
 f AS (SELECT a - 0.4 * (b - a) AS lo, b + 0.4 * (b - a) AS hi FROM q) """
 

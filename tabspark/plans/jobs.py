@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import logging
+import uuid
 from collections.abc import Callable, Mapping, Sequence
 from typing import Any
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +15,7 @@ from tabspark.operators import charts, diagnose, effects, folds as fold_ops, met
 from tabspark.operators.models import FoldModel, ModelSpec, load_models, save_model
 from tabspark.operators.profile import profile
 from tabspark.operators.target import CLASSIFICATION, REGRESSION, infer_task, subtask, task_evidence, x_y
+from tabspark.session import materialize
 from tabspark.sources import runlog
 from tabspark.sources.readers import load_file, load_report, tidy_on_load
 
@@ -29,9 +30,9 @@ def _table(spark: SparkSession, source: Source, tidy: bool = True, **options) ->
 
 
 def data_profile(spark: SparkSession, source: Source, skip: Sequence[str] = (), **options) -> dict[str, DataFrame]:
-    """Profile, distributions and box statistics over one persisted scan; ``skip`` leaves parts out."""
+    """Profile, distributions and box statistics over one checkpointed scan; ``skip`` leaves parts out."""
     raw = load_file(spark, source, **options) if isinstance(source, str) else source
-    df = tidy_on_load(raw).persist(StorageLevel.MEMORY_AND_DISK)
+    df = materialize(tidy_on_load(raw))
     out: dict[str, DataFrame] = {}
     if "load" not in skip:
         out["load_report"] = load_report(raw, df)
@@ -47,9 +48,9 @@ def data_profile(spark: SparkSession, source: Source, skip: Sequence[str] = (),
 
 
 def eda(spark: SparkSession, source: Source, target: str | Sequence[str], cat_cols=None, corr_method: str = "spearman", top_k: int = 9,
-        lowess_frac: float = 2 / 3, **options) -> dict[str, DataFrame]:
+        lowess_frac: float = 0.3, **options) -> dict[str, DataFrame]:
     """Everything about how columns relate to the targets; a branch that does not fit the target is left out."""
-    df = _table(spark, source, **options).persist(StorageLevel.MEMORY_AND_DISK)
+    df = materialize(_table(spark, source, **options))
     targets = choose_targets(df, target)
     numbers = [t for t in targets if t in numeric_columns(df)]
     texts = [t for t in targets if t not in numbers]
@@ -127,7 +128,7 @@ def modeling(spark: SparkSession, source: Source, targets, key, specs: Sequence[
 def _keep_run(spark: SparkSession, out_dir: str, experiment: str, spec: ModelSpec, result: training.CVResult, parallelism: int) -> str:
     long = result.long_metrics()
     means = {f"{r['y_name']}.{r['metric']}": r["value"] for r in long.groupBy("y_name", "metric").agg(F.avg("value").alias("value")).collect()}
-    run_id = f"{experiment}-{spec.label}"
+    run_id = f"{experiment}-{spec.label}-{uuid.uuid4().hex[:12]}"
     for m in result.models:
         save_model(m, f"{out_dir}/models", run_id)
     runlog.append_run(spark, f"{out_dir}/runs", experiment, "model", spec.label, params=spec.settings, metrics=means, run_id=run_id)
@@ -137,7 +138,7 @@ def _keep_run(spark: SparkSession, out_dir: str, experiment: str, spec: ModelSpe
 def explanation(models: Sequence[FoldModel], rows_of_fold: Callable[[int], DataFrame], key, top_n: int = 10, output: str | None = None,
                 y_name: str | None = None) -> dict[str, DataFrame]:
     """Contributions of trained fold models, their ranking and their dependence tables."""
-    values = shap.explain_folds(models, rows_of_fold, key).persist(StorageLevel.MEMORY_AND_DISK)
+    values = materialize(shap.explain_folds(models, rows_of_fold, key))
     long = shap.shap_long(values, key)
     dependence = shap.shap_dependence(values, key, top_n, output=output, y_name=y_name)
     return {"shap": values, "summary": shap.shap_summary(long), "points": dependence.points, "line": dependence.line, "turns": dependence.turns}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -112,39 +113,38 @@ def json_records(df: DataFrame, payload: str, schema: T.StructType | str, keep:
     else itself as one record.  A scalar document is an error.
     """
     record = schema if isinstance(schema, str) else schema.simpleString().removeprefix("struct<")[:-1]
-    text = F.trim(col(payload))
-    first = F.substring(text, 1, 1)
-    def inner(k):
-        # get_json_object keeps the raw text, so its first character tells a list
-        return F.get_json_object(text, f"$.{k}")
-    listing = F.coalesce(
-        F.when(first == "[", text),
-        *[F.when((first == "{") & F.substring(F.trim(inner(k)), 1, 1).eqNullSafe("["), inner(k)) for k in RECORD_KEYS],
-        F.when(first == "{", F.concat(F.lit("["), text, F.lit("]"))),
-        F.raise_error(F.concat(F.lit("JSON document is neither a list nor an object: "), F.substring(text, 1, 80))).cast("string"),
-    )
-    rows = F.from_json(listing, f"array<struct<{record}>>")
     kept = [col(k) for k in keep or []]
-    return df.filter(col(payload).isNotNull()).select(*kept, F.inline(rows))
-
-
-def infer_record_schema(df: DataFrame, payload: str, documents: int = 100) -> str:
-    """Record schema from some documents, for exploration; name the schema in production jobs."""
-    import json
-
-    records = []
-    for row in df.filter(col(payload).isNotNull()).select(col(payload)).limit(documents).collect():
-        body = json.loads(row[0])
-        if isinstance(body, dict):
-            found = [body[k] for k in RECORD_KEYS if isinstance(body.get(k), list)]
-            body = found[0] if found else [body]
-        if not isinstance(body, list):
-            raise ValueError("JSON document is neither a list nor an object")
-        records.extend(json.dumps(r) for r in body)
-    spark = df.sparkSession
-    # the inferring reader takes an RDD of texts; this one holds only the sampled records
-    found = spark.read.json(spark.sparkContext.parallelize(records)).schema.simpleString()
-    return found[found.index("<") + 1:-1]
+    listing = _listings(df, payload, kept)
+    return listing.select(*kept, F.inline(F.from_json("__list", f"array<struct<{record}>>")))
+
+
+def _listings(df: DataFrame, payload: str, kept: list[Column]) -> DataFrame:
+    """Documents with ``__list``, the JSON list of their records; each text is parsed once."""
+    parsed = df.filter(col(payload).isNotNull()).select(*kept, col(payload).alias("__text"), F.try_parse_json(col(payload)).alias("__doc"))
+
+    def inner(path):
+        return F.try_variant_get("__doc", path, "variant")
+
+    def is_list(value):
+        return F.coalesce(F.schema_of_variant(value).startswith("ARRAY"), F.lit(False))
+
+    found = F.when(is_list(F.col("__doc")), F.to_json("__doc"))
+    for k in RECORD_KEYS:
+        found = found.when(is_list(inner(f"$.{k}")), F.to_json(inner(f"$.{k}")))
+    found = found.when(F.schema_of_variant("__doc").startswith("OBJECT"), F.concat(F.lit("["), F.to_json("__doc"), F.lit("]")))
+    problem = F.raise_error(F.concat(F.lit("JSON document is malformed, or neither a list nor an object: "), F.substring("__text", 1, 80))).cast("string")
+    return parsed.select(*kept, found.otherwise(problem).alias("__list"))
+
+
+def infer_record_schema(df: DataFrame, payload: str) -> str:
+    """Record schema over all documents, inferred on the cluster; mixed types are read as text."""
+    elements = _listings(df, payload, []).select(F.explode(F.from_json("__list", "array<variant>")).alias("v"))
+    found = elements.agg(F.schema_of_variant_agg("v")).first()[0]
+    if not found.startswith("OBJECT<"):
+        raise ValueError(f"records are not objects of known fields but {found}")
+    found = re.sub(r"DECIMAL\(\d+,\s*\d+\)", "DOUBLE", found)
+    found = re.sub(r"\b(?:VOID|VARIANT)\b", "STRING", found).replace("OBJECT<>", "STRING").replace("OBJECT<", "STRUCT<")
+    return found[len("STRUCT<") : -1]
 
 
 def load_json_responses(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:

@@ -46,7 +46,7 @@ def test_modeling_to_search(spark, parts, tmp_path):
     assert runlog.list_runs(log, "e1", "model", 1).count() == 1
     assert {r.module for r in runlog.finished_models(log, "e1").collect()} == {"RF", "XGB"}
     assert runlog.list_run_artifacts(spark, f"{tmp_path}/e1").filter("size_bytes > 0").count() > 0
-    scored = jobs.predict(spark, path, f"{tmp_path}/models", "e1-RF", "RF", out_dir=str(tmp_path / "p"))
+    scored = jobs.predict(spark, path, f"{tmp_path}/models", runlog.finished_models(log, "e1").filter("module = 'RF'").first().run_id, "RF", out_dir=str(tmp_path / "p"))
     assert scored.count() == len(pdf) and "y_pred" in scored.columns
     ms = out["models"]["RF"]
     found = jobs.inverse_optimization(spark, path, ms, {"y": "maximize"}, columns={"c": __import__("tabspark.operators.search", fromlist=["Choice"]).Choice(["u"])}, n_trials=100)
