@@ -20,6 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -43,7 +44,13 @@ class Pieces:
     byte_ids: np.ndarray
     raw: list[bytes]  # what each piece decodes to
 
-    def encode_stretches(self, stretches: list[bytes]) -> list[np.ndarray]:
+    def __post_init__(self):
+        self.size = np.array([len(x) for x in self.raw])
+        self.place = np.cumsum(self.size) - self.size
+        self.letters = np.frombuffer(b"".join(self.raw), np.uint8)
+
+    def encode_stretches(self, stretches: list[bytes]) -> list[bytes]:
+        """Piece ids (32 bits each) of each stretch."""
         out: list = [None] * len(stretches)
         lengths = np.array([len(x) for x in stretches])
         for n in np.unique(lengths).tolist():
@@ -84,14 +91,26 @@ class Pieces:
             lost = np.flatnonzero(~single)
             if len(lost):
                 self._update(best, back, piece, i, i + size[i, lost], lost, best[i, lost] + self.unknown, np.full(len(lost), -1))
+        # walk all paths back together; a step of -1 is a character without a piece
+        every, end, steps = np.arange(rows), np.full(rows, n), []
+        while end.any():
+            steps.append(np.where(end > 0, piece[end, every], -2))
+            end = np.where(end > 0, back[end, every], 0)
+        path = np.array(steps[::-1], np.int32).T
+        length = (path != -2).sum(axis=1)
+        whole = path[path != -2].tobytes()
+        cuts = np.concatenate([[0], np.cumsum(length)]) * 4
+        lost = (path == -1).any(axis=1)
         for r in range(rows):
+            if not lost[r]:
+                yield whole[cuts[r] : cuts[r + 1]]
+                continue
             ids, e = [], n
             while e > 0:
-                s = int(back[e, r])
-                p = int(piece[e, r])
-                ids.append([p] if p >= 0 else self.byte_ids[text[r, s:e]].tolist())
-                e = s
-            yield np.array([x for part in reversed(ids) for x in part], np.int32)
+                start, p = int(back[e, r]), int(piece[e, r])
+                ids.append([p] if p >= 0 else self.byte_ids[text[r, start:e]].tolist())
+                e = start
+            yield np.array([x for part in reversed(ids) for x in part], np.int32).tobytes()
 
     @staticmethod
     def _update(best, back, piece, start, end, who, value, ids):
@@ -108,12 +127,17 @@ class Pieces:
             cache.clear()
             new = list({x for stretches in cut for x in stretches})
         for x, ids in zip(new, self.encode_stretches([(BLANK + x.replace(" ", BLANK)).encode() for x in new])):
-            cache[x] = ids.tobytes()
+            cache[x] = ids
         return [np.frombuffer(b"".join([cache[x] for x in stretches]), np.int32) for stretches in cut]
 
-    def decode(self, ids) -> str:
-        text = b"".join([self.raw[i] for i in ids]).decode("utf-8", "replace").replace(BLANK, " ")
-        return text[1:] if text.startswith(" ") else text
+    def decode(self, ids: np.ndarray, cuts: np.ndarray) -> list[str]:
+        """Texts of consecutive runs of ids: run i is ids[cuts[i]:cuts[i + 1]]."""
+        size = self.size[ids]
+        ends = np.cumsum(size)
+        at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.place[ids] - (ends - size), size)
+        data, edge = self.letters[at].tobytes(), np.concatenate([[0], ends])[cuts]
+        texts = [data[a:b].decode("utf-8", "replace") for a, b in zip(edge.tolist(), edge[1:].tolist())]
+        return [t[1:] if t.startswith(" ") else t for t in texts]
 
 
 def double_array(words: list[bytes], ids: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -201,7 +225,7 @@ def encode(docs: DataFrame, model: Pieces | str = MODEL) -> DataFrame:
         m, cache = shared.value, {}
         cost = m.score.copy()
         cost[m.byte_ids] = m.unknown
-        for batch in pieces(batches):
+        for batch in pieces(batches, size=8 << 20):  # many new stretches at a time make the arrays long
             texts = batch.column("text").to_pylist()
             got = m.encode([t or "" for t in texts], cache)
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in got])])
@@ -220,8 +244,10 @@ def decode(docs: DataFrame, model: Pieces | str = MODEL) -> DataFrame:
     def run(batches):
         m = shared.value
         for batch in pieces(batches):
-            back = [None if x is None else m.decode(x) for x in batch.column("__ids").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(back, pa.string())], schema.names)
+            lists = batch.column("__ids")
+            ids, cuts = lists.flatten().to_numpy(), np.concatenate([[0], np.cumsum(lists.value_lengths().fill_null(0).to_numpy())])
+            texts = pa.array(m.decode(ids, cuts), pa.string())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pc.if_else(lists.is_valid(), texts, None)], schema.names)
 
     return docs.mapInArrow(run, schema)
 

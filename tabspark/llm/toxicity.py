@@ -7,7 +7,8 @@ are not.  The field has two states; a token's features are its word, its two nei
 It is fitted by gradient steps on the exact likelihood.  A document's score is a logistic function of its
 forward-backward marginals: the largest one, the expected number of toxic tokens and their share.
 
-Training reads at most ``MAX_ROWS`` labelled documents, and the field is fitted on at most ``FIELD_ROWS`` of them.
+Training reads at most ``MAX_ROWS`` labelled documents, whose attributes are counted on the executors; only useful ones
+reach the driver.  The field is fitted on at most ``FIELD_ROWS`` documents.
 Null texts are empty; a text without words has the score of a clean one.  Without toxic training documents every
 score is 0.  Repeated rows are scored alike, further columns pass through, and a null doc_id counts as not held out.
 """
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabspark.llm.common import flat, pieces, text_column
+from tabspark.llm.common import flat, pieces, saved, text_column
 from tabspark.llm.supervised import fit_logistic, labelled_sample, logistic, remainder
 from tabspark.llm.tokens import ALNUM, Words, words
 
@@ -57,7 +58,7 @@ class Field:
     def ids(self, hashes: np.ndarray) -> np.ndarray:
         """Index of every attribute; the number of known ones where it is unknown."""
         n = len(self.vocabulary)
-        out = np.full(hashes.shape, n, np.int64)
+        out = np.full(hashes.shape, n, np.int32)
         maybe = self.sieve[hashes & np.uint64(_SIEVE - 1)]
         some = hashes[maybe]
         if len(some):
@@ -169,47 +170,39 @@ def _ratio(hit: np.ndarray, clean: np.ndarray, n1: float, n0: float) -> np.ndarr
     return np.where(hit > seen * share, out, 0)
 
 
-def seed_attributes(docs: list[np.ndarray], toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Attributes that explain toxic documents, chosen greedily; and all that are worth a weight.
+def seed_attributes(docs: list[np.ndarray], toxic: np.ndarray, n: int) -> np.ndarray:
+    """Which of n attributes explain toxic documents, chosen greedily; ``docs`` are the attributes of each one's tokens.
 
     An attribute is counted as present, and separately as present in two or more tokens.
     """
-    once, twice = [], []
-    for d in docs:
+    items, owners = [], []
+    for i, d in enumerate(docs):
         values, counts = np.unique(d, return_counts=True)
-        once.append(values[values != 0])
-        twice.append(values[(values != 0) & (counts > 1)])
-    vocabulary, index = np.unique(np.concatenate(once), return_inverse=True)
-    n = len(vocabulary)
-    item = np.concatenate([index, np.searchsorted(vocabulary, np.concatenate(twice)) + n])
-    doc = np.concatenate([np.repeat(np.arange(len(docs)), [len(x) for x in part]) for part in (once, twice)])
+        items += [values, values[counts > 1] + n]
+        owners.append(np.full(len(values) + int((counts > 1).sum()), i))
+    item, doc = np.concatenate(items), np.concatenate(owners)
     clean = np.bincount(item[toxic[doc] == 0], minlength=2 * n).astype(float)
-    n0, left, chosen, useful = max(1.0, float((toxic == 0).sum())), toxic == 1, set(), None
-    while left.any():
+    n0, left, chosen = max(1.0, float((toxic == 0).sum())), toxic == 1, set()
+    while n and left.any():
         hit = np.bincount(item[left[doc]], minlength=2 * n).astype(float)
         score = _ratio(hit, clean, float(left.sum()), n0)
-        if useful is None:
-            useful = np.maximum(score[:n], score[n:]) >= USEFUL
         score[hit < 3 * clean] = 0
         best = int(score.argmax())
         if score[best] < SIGNIFICANT:
             break
         chosen.add(best % n)
         left[doc[item == best]] = False
-    picked = np.array(sorted(chosen), np.int64)
-    useful[picked] = True
-    return vocabulary[picked], vocabulary[useful]
+    return np.array(sorted(chosen), np.int64)
 
 
 def fit_field(docs: list[np.ndarray], toxic: np.ndarray, seeds: np.ndarray, vocabulary: np.ndarray, steps: int = 60, rate: float = 0.3, ridge: float = 0.5) -> Field:
     """Gradient ascent with per-weight step sizes on the exact conditional likelihood of the labelled tokens."""
-    hashes = np.hstack(docs)
+    ids, n = np.hstack(docs), len(vocabulary) + 1
     size = np.array([d.shape[1] for d in docs])
     first = np.concatenate([[0], np.cumsum(size)])
-    labels = np.isin(hashes, seeds).any(axis=0) & np.repeat(toxic == 1, size)
-    f = Field(vocabulary, np.zeros((2 + len(hashes), len(vocabulary) + 1)), 0.0, np.ones((2, 2)))
-    ids, n = f.ids(hashes), len(vocabulary) + 1
-    inner = _inner(hashes.shape[1], first)
+    labels = np.isin(ids, seeds).any(axis=0) & np.repeat(toxic == 1, size)
+    f = Field(vocabulary, np.zeros((2 + len(ids), n)), 0.0, np.ones((2, 2)))
+    inner = _inner(ids.shape[1], first)
     before = np.concatenate([[0], labels[:-1] & inner]).astype(int)
     seen_moves = np.bincount(before * 2 + labels, minlength=4).reshape(2, 2)
     logs, past = np.zeros((2, 2)), [np.full(f.weights.shape, 1e-6), 1e-6, np.full((2, 2), 1e-6)]
@@ -229,33 +222,66 @@ def fit_field(docs: list[np.ndarray], toxic: np.ndarray, seeds: np.ndarray, voca
     return f
 
 
+def _presence(batches):
+    """How many toxic and clean documents have an attribute, and have it in two or more tokens; one row per task and attribute."""
+    held = []
+    for batch in pieces(batches):
+        w = words(*flat(text_column(batch, "text")), ALNUM, PREFIXES)
+        every, label = attributes(w), batch.column("label").to_numpy()
+        for a, b, y in zip(w.first.tolist(), w.first[1:].tolist(), label.tolist()):
+            values, counts = np.unique(every[:, a:b], return_counts=True)
+            held.append((values[values != 0], counts[values != 0] > 1, y))
+    if held:
+        keys, back = np.unique(np.concatenate([h[0] for h in held]), return_inverse=True)
+        toxic = np.concatenate([np.full(len(h[0]), h[2]) for h in held])
+        twice = np.concatenate([h[1] for h in held])
+        counts = [np.bincount(back, x, len(keys)).astype(np.int64) for x in (toxic, 1 - toxic, toxic * twice, (1 - toxic) * twice)]
+        yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), *map(pa.array, counts)], ["attribute", "t1", "c1", "t2", "c2"])
+
+
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, field_rows: int = FIELD_ROWS) -> Field | None:
-    def tokens(batches):
+    sample = saved(labelled_sample(docs, labels, "toxic", FOLDS, HELD, max_rows))
+    n = {r.label: r["count"] for r in sample.groupBy("label").count().collect()}
+    if not n.get(1):
+        return None
+    counted = sample.mapInArrow(_presence, "attribute bigint, t1 bigint, c1 bigint, t2 bigint, c2 bigint").groupBy("attribute").agg(*[F.sum(c).alias(c) for c in ("t1", "c1", "t2", "c2")])
+    # attributes commoner among toxic documents, at most some per word of the bounded sample
+    few = counted.where(f"t1 > 2 AND t1 * {n.get(0, 0)} > c1 * {n[1]}").toPandas()
+    score = np.maximum(*[_ratio(few[t].to_numpy(float), few[c].to_numpy(float), float(n[1]), max(1.0, float(n.get(0, 0)))) for t, c in (("t1", "c1"), ("t2", "c2"))])
+    f = Field(np.sort(few.attribute.to_numpy(np.int64).view(np.uint64)[score >= USEFUL]), np.zeros((3 + len(PREFIXES), 1)), 0.0, np.ones((2, 2)))
+    shared = docs.sparkSession.sparkContext.broadcast(f)
+
+    def known(batches):  # of each text the number of tokens and its known attributes: (slot, token, attribute)
         for batch in pieces(batches):
             w = words(*flat(text_column(batch, "text")), ALNUM, PREFIXES)
-            all_of = attributes(w)
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id").cast(pa.int64()), "label": batch.column("label").cast(pa.int32()),
-                                              "words": pa.array([np.ascontiguousarray(all_of[:, a:b]).tobytes() for a, b in zip(w.first, w.first[1:])], pa.binary())})
+            ids, rows = shared.value.ids(attributes(w)), []
+            for a, b in zip(w.first.tolist(), w.first[1:].tolist()):
+                slot, at = np.nonzero(ids[:, a:b] < len(shared.value.vocabulary))
+                rows.append(np.stack([slot, at, ids[slot, a + at]]).astype(np.int32).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("label").cast(pa.int32()), pa.array(np.diff(w.first), pa.int64()), pa.array(rows, pa.binary())], ["doc_id", "label", "n", "known"])
 
-    sample = labelled_sample(docs, labels, "toxic", FOLDS, HELD, max_rows)
-    rows = [(r.doc_id, r.label, np.frombuffer(r.words, np.uint64).reshape(1 + len(PREFIXES), -1)) for r in sample.mapInArrow(tokens, "doc_id bigint, label int, words binary").toLocalIterator()]
-    rows = sorted((r for r in rows if r[2].size), key=lambda r: r[0])
+    rows = sorted(((r.doc_id, r.label, r.n, np.frombuffer(r.known, np.int32).reshape(3, -1)) for r in sample.mapInArrow(known, "doc_id bigint, label int, n bigint, known binary").toLocalIterator() if r.n), key=lambda r: r[0])
     toxic = np.array([r[1] for r in rows])
-    if not len(rows) or not toxic.any():
+    if not toxic.any():
         return None
-    tokens_of = [r[2] for r in rows]
-    del rows
-    seeds, useful = seed_attributes(tokens_of, toxic)
+
+    def dense(row):
+        out = np.full((1 + len(PREFIXES), row[2]), len(f.vocabulary), np.int32)
+        out[row[3][0], row[3][1]] = row[3][2]
+        return out
+
+    seeds = seed_attributes([r[3][2] for r in rows], toxic, len(f.vocabulary))
     bad, good = np.flatnonzero(toxic == 1), np.flatnonzero(toxic == 0)
     chosen = np.concatenate([bad[: field_rows // 2], good[: field_rows // 2]])
-    f = fit_field([tokens_of[i] for i in chosen], toxic[chosen], seeds, useful)
+    f = fit_field([dense(rows[i]) for i in chosen], toxic[chosen], seeds, f.vocabulary)
     x, part = [], []
-    for t in [*tokens_of, None]:  # texts are scored together, some hundred thousand tokens at a time
-        if t is None or sum(k.shape[1] for k in part) > 200_000:
+    for r in [*rows, None]:  # texts are scored together, some hundred thousand tokens at a time
+        if r is None or sum(k.shape[1] for k in part) > 200_000:
             first = np.concatenate([[0], np.cumsum([k.shape[1] for k in part])])
-            x.append(features(marginals(f.emissions(f.ids(np.hstack(part)), first), first, f.moves)[0], first))
+            x.append(features(marginals(f.emissions(np.hstack(part), first), first, f.moves)[0], first))
             part = []
-        part.append(t)
+        if r is not None:
+            part.append(dense(r))
     f.doc = fit_logistic(np.concatenate(x), toxic.astype(float))
     return f
 

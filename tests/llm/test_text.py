@@ -104,7 +104,7 @@ def test_viterbi_equals_a_unigram_library():
     m = sentencepiece_codec.load()
     for text, got in zip(TEXTS, m.encode(TEXTS, {})):
         want = unigram.encode("▁" + text.replace(" ", "▁")).ids if text else []
-        assert got.tolist() == want and m.decode(got.tolist()) == text == lib.decode(got.tolist())
+        assert got.tolist() == want and m.decode(got, np.array([0, len(got)])) == [text] == [lib.decode(got.tolist())]
 
 
 def test_double_array_finds_exactly_its_words():
