@@ -49,7 +49,8 @@ def cross_validate(table: ModelTable, folds: Folds, spec: ModelSpec, transforms:
     """One model per fold and target.  Transforms are fitted on the training rows of the fold only.
 
     Folds are trained from a small pool of driver threads so that the cluster stays busy.  Every fold
-    reads the fold table, so it is persisted; call ``folds.unpersist()`` when done with the predictions.
+    reads the fold table, so it is persisted until the predictions are written; they are scored once and
+    read from the shared checkpoint folder afterwards.
     ``transforms`` are functions (rows, target) -> Transform.
     """
     if spec.flavor == "LGBM" and len(table.targets) > 1:
@@ -67,7 +68,9 @@ def cross_validate(table: ModelTable, folds: Folds, spec: ModelSpec, transforms:
     jobs = [(f, y) for f in range(folds.n_folds) for y in table.targets]
     with ThreadPool(max(1, min(parallelism, len(jobs)))) as pool:
         models = pool.map(one, jobs)
-    return CVResult(spec.label, table.task, models, fold_predictions(models, folds, kinds, keep))
+    predictions = materialize(fold_predictions(models, folds, kinds, keep))
+    folds.unpersist()
+    return CVResult(spec.label, table.task, models, predictions)
 
 
 def fold_predictions(models: Sequence[FoldModel], folds: Folds, kinds: Sequence[str] = ("test",), keep: Sequence[str] = ()) -> DataFrame:
