@@ -30,7 +30,7 @@ from tabspark.llm.common import pieces
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = "▁"
 UNKNOWN_PENALTY = 10.0
-CACHE = 300_000  # stretches whose pieces a task remembers
+CACHE = 100_000  # stretches whose pieces a task remembers
 _STRETCH = re.compile(r" +[^ ]*|[^ ]+")
 
 
@@ -55,7 +55,7 @@ class Pieces:
         lengths = np.array([len(x) for x in stretches])
         for n in np.unique(lengths).tolist():
             where = np.flatnonzero(lengths == n)
-            step = max(1, 4_000_000 // (n + 1))
+            step = max(1, 1_000_000 // (n + 1))
             for i in range(0, len(where), step):
                 part = where[i : i + step]
                 for w, ids in zip(part.tolist(), self._best(np.frombuffer(b"".join(stretches[k] for k in part.tolist()), np.uint8).reshape(-1, n))):
@@ -216,26 +216,34 @@ def load(path: str = MODEL) -> Pieces:
     return Pieces(*double_array([t.encode() for t in texts.values()], plain), score, float(score[plain].min()) - UNKNOWN_PENALTY, byte_ids, raw)
 
 
-def encode(docs: DataFrame, model: Pieces | str = MODEL) -> DataFrame:
-    """All columns of ``docs`` with __ids (null for a null text) and __score, the summed score of the pieces."""
+def encode(docs: DataFrame, model: Pieces | str = MODEL, decoded: bool = False) -> DataFrame:
+    """All columns of ``docs`` with __ids (null for a null text), __score (the summed score of the pieces), and __decoded if wanted."""
     shared = docs.sparkSession.sparkContext.broadcast(load(model) if isinstance(model, str) else model)
-    schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in docs.schema.fields] + [T.StructField("__ids", T.ArrayType(T.IntegerType())), T.StructField("__score", T.DoubleType())])
+    schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in docs.schema.fields] + [T.StructField("__ids", T.ArrayType(T.IntegerType())), T.StructField("__score", T.DoubleType())] + ([T.StructField("__decoded", T.StringType())] if decoded else []))
 
     def run(batches):
         m, cache = shared.value, {}
         cost = m.score.copy()
         cost[m.byte_ids] = m.unknown
-        for batch in pieces(batches, size=8 << 20):  # many new stretches at a time make the arrays long
+        for batch in pieces(batches, size=4 << 20):  # many new stretches at a time make the arrays long
             texts = batch.column("text").to_pylist()
             got = m.encode([t or "" for t in texts], cache)
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in got])])
             missing = pa.array([t is None for t in texts])
             ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(got)), mask=missing)
-            yield pa.RecordBatch.from_arrays([*batch.columns, ids, pa.array([float(cost[x].sum()) for x in got])], schema.names)
+            new = [ids, pa.array([float(cost[x].sum()) for x in got])]
+            if decoded:
+                new.append(_decoded(m, ids))
+            yield pa.RecordBatch.from_arrays([*batch.columns, *new], schema.names)
 
     return docs.mapInArrow(run, schema)
 
 
+def _decoded(m: Pieces, lists: pa.Array) -> pa.Array:
+    ids, cuts = lists.flatten().to_numpy(), np.concatenate([[0], np.cumsum(lists.value_lengths().fill_null(0).to_numpy())])
+    return pc.if_else(lists.is_valid(), pa.array(m.decode(ids, cuts), pa.string()), None)
+
+
 def decode(docs: DataFrame, model: Pieces | str = MODEL) -> DataFrame:
     """All columns of ``docs`` with __decoded, the text of __ids."""
     shared = docs.sparkSession.sparkContext.broadcast(load(model) if isinstance(model, str) else model)
@@ -244,17 +252,13 @@ def decode(docs: DataFrame, model: Pieces | str = MODEL) -> DataFrame:
     def run(batches):
         m = shared.value
         for batch in pieces(batches):
-            lists = batch.column("__ids")
-            ids, cuts = lists.flatten().to_numpy(), np.concatenate([[0], np.cumsum(lists.value_lengths().fill_null(0).to_numpy())])
-            texts = pa.array(m.decode(ids, cuts), pa.string())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pc.if_else(lists.is_valid(), texts, None)], schema.names)
+            yield pa.RecordBatch.from_arrays([*batch.columns, _decoded(m, batch.column("__ids"))], schema.names)
 
     return docs.mapInArrow(run, schema)
 
 
 def report(docs: DataFrame, model: str = MODEL) -> DataFrame:
     """doc_id, n_tokens, score, SHA-256 of the comma-joined ids and whether the ids decode to the text."""
-    pieces_of = load(model)
-    out = decode(encode(docs.select("doc_id", "text"), pieces_of), pieces_of)
+    out = encode(docs.select("doc_id", "text"), model, decoded=True)
     return out.select("doc_id", F.coalesce(F.size("__ids"), F.lit(0)).cast("long").alias("n_tokens"), F.col("__score").alias("score"),
                       F.sha2(F.array_join(F.coalesce("__ids", F.array().cast("array<int>")), ","), 256).alias("ids_sha256"), F.col("text").eqNullSafe(F.col("__decoded")).alias("round_trip"))
