@@ -214,7 +214,7 @@ def links(docs: DataFrame, percent: int = 85, trees: int = TREES, depth: int = D
     texts = saved(docs.select("doc_id", "text").join(needed, "doc_id").dropDuplicates(["id"]).select("id", "text")) if _unique(rows) else _own_texts(docs, needed)
     first = saved(_confirmed(_with_members(leaf_sets, reps, None).mapInArrow(_pairs(similarity, True), schema).distinct(), texts, percent))
     labels = components(first)
-    rest = leaf_sets
+    rest = _leaf_sets(small)  # blocks have done their part: what a large node leaves open is compared below
     for step in range(depth):
         if dense.isEmpty():
             break
@@ -229,7 +229,7 @@ def links(docs: DataFrame, percent: int = 85, trees: int = TREES, depth: int = D
         level = again.join(reps.select("id", "tokens"), "id").select("id", "node", "tokens").mapInArrow(_branch(similarity), "node bigint, id bigint").distinct()
         small, dense = _nodes(level, leaf)
         blocks = saved(_blocks(dense, leaf))
-        rest = rest.unionByName(_leaf_sets(small.unionByName(blocks.select(F.xxhash64("node", "block").alias("node"), "id"))))
+        rest = rest.unionByName(_leaf_sets(small))
     second = _confirmed(_with_members(saved(rest.dropDuplicates(["leaf"])), reps, labels).mapInArrow(_pairs(similarity, False), schema).distinct(), texts, percent)
     known = labels.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(second)
     # sets of one doc_id belong together
