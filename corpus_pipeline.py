@@ -1,6 +1,6 @@
 """Cleaning of a corpus in stages, each a whole pass over what the one before kept.
 
-Documents that the toxicity model rejects go; lines that many documents share go; of every group of near duplicates the
+Documents that the toxicity model rejects go; lines that many documents share stay in one of them; of every group of near duplicates the
 document with the smallest doc_id stays; documents that contain a benchmark passage go; what remains is tokenized, and
 the tokens are decoded again.
 """
@@ -26,7 +26,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    out = line_dedup.drop_repeated_lines(docs)
+    """Of a repeated line the document with the smallest doc_id keeps its copies; a document that held nothing else is a copy and goes."""
+    out = line_dedup.drop_repeated_lines(docs, keep_first=True)
+    out = out.where((F.col("__n_dropped") == 0) | F.col("text").rlike("[^ \\t\\n\\x0b\\f\\r]"))
     return out.select(*[F.length("text").cast("bigint").alias(c) if c == "n_chars" else c for c in docs.columns])
 
 

@@ -96,20 +96,25 @@ def repeated_filter(docs: DataFrame, max_bits: int = 1 << 28) -> np.ndarray:
     return out
 
 
-def repeated_lines(docs: DataFrame, min_docs: int = 2, max_bits: int = 1 << 28) -> DataFrame:
-    """key (binary) and n_docs of every line key of at least ``min_docs`` rows; exact."""
+def repeated_lines(docs: DataFrame, min_docs: int = 2, max_bits: int = 1 << 28, first: bool = False) -> DataFrame:
+    """key (binary) and n_docs of every line key of at least ``min_docs`` rows; exact.  ``first``: also __first, the __row of its smallest doc_id."""
     bitmap = docs.sparkSession.sparkContext.broadcast(repeated_filter(docs, max_bits))
+    place = ["doc_id", "__row"] if first else []
 
     def suspects(batches):
         seen = bitmap.value
         for batch in pieces(batches):
-            keys = [k for t in text_column(batch, "text").to_pylist() for k in _keys(t)]
+            found = [_keys(t) for t in text_column(batch, "text").to_pylist()]
+            keys = [k for x in found for k in x]
             if keys:
-                hit = _has(seen, _bits(_hashes(keys), len(seen) * 8))
-                yield pa.RecordBatch.from_pydict({"key": pa.array([k for k, h in zip(keys, hit) if h], pa.binary())})
+                hit = np.flatnonzero(_has(seen, _bits(_hashes(keys), len(seen) * 8)))
+                at = pa.array(np.repeat(np.arange(len(found)), [len(x) for x in found])[hit])
+                yield pa.RecordBatch.from_arrays([*[batch.column(c).take(at) for c in place], pa.array([keys[i] for i in hit], pa.binary())], [*place, "key"])
 
-    found = docs.select("text").mapInArrow(suspects, "key binary")
-    return found.groupBy("key").agg(F.count("*").alias("n_docs")).where(F.col("n_docs") >= min_docs)
+    schema = T.StructType([*[T.StructField(c, docs.schema[c].dataType) for c in place], T.StructField("key", T.BinaryType())])
+    found = docs.select(*place, "text").mapInArrow(suspects, schema)
+    more = [F.min(F.struct(*place))["__row"].alias("__first")] if first else []
+    return found.groupBy("key").agg(F.count("*").alias("n_docs"), *more).where(F.col("n_docs") >= min_docs)
 
 
 def _cut(texts: list[str], dropped) -> dict[str, list]:
@@ -144,28 +149,31 @@ def drop_repeated_lines(docs: DataFrame, min_docs: int = 10, keep_first: bool =
     ``keep_first``: the document with the smallest doc_id keeps its lines of a key; others lose them.
     """
     spark = docs.sparkSession
-    common = saved(repeated_lines(docs, min_docs, max_bits))
+    numbered = saved(docs.withColumn("__row", F.monotonically_increasing_id())) if keep_first else docs
+    common = saved(repeated_lines(numbered, min_docs, max_bits, keep_first))
     size = common.select(F.sum(F.length("key") + 64)).first()[0] or 0
-    if size <= set_bytes and not keep_first:
-        known = spark.sparkContext.broadcast(frozenset(bytes(r.key) for r in common.toLocalIterator()))
+    if size <= set_bytes:
+        known = spark.sparkContext.broadcast({bytes(r.key): r["__first"] if keep_first else None for r in common.toLocalIterator()})
 
-        def listed(_):
+        def listed(batch):
             keys = known.value
-            return lambda i, k: k in keys
+            if not keep_first:
+                return lambda i, k: k in keys
+            rows = batch.column("__row").to_pylist()
+            return lambda i, k: keys.get(k, rows[i]) != rows[i]
 
-        return _mapped(docs, listed)
+        return _mapped(numbered, listed, drop=("__row",) if keep_first else ())
     # many keys: meet their documents in a join, then each document its list of keys
     def occurrences(batches):
         for batch in pieces(batches):
             rows = [(d, k) for d, t in zip(batch.column("__row").to_pylist(), text_column(batch, "text").to_pylist()) for k in _keys(t)]
             yield pa.RecordBatch.from_pydict({"__row": pa.array([r[0] for r in rows], pa.int64()), "key": pa.array([r[1] for r in rows], pa.binary())})
 
-    numbered = saved(docs.withColumn("__row", F.monotonically_increasing_id()))
+    if not keep_first:
+        numbered = saved(docs.withColumn("__row", F.monotonically_increasing_id()))
     met = attach(numbered.select("__row", "text").mapInArrow(occurrences, "__row bigint, key binary"), common, "key", "n_docs").where("n_docs is not null")
     if keep_first:
-        met = met.join(numbered.select("__row", F.col("doc_id").alias("__id")), "__row")
-        first = met.groupBy("key").agg(F.min(F.struct("__id", "__row")).alias("__first"), F.count("*").alias("__n"))
-        met = attach(met.select("__row", "key"), first, "key", "__n").where(F.col("__row") != F.col("__first.__row"))
+        met = met.where(F.col("__row") != F.col("__first"))
     lists = met.groupBy("__row").agg(F.collect_list("key").alias("__keys"))
 
     def own(batch):

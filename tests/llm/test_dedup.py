@@ -3,11 +3,13 @@
 import hashlib
 import random
 import re
+from collections import Counter
 
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from tabspark.llm import decontamination, exact_dedup, line_dedup, near_dedup
 from tabspark.llm.common import attach
 
@@ -91,6 +93,29 @@ def test_first_occurrence_keeps_its_lines(spark):
     assert out == {1: "Same \na", 2: "b", 3: "c", 4: "d"}
 
 
+@pytest.mark.parametrize("set_bytes", [0, 1 << 20])
+def test_first_occurrence_by_broadcast_and_by_join(spark, set_bytes):
+    rows = corpus() + [(i, "twin line\nother twin line") for i in range(300, 312)]
+    out = line_dedup.drop_repeated_lines(docs_of(spark, rows), 2, keep_first=True, set_bytes=set_bytes).collect()
+    keys = lambda t: {k for x in (t or "").split("\n") if (k := x.strip(" \t\n\x0b\x0c\r").translate(LOWER))}
+    assert len(out) == len(rows) and set().union(*[keys(r.text) for r in out]) == set().union(*[keys(t) for _, t in rows])
+    assert all(n == 1 for n in Counter(k for r in out for k in keys(r.text)).values())
+    assert {r.doc_id: r.text for r in out if r.doc_id and r.doc_id >= 300} == {300: "twin line\nother twin line"} | {i: "" for i in range(301, 312)}
+
+
+def test_pipeline_stages_leave_one_whole_document_of_many_copies(spark):
+    r = random.Random(9)
+    line = lambda: " ".join(f"w{r.randrange(5000)}" for _ in range(40))
+    text, other = "\n".join(line() for _ in range(5)), [line() for _ in range(5)]
+    rows = [(100 + i, text) for i in range(12)] + [(200 + i, "\n".join([*other, f"own{i} " + line()])) for i in range(11)]
+    rows += [(300, None), (301, ""), (302, " \n ")]
+    docs = docs_of(spark, rows).withColumn("n_chars", F.lit(1).cast("bigint"))
+    out = {x.doc_id: x for x in corpus_pipeline.dedup_near(spark, corpus_pipeline.dedup_lines(spark, docs, ""), "").collect()}
+    assert [i for i in out if 100 <= i < 200] == [100] and out[100].text == text and out[100].n_chars == len(text)
+    assert out[200].text == rows[12][1] and all(out[200 + i].text == rows[12 + i][1].split("\n")[-1] for i in range(1, 11))
+    assert set(out) == {100, 300, 301, 302} | {200 + i for i in range(11)}
+
+
 def test_second_filter_has_every_repeated_key():
     import numpy as np
 
