@@ -299,7 +299,7 @@ def near_dedup(docs: DataFrame, percent: int = 85, trees: int = TREES) -> DataFr
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
-def keep_one(docs: DataFrame, percent: int = 85) -> DataFrame:
+def keep_one(docs: DataFrame, percent: int = 80) -> DataFrame:
     """All columns of the rows that stay: of each component the rows of its smallest doc_id; documents with empty sets all stay."""
     found = near_dedup(docs, percent).where("not kept").select("doc_id").distinct()
     return docs.join(found, "doc_id", "left_anti").select(*docs.columns)

@@ -190,6 +190,18 @@ def test_near_dedup_edges(spark):
     assert sorted(str(x.doc_id) for x in out.collect()) == ["1", "2", "3", "None"] and out.columns == SCHEMA.replace(",", "").split()[::2]
 
 
+def test_pipeline_stage_links_from_four_fifths_on(spark):
+    w = [f"w{i}" for i in range(150)]
+    near, far = list(w), list(w)
+    for i in (20, 70, 120):
+        near[i] = f"n{i}"  # 131 of 161 shingles: 0.81
+    for i in (20, 60, 100, 130):
+        far[i] = f"f{i}"  # 126 of 166: 0.76
+    docs = docs_of(spark, [(i, " ".join(x)) for i, x in enumerate([w, near, far], 1)])
+    assert sorted(x.doc_id for x in corpus_pipeline.dedup_near(spark, docs, "").collect()) == [1, 3]
+    assert [x.kept for x in near_dedup.near_dedup(docs).orderBy("doc_id").collect()] == [True, True, True]  # op10 stays at 85
+
+
 def brute_hits(rows, items, window=10):
     low = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(LOWER))
     out = []
