@@ -17,10 +17,12 @@ import html as markup
 import re
 from urllib.parse import urlsplit
 
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tabspark.llm.common import attach, pieces, saved, text_column
 
@@ -254,6 +256,11 @@ def _host(url: str | None) -> str:
         return ""
 
 
+@F.pandas_udf(T.StringType())
+def _hosts(urls: pd.Series) -> pd.Series:
+    return urls.map(lambda x: _host(x if isinstance(x, str) else None)).astype(object)
+
+
 def templates(pages: DataFrame) -> DataFrame:
     """host and hash of every text that is template there."""
     def trees(batches):
@@ -306,7 +313,7 @@ def extract(pages: DataFrame, set_bytes: int = SET_BYTES) -> DataFrame:
         rows = pages.select("page_id", "url", "html", F.lit(None).cast("array<bigint>").alias("__known"))
     else:
         shared = None
-        rows = pages.select("page_id", "url", "html").withColumn("__host", F.lower(F.coalesce(F.parse_url("url", F.lit("HOST")), F.lit(""))))
+        rows = pages.select("page_id", "url", "html").withColumn("__host", _hosts("url"))
         lists = known.groupBy("host").agg(F.collect_list("text").alias("__known"), F.count("*").alias("n")).withColumnRenamed("host", "__host")
         rows = attach(rows, lists, "__host", "n").select("page_id", "url", "html", "__known")
 

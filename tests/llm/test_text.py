@@ -45,6 +45,18 @@ def test_html_template_of_a_host(spark):
     assert html_extract.extract(df.limit(0)).count() == 0
 
 
+def test_html_hosts_are_the_same_in_broadcast_and_join(spark):
+    """Urls that a strict parser refuses or finds no host in."""
+    page = lambda i: f"<body><div><p>Read more here</p></div><div><p>Body of story {i}</p></div></body>"
+    heads = ["http://my_site.example/a", "http://UP.example:80/a b|c", None, "http://[bad/x", "no url at all"]
+    pages = [(u if u is None else f"{u}{i}", page(i)) for u in heads for i in range(6)]
+    df = spark.createDataFrame([(i, u, h) for i, (u, h) in enumerate(pages)], "page_id bigint, url string, html string").repartition(3)
+    for more in ({}, {"set_bytes": 0}):
+        got = {r.page_id: r.text for r in html_extract.extract(df, **more).collect()}
+        # the last three kinds have no host: together they are one
+        assert got == {i: f"Body of story {i % 6}" for i in range(len(pages))}
+
+
 def test_simple_tree_matching():
     tree, reference = "body(nav,div(p),p)", "body(nav,div(h1,p),aside,p)"
     sigs, _, _ = html_extract.parse_tree(reference)
