@@ -97,6 +97,17 @@ def test_lowess_of_many_values_follows_the_exact_line(frame):
     assert np.allclose(got.smooth, plain_lowess(sub.x.to_numpy(), sub.y.to_numpy(), 0.4, 3), atol=0.02)
 
 
+@pytest.mark.parametrize("n,bins,atol", [(300, 1_024, 1e-2), (1_500, 256, 5e-2)])
+def test_lowess_with_a_far_outlier_follows_the_exact_line(frame, n, bins, atol):
+    rng = np.random.default_rng(4)
+    x = np.append(rng.uniform(0, 6, n - 1), 6_000.0)
+    y = np.sin(x) + rng.normal(0, 0.1, n)
+    df = frame[1].sparkSession.createDataFrame(pd.DataFrame({"k": "a", "x": x, "y": y})).repartition(3)
+    got = density.lowess(df, ["k"], "x", "y", 0.3, bins=bins).toPandas().sort_values("x")
+    want = plain_lowess(np.sort(x), y[np.argsort(x)], 0.3, 3)
+    assert np.allclose(got.smooth[:-1], want[:-1], atol=atol)
+
+
 def test_trend_keeps_the_strongest(frame):
     _, df = frame
     got = charts.target_trend(df, "y", top_k=1).toPandas()
