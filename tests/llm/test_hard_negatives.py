@@ -66,7 +66,7 @@ def test_against_plain(spark):
 
 
 def test_large_components_and_limits(spark):
-    rows = [(i, [float((i * 37 % 11 - 3) << 18), float((i * 53 % 13) << 20)], i % 2) for i in range(40)]
+    rows = [(i, [float((i * 37 % 11 - 3) << 18), float((i * 53 % 13) << 18)], i % 2) for i in range(40)]
     assert got(hn.hard_negatives(frame(spark, rows), F.col("vec_id") % 10 == 0)) == plain(rows, 10) != []
     with pytest.raises(ValueError, match="64 bits"):
         hn.hard_negatives(frame(spark, [(0, [1e300], 0), (1, [1.0], 0)]))
