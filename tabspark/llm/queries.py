@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabspark.llm import decontamination, exact_dedup, hard_negatives, html_extract, license_scan, line_dedup, lm_score, near_dedup, quality, sentencepiece_codec, toxicity
+from tabspark.llm import decontamination, exact_dedup, hard_negatives, html_extract, license_scan, line_dedup, lm_score, near_dedup, phrases, quality, sentencepiece_codec, toxicity
 from tabspark.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -125,3 +125,22 @@ FROM p JOIN s ON p.a = s.a AND NOT s.same AND 50 * p.score <= 100 * s.score AND
 QUALIFY row_number() OVER (PARTITION BY p.a, p.b ORDER BY s.score DESC, s.b) <= 3""")
 def op12_hard_negatives(spark, sf):
     return hard_negatives.report(table(spark, sf, "embeddings"))
+
+
+@query(rf"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, regexp_extract_all(unnest(string_split_regex({LOWER}, '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') AS w FROM documents),
+g AS (SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS phrase FROM p, (VALUES (1), (2), (3)) AS t(k) WHERE len(w) >= k),
+f AS (SELECT lang, k, phrase, count(*) AS a FROM g GROUP BY ALL),
+c AS (SELECT lang, k, phrase, a, string_split(phrase, ' ') AS w FROM f WHERE k > 1 AND a >= 10),
+two AS (SELECT lang, phrase, a, i, array_to_string(w[1:i], ' ') AS head, array_to_string(w[i + 1:], ' ') AS tail FROM (SELECT *, unnest(range(1, k)) AS i FROM c)),
+cut AS (SELECT two.*, h.a AS l, t.a AS r, (CAST(1000000 AS HUGEINT) * two.a * two.a) // (CAST(h.a AS HUGEINT) * t.a) AS score
+        FROM two JOIN f h ON two.lang = h.lang AND two.head = h.phrase JOIN f t ON two.lang = t.lang AND two.tail = t.phrase),
+lowest AS (SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, i) = 1),
+part AS (SELECT lang, array_to_string(w[1:2], ' ') AS phrase, a FROM c WHERE k = 3 UNION ALL SELECT lang, array_to_string(w[2:3], ' '), a FROM c WHERE k = 3),
+around AS (SELECT lang, phrase, max(a) AS longer FROM part GROUP BY ALL),
+kept AS (SELECT lowest.* FROM lowest LEFT JOIN around USING (lang, phrase) WHERE coalesce(100 * longer < 50 * a, true)),
+n AS (SELECT lang, CAST(sum(a) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY lang)
+SELECT kept.lang, row_number() OVER (PARTITION BY kept.lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score
+FROM kept JOIN n ON kept.lang = n.lang QUALIFY row_number() OVER (PARTITION BY kept.lang ORDER BY score DESC, a DESC, phrase) <= 2000""")
+def op13_phrase_collocations(spark, sf):
+    return phrases.report(table(spark, sf, "documents"))
