@@ -3,21 +3,21 @@
 from __future__ import annotations
 
 import json
-import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 from typing import Any
 
 from pyspark.ml import PipelineModel
-from pyspark.ml.classification import GBTClassifier, MultilayerPerceptronClassifier, OneVsRest, RandomForestClassifier
+from pyspark.ml.classification import MultilayerPerceptronClassifier, RandomForestClassifier
 from pyspark.ml.feature import StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
+from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabspark.columns import SEED, aggregate_once, category_columns, col, numeric_columns
+from tabspark.operators import boosting
 from tabspark.operators.target import CLASSIFICATION, REGRESSION
 from tabspark.operators.transforms import BUILDERS, Chain, TargetEncoding, Transform, builder
 
@@ -30,9 +30,12 @@ MISSING = "__missing__"
 # starting values of each preset (fixed values)
 DEFAULTS: dict[str, dict[str, Any]] = {
     "RF": {"n_estimators": 100, "max_depth": 8, "min_samples_leaf": 1, "max_features": "sqrt", "max_samples": 0.8},
-    "XGB": {"n_estimators": 100, "learning_rate": 0.1, "max_depth": 6, "min_child_weight": 1, "subsample": 1.0, "colsample": "all", "gamma": 0.0},
-    "LGBM": {"n_estimators": 100, "learning_rate": 0.1, "num_leaves": 31, "min_child_samples": 20, "subsample": 1.0, "colsample": "all"},
-    "CAT": {"n_estimators": 100, "learning_rate": 0.1, "depth": 6, "border_count": 128, "subsample": 1.0, "colsample": "all"},
+    "XGB": {"n_estimators": 100, "learning_rate": 0.1, "max_depth": 6, "min_child_weight": 1, "subsample": 1.0, "colsample_bytree": 1.0, "colsample_bylevel": 1.0,
+            "gamma": 0.0, "reg_alpha": 0.0, "reg_lambda": 1.0, "grow_policy": "depthwise", "max_leaves": None, "max_bin": 256, "scale_pos_weight": 1.0, "early_stopping_rounds": 60},
+    "LGBM": {"n_estimators": 100, "learning_rate": 0.1, "num_leaves": 31, "max_depth": -1, "min_child_samples": 20, "min_split_gain": 0.0, "path_smooth": 0.0, "subsample": 1.0,
+             "colsample_bytree": 1.0, "colsample_bynode": 1.0, "reg_alpha": 0.0, "reg_lambda": 0.0, "max_bin": 255, "scale_pos_weight": 1.0, "early_stopping_rounds": 60},
+    "CAT": {"n_estimators": 100, "learning_rate": 0.1, "depth": 6, "grow_policy": "SymmetricTree", "l2_leaf_reg": 3.0, "bootstrap_type": "Bayesian", "bagging_temperature": 1.0,
+            "subsample": 1.0, "border_count": 254, "early_stopping_rounds": 60},
     "MLP": {"hidden": [64, 32], "epochs": 100, "batch_size": 32},
 }
 
@@ -91,19 +94,34 @@ def estimator(spec: ModelSpec, task: str, n_classes: int, n_features: int, max_a
         kind = RandomForestRegressor if task == REGRESSION else RandomForestClassifier
         return kind(**names, numTrees=int(s["n_estimators"]), maxDepth=int(s["max_depth"]), minInstancesPerNode=int(s["min_samples_leaf"]),
                     featureSubsetStrategy=str(s["max_features"]), subsamplingRate=float(s["max_samples"]), maxBins=bins, seed=spec.seed)
-    common = {**names, "maxIter": int(s["n_estimators"]), "stepSize": float(s["learning_rate"]), "subsamplingRate": float(s["subsample"]),
-              "featureSubsetStrategy": str(s["colsample"]), "seed": spec.seed, "maxBins": bins}
+    raise ValueError(f"{spec.flavor} is fitted by boosting_settings")
+
+
+GROWTH = {"depthwise": "level", "lossguide": "leaf", "SymmetricTree": "symmetric", "Depthwise": "level", "Lossguide": "leaf"}
+
+
+def boosting_settings(spec: ModelSpec) -> boosting.Settings:
+    """What a boosted preset means: level by level, best first, or symmetric with ordered category statistics."""
+    s = spec.settings
+    common = {"n_estimators": int(s["n_estimators"]), "learning_rate": float(s["learning_rate"]), "subsample": float(s["subsample"]),
+              "early_stopping_rounds": s["early_stopping_rounds"] and int(s["early_stopping_rounds"]), "seed": spec.seed}
+    if spec.flavor == "LGBM":
+        return boosting.Settings(growth="leaf", max_leaves=int(s["num_leaves"]), max_depth=max(0, int(s["max_depth"])), min_child_samples=int(s["min_child_samples"]),
+                                 gamma=float(s["min_split_gain"]), path_smooth=float(s["path_smooth"]), colsample_bytree=float(s["colsample_bytree"]),
+                                 colsample_bylevel=float(s["colsample_bynode"]), reg_alpha=float(s["reg_alpha"]), reg_lambda=float(s["reg_lambda"]), bins=int(s["max_bin"]),
+                                 min_child_weight=1e-3, scale_pos_weight=float(s["scale_pos_weight"]), **common)
+    if s["grow_policy"] not in GROWTH:
+        raise ValueError(f"unknown grow_policy {s['grow_policy']!r}; known: {sorted(GROWTH)}")
+    growth = GROWTH[s["grow_policy"]]
     if spec.flavor == "XGB":
-        common.update(maxDepth=int(s["max_depth"]), minInstancesPerNode=max(1, int(s["min_child_weight"])), minInfoGain=float(s["gamma"]))
-    elif spec.flavor == "LGBM":
-        common.update(maxDepth=max(1, math.ceil(math.log2(int(s["num_leaves"])))), minInstancesPerNode=max(1, int(s["min_child_samples"])))
-    else:
-        common.update(maxDepth=int(s["depth"]), maxBins=max(bins, int(s["border_count"])))
-    if task == REGRESSION:
-        return GBTRegressor(**common)
-    if n_classes <= 2:
-        return GBTClassifier(**common)
-    return OneVsRest(classifier=GBTClassifier(**common), featuresCol="__features", labelCol="__label")
+        return boosting.Settings(growth=growth, max_depth=int(s["max_depth"]), max_leaves=int(s["max_leaves"] or 0), min_child_weight=float(s["min_child_weight"]),
+                                 gamma=float(s["gamma"]), reg_alpha=float(s["reg_alpha"]), reg_lambda=float(s["reg_lambda"]), colsample_bytree=float(s["colsample_bytree"]),
+                                 colsample_bylevel=float(s["colsample_bylevel"]), bins=int(s["max_bin"]), scale_pos_weight=float(s["scale_pos_weight"]), **common)
+    if s["bootstrap_type"] not in ("Bayesian", "Bernoulli", "No"):
+        raise ValueError(f"unknown bootstrap_type {s['bootstrap_type']!r}")
+    common["subsample"] = common["subsample"] if s["bootstrap_type"] == "Bernoulli" else 1.0
+    return boosting.Settings(growth=growth, max_depth=int(s["depth"]), max_leaves=31 if growth == "leaf" else 0, reg_lambda=float(s["l2_leaf_reg"]), bins=int(s["border_count"]), ordered=True,
+                             bagging_temperature=float(s["bagging_temperature"]) if s["bootstrap_type"] == "Bayesian" else 0.0, **common)
 
 
 def input_step(df: DataFrame, features: Sequence[str], max_levels: int = MAX_LEVELS) -> tuple[Transform, list[str], list[str]]:
@@ -168,13 +186,10 @@ class FoldModel:
         return out.select("__row", *extra).select("__row.*", *[F.col(pred)], *([F.col(proba)] if proba else []))
 
     def _probability(self, scored: DataFrame) -> Column | None:
-        if "probability" in scored.columns:
-            return vector_to_array(F.col("probability"))
-        if "rawPrediction" not in scored.columns:
+        if "probability" not in scored.columns:
             return None
-        # one against the rest: one margin per class, squashed and normalised
-        squashed = F.transform(vector_to_array(F.col("rawPrediction")), lambda m: 1 / (1 + F.exp(-2 * m)))
-        return F.transform(squashed, lambda p: p / F.aggregate(squashed, F.lit(0.0), lambda a, x: a + x))
+        p = F.col("probability")
+        return p if isinstance(scored.schema["probability"].dataType, T.ArrayType) else vector_to_array(p)
 
 
 def class_labels(df: DataFrame, y_name: str) -> list[str]:
@@ -189,10 +204,10 @@ def class_labels(df: DataFrame, y_name: str) -> list[str]:
 
 
 def fit_model(train: DataFrame, features: Sequence[str], y_name: str, task: str, spec: ModelSpec, chain: Chain | None = None,
-              fitted: DataFrame | None = None, fold: int = 0, labels: list[str] | None = None) -> FoldModel:
+              fitted: DataFrame | None = None, fold: int = 0, labels: list[str] | None = None, val: DataFrame | None = None) -> FoldModel:
     """Fit on training rows.  ``fitted`` are the training rows after ``chain`` (cross-fitted encoders give
-    them other values than ``chain.apply``).  Boosted trees run all their rounds: the library's own early
-    stop has no patience and ends after the first round that does not help."""
+    them other values than ``chain.apply``).  Boosted trees stop early by the loss of the rows of ``val``;
+    without them they run all their rounds."""
     chain = chain or Chain([])
     rows = chain.apply(train) if fitted is None else fitted
     dropped = set(train.columns) - set(features)
@@ -204,11 +219,13 @@ def fit_model(train: DataFrame, features: Sequence[str], y_name: str, task: str,
     label = col(y_name).cast("double") if task == REGRESSION else \
         (F.array_position(F.array(*[F.lit(v) for v in labels]), col(y_name).cast("string")) - 1).cast("double")
     ready = ready.withColumn("__label", label)
+    held = None if val is None else last.apply(chain.apply(val)).withColumn("__label", label)
     stages, arity, inputs = [], 0, []
     if texts:
         indexer = StringIndexer(inputCols=texts, outputCols=[f"__i_{t}" for t in texts], handleInvalid="keep", stringOrderType="alphabetAsc").fit(ready)
         stages.append(indexer)
         ready = indexer.transform(ready)
+        held = None if held is None else indexer.transform(held)
         arity = max(len(v) for v in indexer.labelsArray) + 1
     inputs = [*numbers, *[f"__i_{t}" for t in texts]]
     if not inputs:
@@ -219,7 +236,12 @@ def fit_model(train: DataFrame, features: Sequence[str], y_name: str, task: str,
     n_classes = len(labels)
     if spec.flavor in BOOSTED and task == CLASSIFICATION and n_classes < 2:
         raise ValueError(f"{y_name} has a single class in fold {fold}")
-    fitted_model = estimator(spec, task, n_classes, len(inputs), arity).fit(ready.select("__features", "__label"))
+    if spec.flavor in BOOSTED:
+        levels = {f"__i_{t}": len(v) + 1 for t, v in zip(texts, indexer.labelsArray)} if texts else {}
+        kind = "squared" if task == REGRESSION else "logistic" if n_classes == 2 else "softmax"
+        fitted_model = boosting.fit(ready, inputs, levels, kind, n_classes if kind == "softmax" else 1, boosting_settings(spec), held)
+    else:
+        fitted_model = estimator(spec, task, n_classes, len(inputs), arity).fit(ready.select("__features", "__label"))
     return FoldModel(spec.flavor, fold, y_name, task, whole, PipelineModel([*stages, fitted_model]), list(features),
                      [c.removeprefix("__i_") for c in inputs], labels, train.select(*[col(f) for f in features]).schema, spec.label)
 

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from tabspark.columns import as_list, col
 from tabspark.operators import density
+from tabspark.operators.boosting import BoostedModel
 from tabspark.operators.correlation import correlation_long
 from tabspark.operators.models import FoldModel
 from tabspark.operators.target import CLASSIFICATION
@@ -71,20 +72,49 @@ def tree_leaves(root, weight: float, outputs: int, class_tree: bool) -> list[Lea
 
 def ensemble_leaves(model, labels: Sequence[str] = ()) -> tuple[list[Leaf], int]:
     """(leaves, outputs).  Forests average their trees (class shares for classification); boosted trees
-    add up, so boosted classifiers are explained on their margin."""
+    add up, so boosted classifiers are explained on their margin, one per class if there are several."""
+    if isinstance(model, BoostedModel):
+        return boosted_leaves(model)
     trees = getattr(model, "trees", None)
     if trees is None:
         raise ValueError(f"{type(model).__name__} is not a tree ensemble")
     class_tree = "Classification" in type(trees[0]).__name__
     outputs = len(labels) if class_tree else 1
-    boosted = type(model).__name__.startswith("GBT")
     leaves: list[Leaf] = []
-    for i, tree in enumerate(trees):
-        weight = model.treeWeights[i] if boosted else 1.0 / len(trees)
-        leaves += tree_leaves(tree._call_java("rootNode"), float(weight), outputs, class_tree)
+    for tree in trees:
+        leaves += tree_leaves(tree._call_java("rootNode"), 1.0 / len(trees), outputs, class_tree)
     return leaves, outputs
 
 
+def boosted_leaves(model: BoostedModel) -> tuple[list[Leaf], int]:
+    """Leaves of all rounds; a tree adds to the margin of its own output.  The starting margins are a leaf without conditions."""
+    start, rate = np.asarray(model.facts["start"], float), model.facts["rate"]
+    arity = {int(k): n for k, n in model.facts["arity"].items()}
+    leaves = [Leaf(start, [], [], [], [])]
+    for trees in model.rounds:
+        for k, t in enumerate(trees):
+            own = np.zeros(len(start))
+            own[k] = rate
+            waiting: list[tuple[int, dict]] = [(0, {})]
+            while waiting:
+                node, path = waiting.pop()
+                f = t.feature[node]
+                if f < 0:
+                    leaves.append(Leaf(own * t.value[node], list(path), [p[0] for p in path.values()], [(p[1], p[2]) for p in path.values()], [p[3] for p in path.values()]))
+                    continue
+                share, low, high, levels = path.get(f, (1.0, -math.inf, math.inf, None))
+                for child, is_left in ((t.left[node], True), (t.right[node], False)):
+                    part = t.cover[child] / t.cover[node] if t.cover[node] else 0.5
+                    if t.levels[node] is None:
+                        cut = t.threshold[node]
+                        step = (share * part, low, min(high, cut), levels) if is_left else (share * part, max(low, cut), high, levels)
+                    else:
+                        allowed = frozenset(t.levels[node]) if is_left else frozenset(range(arity[f])) - frozenset(t.levels[node])
+                        step = (share * part, low, high, allowed if levels is None else levels & allowed)
+                    waiting.append((child, {**path, f: step}))
+    return leaves, len(start)
+
+
 def base_value(leaves: list[Leaf], outputs: int) -> np.ndarray:
     """Output with no feature known."""
     return sum((leaf.value * np.prod(leaf.shares) for leaf in leaves), np.zeros(outputs))

@@ -63,13 +63,16 @@ def cross_validate(table: ModelTable, folds: Folds, spec: ModelSpec, transforms:
         train = folds.train(fold)
         train = train.drop(*[c for c in train.columns if c not in (*table.features, *table.targets, *folds.key)])
         chain, fitted = fit_chain(train, [lambda d, t=t: t(d, y) for t in transforms])
-        return fit_model(train, table.features, y, table.task, spec, chain, fitted, fold, labels.get(y))
+        val = folds.val(fold) if spec.flavor in BOOSTED else None
+        return fit_model(train, table.features, y, table.task, spec, chain, fitted, fold, labels.get(y), val)
 
     jobs = [(f, y) for f in range(folds.n_folds) for y in table.targets]
-    with ThreadPool(max(1, min(parallelism, len(jobs)))) as pool:
-        models = pool.map(one, jobs)
-    predictions = materialize(fold_predictions(models, folds, kinds, keep))
-    folds.unpersist()
+    try:
+        with ThreadPool(max(1, min(parallelism, len(jobs)))) as pool:
+            models = pool.map(one, jobs)
+        predictions = materialize(fold_predictions(models, folds, kinds, keep))
+    finally:
+        folds.unpersist()
     return CVResult(spec.label, table.task, models, predictions)
 
 

@@ -367,7 +367,7 @@ def custom_functions(spark, sf):
 
 # -- targets ----------------------------------------------------------------------------------------
 
-@query(f"SELECT o_orderkey, CAST(o_custkey AS DOUBLE) AS o_custkey, o_orderstatus, {GAP} AS price FROM orders WHERE {GAP} IS NOT NULL")
+@query(f"SELECT o_orderkey, CAST(o_custkey AS DOUBLE) AS o_custkey, o_orderstatus, o_orderdate, {GAP} AS price FROM orders WHERE {GAP} IS NOT NULL")
 def model_table(spark, sf):
     df = gappy_orders(spark, sf).select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate", "price")
     return target.x_y(df, "price", keep="o_orderkey").df
