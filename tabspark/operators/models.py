@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from typing import Any
 
 from pyspark.ml import PipelineModel
-from pyspark.ml.classification import MultilayerPerceptronClassifier, RandomForestClassifier
+from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import RandomForestRegressor
@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabspark.columns import SEED, aggregate_once, category_columns, col, numeric_columns
-from tabspark.operators import boosting
+from tabspark.operators import boosting, perceptron
 from tabspark.operators.target import CLASSIFICATION, REGRESSION
 from tabspark.operators.transforms import BUILDERS, Chain, TargetEncoding, Transform, builder
 
@@ -36,7 +36,8 @@ DEFAULTS: dict[str, dict[str, Any]] = {
              "colsample_bytree": 1.0, "colsample_bynode": 1.0, "reg_alpha": 0.0, "reg_lambda": 0.0, "max_bin": 255, "scale_pos_weight": 1.0, "early_stopping_rounds": 60},
     "CAT": {"n_estimators": 100, "learning_rate": 0.1, "depth": 6, "grow_policy": "SymmetricTree", "l2_leaf_reg": 3.0, "bootstrap_type": "Bayesian", "bagging_temperature": 1.0,
             "subsample": 1.0, "border_count": 254, "early_stopping_rounds": 60},
-    "MLP": {"hidden": [64, 32], "epochs": 100, "batch_size": 32},
+    "MLP": {"hidden": [64, 32], "activation": "relu", "dropout": 0.1, "optimizer": "adam", "learning_rate": 0.01, "weight_decay": 0.001, "epochs": 100, "batch_size": 32,
+            "early_stopping_rounds": None},
 }
 
 
@@ -80,21 +81,23 @@ def mlp(**params) -> ModelSpec:
     return ModelSpec("MLP", params)
 
 
-def estimator(spec: ModelSpec, task: str, n_classes: int, n_features: int, max_arity: int):
+def estimator(spec: ModelSpec, task: str, max_arity: int):
     """The Spark ML estimator of a preset; trees need as many bins as the widest category."""
     s = spec.settings
     names = {"featuresCol": "__features", "labelCol": "__label"}
-    if spec.flavor == "MLP":
-        if task == REGRESSION:
-            raise ValueError("the multilayer perceptron is for classification only")
-        return MultilayerPerceptronClassifier(**names, layers=[n_features, *map(int, s["hidden"]), n_classes],
-                                              maxIter=int(s["epochs"]), blockSize=int(s["batch_size"]), seed=spec.seed)
     bins = max(32, max_arity + 1)
     if spec.flavor == "RF":
         kind = RandomForestRegressor if task == REGRESSION else RandomForestClassifier
         return kind(**names, numTrees=int(s["n_estimators"]), maxDepth=int(s["max_depth"]), minInstancesPerNode=int(s["min_samples_leaf"]),
                     featureSubsetStrategy=str(s["max_features"]), subsamplingRate=float(s["max_samples"]), maxBins=bins, seed=spec.seed)
-    raise ValueError(f"{spec.flavor} is fitted by boosting_settings")
+    raise ValueError(f"{spec.flavor} has no estimator of the library: see boosting and perceptron")
+
+
+def network_settings(spec: ModelSpec) -> perceptron.Settings:
+    s = spec.settings
+    stop = s["early_stopping_rounds"]
+    return perceptron.Settings(tuple(map(int, s["hidden"])), str(s["activation"]), float(s["dropout"]), str(s["optimizer"]), float(s["learning_rate"]), float(s["weight_decay"]),
+                               int(s["epochs"]), int(s["batch_size"]), stop and int(stop), spec.seed)
 
 
 GROWTH = {"depthwise": "level", "lossguide": "leaf", "SymmetricTree": "symmetric", "Depthwise": "level", "Lossguide": "leaf"}
@@ -240,8 +243,11 @@ def fit_model(train: DataFrame, features: Sequence[str], y_name: str, task: str,
         levels = {f"__i_{t}": len(v) + 1 for t, v in zip(texts, indexer.labelsArray)} if texts else {}
         kind = "squared" if task == REGRESSION else "logistic" if n_classes == 2 else "softmax"
         fitted_model = boosting.fit(ready, inputs, levels, kind, n_classes if kind == "softmax" else 1, boosting_settings(spec), held)
+    elif spec.flavor == "MLP":
+        head = perceptron.Head("squared", 1) if task == REGRESSION else perceptron.Head("logistic", 1) if n_classes <= 2 else perceptron.Head("softmax", n_classes)
+        fitted_model = perceptron.fit(ready, inputs, {"__label": head}, network_settings(spec), held)
     else:
-        fitted_model = estimator(spec, task, n_classes, len(inputs), arity).fit(ready.select("__features", "__label"))
+        fitted_model = estimator(spec, task, arity).fit(ready.select("__features", "__label"))
     return FoldModel(spec.flavor, fold, y_name, task, whole, PipelineModel([*stages, fitted_model]), list(features),
                      [c.removeprefix("__i_") for c in inputs], labels, train.select(*[col(f) for f in features]).schema, spec.label)
 

@@ -63,7 +63,7 @@ def cross_validate(table: ModelTable, folds: Folds, spec: ModelSpec, transforms:
         train = folds.train(fold)
         train = train.drop(*[c for c in train.columns if c not in (*table.features, *table.targets, *folds.key)])
         chain, fitted = fit_chain(train, [lambda d, t=t: t(d, y) for t in transforms])
-        val = folds.val(fold) if spec.flavor in BOOSTED else None
+        val = folds.val(fold) if spec.flavor != "RF" else None  # for early stopping
         return fit_model(train, table.features, y, table.task, spec, chain, fitted, fold, labels.get(y), val)
 
     jobs = [(f, y) for f in range(folds.n_folds) for y in table.targets]
@@ -129,8 +129,8 @@ def tune(table: ModelTable, folds: Folds, spec: ModelSpec, space: Mapping[str, A
 
 
 def loss_curve(result: CVResult, folds: Folds, kinds: Sequence[str] = ("train", "val")) -> DataFrame | None:
-    """(fold, type, y_name, iteration, loss) of boosted models; the perceptron has its training loss only;
-    forests have none."""
+    """(fold, type, y_name, iteration, loss) of boosted models and networks; a network has the losses of its training run; forests
+    have none."""
     rows = []
     for m in result.models:
         final = m.model
@@ -147,8 +147,9 @@ def loss_curve(result: CVResult, folds: Folds, kinds: Sequence[str] = ("train",
                 ready = ready.withColumn("__label", y).select("__features", "__label")
                 losses = final.evaluateEachIteration(ready, "squared") if m.task == REGRESSION else final.evaluateEachIteration(ready)
                 rows += [(m.fold, kind, m.y_name, i, float(v)) for i, v in enumerate(losses)]
-        elif m.flavor == "MLP" and final.hasSummary:
-            rows += [(m.fold, "train", m.y_name, i, float(v)) for i, v in enumerate(final.summary().objectiveHistory)]
+        elif m.flavor == "MLP":
+            for kind, values in zip(("train", "val"), zip(*final.losses)):
+                rows += [(m.fold, kind, m.y_name, i, float(v)) for i, v in enumerate(values) if kind in kinds and v is not None]
     if not rows:
         return None
     spark = SparkSession.getActiveSession()
