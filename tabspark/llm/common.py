@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -68,3 +69,39 @@ def flat(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     data = texts.buffers()[2]
     whole = np.frombuffer(data, dtype=np.uint8) if data is not None else np.empty(0, np.uint8)
     return whole[offsets[0] : offsets[-1]], offsets - offsets[0]
+
+
+class Bucketed:
+    """A table that grows by appended parts and is bucketed by its key: joins and groups by that key do not shuffle it."""
+
+    def __init__(self, spark: SparkSession, key: list[str], part: str | None = None):
+        self.spark, self.key, self.part = spark, key, part
+        self.n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.name, self.path, self.made = f"t_{uuid.uuid4().hex}", f"{shared_scratch(spark)}/t", False
+
+    def append(self, df: DataFrame) -> None:
+        out = df.repartition(self.n, *self.key).write.format("parquet").mode("append").option("compression", "zstd").option("path", self.path)
+        (out.partitionBy(self.part) if self.part else out).bucketBy(self.n, *self.key).saveAsTable(self.name)
+        self.made = True
+
+    def read(self) -> DataFrame:
+        return self.spark.table(self.name)
+
+    def forget(self) -> None:
+        """Take the name out of the catalogue; the files stay in the scratch folder."""
+        if self.made:
+            self.spark.sql(f"DROP TABLE {self.name}")
+
+
+def packed(batch: pa.RecordBatch) -> tuple[bytes, int]:
+    """A batch as compressed bytes, and their size before."""
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema) as out:
+        out.write_batch(batch)
+    body = sink.getvalue()
+    return pa.compress(body, "zstd", asbytes=True), body.size
+
+
+def unpacked(body: pa.Scalar, n_bytes: int) -> pa.RecordBatch:
+    with pa.ipc.open_stream(pa.decompress(body.as_buffer(), n_bytes, "zstd")) as stream:
+        return stream.read_next_batch()

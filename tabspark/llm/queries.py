@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabspark.llm import decontamination, exact_dedup, hard_negatives, html_extract, license_scan, line_dedup, lm_score, near_dedup, phrases, quality, sentencepiece_codec, toxicity
+from tabspark.llm import decontamination, exact_dedup, hard_negatives, html_extract, license_scan, line_dedup, lm_score, near_dedup, phrases, quality, sentencepiece_codec, substring_dedup, toxicity
 from tabspark.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -144,3 +144,16 @@ SELECT kept.lang, row_number() OVER (PARTITION BY kept.lang ORDER BY score DESC,
 FROM kept JOIN n ON kept.lang = n.lang QUALIFY row_number() OVER (PARTITION BY kept.lang ORDER BY score DESC, a DESC, phrase) <= 2000""")
 def op13_phrase_collocations(spark, sf):
     return phrases.report(table(spark, sf, "documents"))
+
+
+@query(rf"""
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(coalesce(text, ''), '{SOLID}') AS w FROM documents),
+win AS (SELECT row, doc_id, unnest(range(1, len(w) - 11)) AS p, unnest(list_transform(range(1, len(w) - 11), lambda i: array_to_string(w[i:i + 12], ' '))) AS g FROM d WHERE len(w) >= 13),
+own AS (SELECT g, min(doc_id) AS owner FROM win GROUP BY g HAVING count(*) > 1),
+hit AS (SELECT DISTINCT row, unnest(range(p, p + 13)) AS q FROM win JOIN own USING (g) WHERE owner < doc_id),
+word AS (SELECT row, doc_id, unnest(range(1, len(w) + 1)) AS q, unnest(w) AS x FROM d),
+kept AS (SELECT word.row, count(hit.q) AS n_removed, string_agg(x, ' ' ORDER BY word.q) FILTER (WHERE hit.q IS NULL) AS t
+         FROM word LEFT JOIN hit ON word.row = hit.row AND word.q = hit.q GROUP BY word.row)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN kept ON d.row = kept.row""")
+def op11_substring_dedup(spark, sf):
+    return substring_dedup.report(table(spark, sf, "documents"))

@@ -165,6 +165,6 @@ def test_pipeline_stages(spark, tmp_path):
     out = {x.doc_id: x for x in corpus_pipeline.run(spark, str(tmp_path)).collect()}
     want = {i for i in range(240) if i % 6} | {600, 700} | {800 + i for i in range(12)}
     assert set(out) == want and all(x.round_trip for x in out.values())
-    assert all("common line" not in out[800 + i].text for i in range(12)) and out[600].text == near
+    assert [i for i in range(12) if "common line" in out[800 + i].text] == [0] and out[600].text == near  # the first document keeps the line
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "line_dedup", "near_dedup", "decontamination", "sentencepiece"]
     assert re.fullmatch(r"w\d+( w\d+)*", out[1].text)
