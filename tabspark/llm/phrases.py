@@ -18,18 +18,16 @@ result; further columns are ignored.
 
 from __future__ import annotations
 
-import uuid
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabspark.llm.common import attach, flat, pieces, saved, text_column
+from tabspark.llm.common import Bucketed, attach, flat, pieces, saved, text_column
 from tabspark.llm.tokens import words
-from tabspark.session import shared_scratch
 
 SHARDS = 2  # fewest steps in all; more shards start long phrases earlier
 PIECE = 8 << 20  # text bytes of a piece
@@ -39,27 +37,6 @@ LOWER = np.array([b + 32 if 0x41 <= b <= 0x5A else b for b in range(256)], np.ui
 REACH = 64  # steps that fit the packed field
 
 
-class Table:
-    """A bucketed table that grows by appended steps; reading it by its key needs no shuffle."""
-
-    def __init__(self, spark: SparkSession, key: list[str], part: str):
-        self.spark, self.key, self.part = spark, key, part
-        self.n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        self.name, self.path, self.made = f"t_{uuid.uuid4().hex}", f"{shared_scratch(spark)}/t", False
-
-    def append(self, df: DataFrame) -> None:
-        out = df.repartition(self.n, *self.key).write.format("parquet").mode("append").option("compression", "zstd").option("path", self.path)
-        out.partitionBy(self.part).bucketBy(self.n, *self.key).saveAsTable(self.name)
-        self.made = True
-
-    def read(self) -> DataFrame:
-        return self.spark.table(self.name)
-
-    def forget(self) -> None:
-        if self.made:
-            self.spark.sql(f"DROP TABLE {self.name}")
-
-
 def _packed(a: np.ndarray | bytes) -> bytes:
     return pa.compress(a.tobytes() if isinstance(a, np.ndarray) else a, "zstd", asbytes=True)
 
@@ -159,23 +136,30 @@ def _count_phrases(length: int, step: int, shards: int):
 N = f"cast(place & {(1 << 32) - 1}L as bigint)"  # the count in a place
 
 
-def _reached(table: Table, known: list[DataFrame], step: int, base: int, min_count: int) -> tuple[DataFrame, int]:
-    """Phrases whose count has reached the threshold in this step, numbered on from ``base``; and the next free number."""
-    total = table.read().groupBy(*table.key).agg(F.sum(F.expr(N)).alias("f")).where(F.col("f") >= min_count).drop("f")
-    if known:
-        total = total.join(reduce(DataFrame.unionByName, known).select(*table.key), table.key, "left_anti")
-    new = saved(total.withColumn("task", F.spark_partition_id()).withColumn("k", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))))
-    facts = new.agg(F.max("task").alias("task"), F.max("k").alias("k")).first()
-    if facts["k"] is None:
-        return new.select(*table.key, F.lit(0).cast("bigint").alias("id"), F.lit(step).alias("reach")), base
-    tasks = facts["task"] + 1
-    return new.select(*table.key, (F.col("k") * tasks + F.col("task") + base).cast("bigint").alias("id"), F.lit(step).alias("reach")), base + (facts["k"] + 1) * tasks
+def _reached(table: Bucketed, known: DataFrame | None, step: int, base: int, min_count: int) -> tuple[DataFrame | None, int]:
+    """All frequent phrases of a length: key, f (count so far), id, reach (the step they became frequent in); and the next free number.
 
-
-def _told(table: Table, reached: list[DataFrame], step: int, shards: int) -> DataFrame:
+    Phrases that are new are numbered on from ``base``.
+    """
+    total = table.read().groupBy(*table.key).agg(F.sum(F.expr(N)).alias("f")).where(F.col("f") >= min_count)
+    if known is not None:
+        total = total.join(known.drop("f"), table.key, "left")
+    else:
+        total = total.withColumns({"id": F.lit(None).cast("bigint"), "reach": F.lit(None).cast("int")})
+    found = saved(total.withColumn("task", F.spark_partition_id()).withColumn("k", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))))
+    new = found.where("id IS NULL").agg(F.max("task").alias("task"), F.max("k").alias("k")).first()
+    if new["k"] is not None:
+        tasks = new["task"] + 1
+        number = (F.col("k") * tasks + F.col("task") + base).cast("bigint")
+        found, base = found.withColumn("id", F.coalesce("id", number)).withColumn("reach", F.coalesce("reach", F.lit(step))), base + (new["k"] + 1) * tasks
+    return found.drop("task", "k"), base
+
+
+def _told(table: Bucketed, reached: DataFrame, step: int, shards: int) -> DataFrame:
     """Per piece of the step's shard: the numbers of its frequent phrases, each with its place and the step it became frequent in."""
     rows = table.read().where(F.col("step") % shards == step % shards).select(*table.key, "piece", F.shiftright("place", 32).alias("at"))
-    found = rows.join(reduce(DataFrame.unionByName, reached), table.key).select("piece", "id", (F.col("at") * REACH + F.col("reach")).alias("place"))
+    found = rows.join(reached.drop("f").hint("shuffle_hash"), table.key)  # the phrases of a bucket in memory, its rows as they come
+    found = found.select("piece", "id", (F.col("at") * REACH + F.col("reach")).alias("place"))
     return found.groupBy("piece").agg(F.collect_list("id").alias("ids"), F.collect_list("place").alias("places"))
 
 
@@ -188,11 +172,11 @@ def count_phrases(docs: DataFrame, max_words: int = 3, min_count: int = 10, shar
     if max_words * (shards - 1) + 1 > REACH or min_count < 1 or shards < 1:
         raise ValueError(f"max_words={max_words} and shards={shards} take more than {REACH} steps, or min_count={min_count} or shards is below 1")
     spark = docs.sparkSession
-    store = Table(spark, ["piece"], "shard")
+    store = Bucketed(spark, ["piece"], "shard")
     store.append(encoded(docs, shards, piece))
-    counts = [Table(spark, ["lang", "word"] if m == 1 else ["left", "right"], "step") for m in range(1, max_words + 1)]
-    reached: list[list[DataFrame]] = [[] for _ in counts]
-    latest, base, step = [-1] * len(counts), 0, 0  # latest: the last step in which a phrase of this length became frequent
+    counts = [Bucketed(spark, ["lang", "word"] if m == 1 else ["left", "right"], "step") for m in range(1, max_words + 1)]
+    reached: list[DataFrame | None] = [None] * max_words
+    latest, base, step = [-1] * max_words, 0, 0  # latest: the last step in which a phrase of this length became frequent
     while step < shards or any(step < latest[m - 1] + shards for m in range(1, max_words) if latest[m - 1] >= 0):
         part = store.read().where(F.col("shard") == step % shards)
         for m, table in enumerate(counts):
@@ -207,19 +191,19 @@ def count_phrases(docs: DataFrame, max_words: int = 3, min_count: int = 10, shar
                 rows = part.select("piece", "stream", "n_stream").join(told, "piece")
                 found = rows.mapInArrow(_count_phrases(m + 1, step, shards), "left bigint, right bigint, piece bigint, place bigint")
             table.append(found.withColumn("step", F.lit(step)))
-            new, after = _reached(table, reached[m], step, base, min_count)
-            if after > base:
-                reached[m].append(new)
-                latest[m], base = step, after
+            if m + 1 < max_words:  # nothing waits for the longest phrases
+                reached[m], after = _reached(table, reached[m], step, base, min_count)
+                if after > base:
+                    latest[m], base = step, after
         step += 1
+    if counts[-1].made:
+        reached[-1], _ = _reached(counts[-1], None, step, base, min_count)
     sizes = saved(counts[0].read().groupBy("lang").agg(F.sum(F.expr(N)).alias("n")))
     out: list[DataFrame] = []
-    for m, table in enumerate(counts):
-        if not reached[m]:
+    for total in reached:
+        if total is None:
             break
-        names = reduce(DataFrame.unionByName, reached[m]).select(*table.key, "id")
-        total = table.read().groupBy(*table.key).agg(F.sum(F.expr(N)).alias("f")).join(names, table.key)
-        if m == 0:
+        if not out:
             full = total.select("id", "lang", F.col("word").alias("phrase"), F.col("word").alias("last"), "f", F.array("f").alias("heads"), F.array("f").alias("tails"),
                                 F.lit(None).cast("bigint").alias("left"), F.lit(None).cast("bigint").alias("right"))
         else:
