@@ -192,8 +192,18 @@ def _owners(window: int):
     return run
 
 
+def digits(numbers: np.ndarray, most: int) -> np.ndarray:
+    """Word numbers as two digits of a base near the root of ``most``, with symbols of their own for each place.
+
+    An automaton searches the children of a state one by one, so few symbols are fast; distinct symbols keep matches on whole words.
+    """
+    base = int(most**0.5) + 1
+    out = np.stack([numbers // base, base + numbers % base], axis=-1)
+    return out.reshape(*numbers.shape[:-1], -1)
+
+
 def automata(patterns: np.ndarray, owners: np.ndarray, shard: int):
-    """Aho-Corasick automata over sequences of word numbers; a match gives its owner."""
+    """Aho-Corasick automata over sequences of digits; a match gives its owner."""
     for i in range(0, len(patterns), shard):
         a = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
         for key, owner in zip(map(tuple, patterns[i : i + shard].tolist()), owners[i : i + shard].tolist()):
@@ -217,11 +227,12 @@ def _removed(window: int, gram: int, shard: int):
                     ends = np.flatnonzero(np.diff(p.row, prepend=p.row[:1])) if n else []
                     stream = np.insert(number, ends, 0)
                     where = np.insert(np.arange(n), ends, -1)
-                    haystack = tuple(stream.tolist())
-                    patterns = number[at[:, None] + np.arange(window)]
+                    most = int(number.max()) + 1
+                    haystack = tuple(digits(stream, most).tolist())
+                    patterns = digits(number[at[:, None] + np.arange(window)], most)
                     for a in automata(patterns, owner[run_of], shard):
                         hits = np.fromiter((x for hit in a.iter(haystack) for x in hit), np.int64).reshape(-1, 2)
-                        last = where[hits[:, 0]]
+                        last = where[hits[:, 0] // 2]
                         ids = p.ids[p.row[last]]
                         last = last[(ids > hits[:, 1]) & (ids != NO_ID)]
                         np.add.at(gone, last - window + 1, 1)
