@@ -26,6 +26,7 @@ log = logging.getLogger(__name__)
 
 MAX_WRITTEN_FOLDS = 1_000
 SIGNATURES_ON_DRIVER = 50_000
+LABEL_SETS = 20_000  # different label sets that are dealt; with more, stratification has no meaning
 
 
 class FoldError(ValueError):
@@ -195,7 +196,7 @@ def _check_classes(df: DataFrame, target: str, k: int) -> None:
 
 
 def stratified_k_fold(df: DataFrame, key, targets, n_splits: int = 5, shuffle: bool = True, seed: int = SEED) -> Folds:
-    """Per-class balance; several 0/1 targets are stratified on their label set."""
+    """Per-class balance; several 0/1 targets are dealt label by label, the rarest first (see ``deal_label_sets``)."""
     key, targets = as_list(key), require(df, as_list(targets), "target columns")
     n = df.count()
     _check_k(n_splits, n)
@@ -205,21 +206,70 @@ def stratified_k_fold(df: DataFrame, key, targets, n_splits: int = 5, shuffle: b
         _check_classes(df, targets[0], n_splits)
         table = _stratified(df, key, targets[0], n_splits, shuffle, seed, n)
     else:
-        labelled = label_stratum(df, targets, n_splits, "__stratum")
-        table = _stratified(labelled, key, "__stratum", n_splits, shuffle, seed, n).drop("__stratum")
+        table = _by_label_sets(df, key, targets, n_splits, shuffle, seed, n)
     return Folds(table, key, n_splits, df)
 
 
-def label_stratum(df: DataFrame, targets: list[str], k: int, out: str) -> DataFrame:
-    """Label set of a row; sets with fewer than k rows are merged by their rarest label."""
-    totals = df.agg(*[F.sum(col(t)).alias(f"t{i}") for i, t in enumerate(targets)]).first()
-    by_rarity = sorted(range(len(targets)), key=lambda i: (totals[i] or 0, i))
-    rarest = F.coalesce(*[F.when(col(targets[i]) > 0, F.lit(f"label {targets[i]}")) for i in by_rarity], F.lit("no label"))
-    labelled = df.withColumn("__set", F.concat_ws(",", *[col(t).cast("string") for t in targets])).withColumn("__rare", rarest)
-    sizes = labelled.groupBy("__set").agg(F.count(F.lit(1)).alias("__rows"))
-    sizes = sizes.select("__set", "__rows", (F.col("__rows") < k).alias("__few"))
-    joined = lookup(labelled, sizes, ["__set"], "__rows")
-    return joined.withColumn(out, F.when(F.col("__few"), F.col("__rare")).otherwise(F.col("__set"))).drop("__set", "__rare", "__few")
+def deal_label_sets(sets: dict[tuple[int, ...], int], k: int) -> list[tuple[tuple[int, ...], list[int]]]:
+    """How many rows of each label set every fold gets, by iterative stratification.
+
+    Rounds go by the label with the fewest rows left: each of its rows goes to the fold that lacks most of this label, on
+    ties of the other labels of the row, and then of rows.  Rows of one set are interchangeable, so a set is dealt at once: all but its
+    last rows by arithmetic, these one by one.  Demands are kept in k-ths, so they are whole numbers.
+    """
+    width = len(next(iter(sets)))
+    lack = [[sum(n for s, n in sets.items() if s[j])] * k for j in range(width)]
+    room, left, out = [sum(sets.values())] * k, dict(sets), []
+
+    def give(s, n, order):
+        given = [0] * k
+        sure = n - 2 * k
+        if order and sure > 0:
+            given = _fill_lightest([-x for x in lack[order[0]]], k, sure)
+        elif sure > 0:
+            given = _fill_lightest([-x for x in room], k, sure)
+
+        def spend(i, m):
+            room[i] -= k * m
+            for j in order:
+                lack[j][i] -= k * m
+
+        for i, m in enumerate(given):
+            spend(i, m)
+        for _ in range(n - sum(given)):
+            i = max(range(k), key=lambda i: (*[lack[j][i] for j in order], room[i], -i))
+            spend(i, 1)
+            given[i] += 1
+        out.append((s, given))
+
+    while left:
+        rows = [sum(n for s, n in left.items() if s[j]) for j in range(width)]
+        rarest = min((j for j in range(width) if rows[j]), key=lambda j: (rows[j], j), default=None)
+        mine = sorted(s for s in left if rarest is None or s[rarest])
+        for s in mine:
+            order = sorted((j for j in range(width) if s[j]), key=lambda j: (j != rarest, rows[j], j))
+            give(s, left.pop(s), order)
+    return out
+
+
+def _by_label_sets(df: DataFrame, key: list[str], targets: list[str], k: int, shuffle: bool, seed: int, n: int) -> DataFrame:
+    """The driver deals the histogram of label sets; rows of a set are numbered on the cluster and take their fold by number."""
+    marks = [F.when(col(t) > 0, 1).otherwise(0) for t in targets]
+    labelled = df.withColumn("__rows", F.concat_ws("", *[m.cast("string") for m in marks]))
+    found = labelled.groupBy("__rows").agg(F.count(F.lit(1)).alias("n")).limit(LABEL_SETS + 1).collect()
+    if len(found) > LABEL_SETS:
+        raise FoldError(f"more than {LABEL_SETS} different label sets: stratify on fewer labels")
+    ranges = []
+    for s, given in deal_label_sets({tuple(map(int, r["__rows"])): r["n"] for r in found}, k):
+        at = 0
+        for fold, m in enumerate(given):
+            if m:
+                ranges.append(("".join(map(str, s)), at, at + m, fold))
+            at += m
+    numbered = with_global_rank(labelled, key, seed=seed if shuffle else None, order_by=None if shuffle else key, within=["__rows"], rows=n, out="__at")
+    plan = df.sparkSession.createDataFrame(ranges, "__size string, __from bigint, __to bigint, fold int")
+    inside = (F.col("__rows") == F.col("__size")) & (F.col("__at") >= F.col("__from")) & (F.col("__at") < F.col("__to"))
+    return numbered.join(F.broadcast(plan), inside).drop("__rows", "__at", "__size", "__from", "__to")  # at most LABEL_SETS * k rows
 
 
 def repeated_stratified_k_fold(df: DataFrame, key, target: str, n_splits: int = 5, n_repeats: int = 10, seed: int = SEED) -> Folds:

@@ -28,16 +28,49 @@ def sample_kurtosis(value: Column, n: Column) -> Column:
     return F.when(n > 3, (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * F.kurtosis(value) + 6))
 
 
-def value_counts(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(name, value, n) of all columns in one shuffle; values as text, nulls left out."""
-    def text(c):
-        if df.schema[c].dataType.typeName() in ("double", "float"):  # one zero, and no-number is missing
-            return F.when(~F.isnan(col(c)), F.when(col(c) == 0, F.lit(0.0)).otherwise(col(c)).cast("string"))
-        if df.schema[c].dataType.typeName() == "timestamp":  # two instants can share a local time
-            return F.concat(col(c).cast("string"), F.date_format(col(c), "XXX"))
-        return col(c).cast("string") if _castable(df, c) else F.to_json(F.struct(col(c)))
-    cells = F.array(*[F.struct(F.lit(c).alias("name"), text(c).alias("value")) for c in columns])
-    return df.select(F.inline(cells)).filter("value IS NOT NULL").groupBy("name", "value").agg(F.count(F.lit(1)).alias("n"))
+NARROW = 10_000  # columns of about so many values or fewer are counted together
+
+
+def _value(df: DataFrame, name: str) -> Column:
+    """A cell in its own type, with one zero, and no-number as missing."""
+    if df.schema[name].dataType.typeName() in ("double", "float"):
+        return F.when(~F.isnan(col(name)), F.when(col(name) == 0, F.lit(0.0).cast(df.schema[name].dataType)).otherwise(col(name)))
+    return col(name)
+
+
+def _text(df: DataFrame, name: str, value: Column) -> Column:
+    if df.schema[name].dataType.typeName() == "timestamp":  # two instants can share a local time
+        return F.concat(value.cast("string"), F.date_format(value, "XXX"))
+    return value.cast("string") if _castable(df, name) else F.to_json(F.struct(value.alias(name)))
+
+
+def value_counts(df: DataFrame, columns: list[str], levels: dict[str, int] | None = None) -> DataFrame:
+    """(name, value, n) of all columns; values as text, nulls left out.
+
+    Columns of few values are counted together: a task reduces them to little before the shuffle.  The others, which no task can
+    reduce, are grouped column by column in their own types, so that numbers and not texts are moved, and become text once counted.
+    ``levels`` are approximate numbers of values per column, if known; results do not depend on them.
+    """
+    if levels is None:
+        levels = aggregate_once(df, level_counts(df, columns))
+    wide = [c for c in columns if _castable(df, c) and (levels.get(("levels", c)) or 0) > NARROW]
+    narrow = [c for c in columns if c not in wide]
+    parts = []
+    if narrow:
+        cells = F.array(*[F.struct(F.lit(c).alias("name"), _text(df, c, _value(df, c)).alias("value")) for c in narrow])
+        parts.append(df.select(F.inline(cells)).filter("value IS NOT NULL").groupBy("name", "value").agg(F.count(F.lit(1)).alias("n")))
+    for c in wide:
+        counted = df.select(_value(df, c).alias("v")).filter("v IS NOT NULL").groupBy("v").agg(F.count(F.lit(1)).alias("n"))
+        parts.append(counted.select(F.lit(c).alias("name"), _text(df, c, F.col("v")).alias("value"), "n"))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def level_counts(df: DataFrame, columns: list[str]) -> dict:
+    """Approximate numbers of values, for an aggregate over all columns."""
+    return {("levels", c): F.approx_count_distinct(col(c)) for c in columns if _castable(df, c)}
 
 
 def _castable(df: DataFrame, name: str) -> bool:
@@ -75,10 +108,10 @@ def rounded(value: float | None) -> float | None:
 
 
 def profile(df: DataFrame, datetime_format: str = "yyyy-MM-dd HH:mm:ss", columns: list[str] | None = None) -> DataFrame:
-    """Profile of the table; three jobs whatever the number of columns.
+    """Profile of the table.
 
-    One wide aggregate for moments, one for quartiles, and one value-count shuffle that gives both the
-    distinct counts and the top values.  ``df`` is scanned by each, so persist it if it is expensive.
+    One wide aggregate for moments, one for quartiles, and value counts (see ``value_counts``) that give both the distinct
+    counts and the top values.  ``df`` is scanned by each, and once more for every column of many values, so persist it if it is expensive.
     """
     spark = df.sparkSession
     names = list(columns or df.columns)
@@ -93,11 +126,12 @@ def profile(df: DataFrame, datetime_format: str = "yyyy-MM-dd HH:mm:ss", columns
     for c in times:
         exprs.update({("first", c): F.date_format(F.min(col(c)), datetime_format),
                       ("last", c): F.date_format(F.max(col(c)), datetime_format)})
+    exprs.update(level_counts(df, names))
     facts = aggregate_once(df, exprs)
     rows = facts["rows", ""]
     quartiles = column_quantiles(df, numbers, [0.25, 0.5, 0.75], rows=rows) if numbers else {}
 
-    counts = value_counts(df, names)
+    counts = value_counts(df, names, facts)
     distinct = counts.groupBy("name").agg(F.count(F.lit(1)).alias("nunique"))
     top = top_values(counts).groupBy("name").agg(F.sort_array(F.collect_list(F.struct("rank", "value", "n"))).alias("top"))
     # one row per column of the table

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabspark.columns import SEED, aggregate_once, col, require
+from tabspark.functions.lookup import lookup
 from tabspark.session import materialize
 
 log = logging.getLogger(__name__)
@@ -224,49 +225,96 @@ def _with_rank(df: DataFrame, target: str, direction: str) -> DataFrame:
     return ranked.withColumn("rank", F.col("rank") + 1).drop("__o")
 
 
+def _beaten(rows: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """Which of ``rows`` some row of ``others`` dominates: nowhere worse, somewhere better."""
+    if rows.shape[1] == 2 and len(others):
+        order = np.lexsort((others[:, 1], others[:, 0]))
+        first, low = others[order, 0], np.minimum.accumulate(others[order, 1])
+        at_most, less = np.searchsorted(first, rows[:, 0], "right"), np.searchsorted(first, rows[:, 0], "left")
+        best_up_to = np.where(at_most > 0, low[np.maximum(at_most - 1, 0)], np.iinfo(np.int64).max)
+        best_before = np.where(less > 0, low[np.maximum(less - 1, 0)], np.iinfo(np.int64).max)
+        return (best_before <= rows[:, 1]) | (best_up_to < rows[:, 1])
+    out = np.zeros(len(rows), bool)
+    for i in range(0, len(rows), 128):
+        part = rows[i : i + 128, None, :]
+        for j in range(0, len(others), 4096):
+            o = others[None, j : j + 4096, :]
+            out[i : i + 128] |= (np.all(o <= part, axis=2) & np.any(o < part, axis=2)).any(axis=1)
+    return out
+
+
 def _skyline(costs: np.ndarray) -> np.ndarray:
     """Rows that no other row beats in all columns (ties in everything stay)."""
-    order = np.lexsort(costs.T[::-1])
-    kept: list[int] = []
-    for i in order:
-        if kept:
-            front = costs[kept]
-            if np.any(np.all(front <= costs[i], axis=1) & np.any(front < costs[i], axis=1)):
-                continue
-        kept.append(i)
-    return np.array(sorted(kept), dtype=int)
+    return np.flatnonzero(~_beaten(costs, costs))
 
 
 def _ranks(values: pd.Series, descending: bool) -> np.ndarray:
     """Dense ranks of a batch, smallest best."""
-    codes = np.unique(values.to_numpy(), return_inverse=True)[1]
+    codes = np.unique(values.to_numpy(), return_inverse=True)[1].astype(np.int64)
     return -codes if descending else codes
 
 
+CELL_ROWS = 1_000  # rows that a cell of the grid should hold
+CELLS = 20_000  # cells that the driver compares
+
+
 def with_pareto_flag(df: DataFrame, directions: Mapping[str, str]) -> DataFrame:
     """``pareto`` is true for rows that no other row dominates.
 
-    Each task reduces its rows to a local front; fronts are merged in rounds over ever fewer tasks, so
-    only fronts are moved.
+    Outcomes are made distinct and thinned batch by batch; what is left is laid on a grid.  A cell goes as a whole if another
+    lies below it in every direction, and its rows are compared with those of cells that lie nowhere above it only.  So
+    rows that do not dominate each other never meet in one task, however many they are.
     """
     names = list(directions)
     # the columns' own types: a double could not tell large whole numbers apart
     best_first = [directions[t] == "maximize" for t in names]
-    costs = df.select("id", *[col(t).alias(f"c{i}") for i, t in enumerate(names)]).dropna()
     fields = [f"c{i}" for i in range(len(names))]
+    # equal outcomes are compared once; adding 0.0 makes the two zeros one
+    plain = [F.when(col(t) == 0, F.lit(0).cast(df.schema[t].dataType)).otherwise(col(t)).alias(f) for t, f in zip(names, fields)]
+    counts = df.select(*plain).dropna().groupBy(*fields).agg(F.count(F.lit(1)).alias("__n"))
+
+    def ranks(pdf):
+        return np.column_stack([_ranks(pdf[f], high) for f, high in zip(fields, best_first)])
 
-    def local(batches):
-        front = None
+    def thin(batches):
+        for pdf in batches:
+            if len(pdf):
+                yield pdf.iloc[_skyline(ranks(pdf))]
+
+    front = materialize(counts.mapInPandas(thin, counts.schema))
+    n, d = front.count(), len(names)
+    if n:
+        bins = max(1, min(math.ceil((n / CELL_ROWS / d) ** (1 / max(1, d - 1))), math.floor(CELLS ** (1 / d)) if d > 2 else CELLS // 2))
+        signed = front.select(*[(F.col(f).cast("double") * (-1.0 if high else 1.0)).alias(f) for f, high in zip(fields, best_first)])
+        cuts = [np.unique(c) for c in signed.approxQuantile(fields, [i / bins for i in range(1, bins)], 0.25 / bins)] if bins > 1 else [np.zeros(0)] * d
+        front = materialize(_kept_in_cells(front, fields, best_first, cuts, ranks))
+    mark = front.select(*fields, "__n", F.lit(True).alias("__best"))
+    keyed = df.select("*", *plain)
+    out = lookup(keyed, mark, fields, count_col="__n")
+    return out.select(*[col(c) for c in df.columns], F.coalesce("__best", F.lit(False)).alias("pareto"))
+
+
+def _kept_in_cells(front: DataFrame, fields: list[str], best_first: list[bool], cuts: list[np.ndarray], ranks) -> DataFrame:
+    def lay(batches):
         for pdf in batches:
-            pdf = pdf if front is None else pd.concat([front, pdf], ignore_index=True)
-            front = pdf.iloc[_skyline(np.column_stack([_ranks(pdf[f], high) for f, high in zip(fields, best_first)]))]
-        if front is not None:
-            yield front
-
-    front = costs.mapInPandas(local, costs.schema)
-    parts = max(1, costs.rdd.getNumPartitions())
-    while parts > 1:
-        parts = max(1, parts // 8)
-        front = front.repartition(parts, "id").mapInPandas(local, costs.schema)
-    best = front.select(F.col("id").alias("__id"), F.lit(True).alias("__best"))
-    return df.join(best, F.col("id") == F.col("__id"), "left").select(*[col(c) for c in df.columns], F.coalesce("__best", F.lit(False)).alias("pareto"))
+            at = [np.searchsorted(cut, pdf[f].to_numpy(float) * (-1.0 if high else 1.0), side="left") for f, high, cut in zip(fields, best_first, cuts)]
+            yield pdf.assign(__cell=[",".join(map(str, c)) for c in zip(*at)])
+
+    laid = materialize(front.mapInPandas(lay, front.drop("__cell").withColumn("__cell", F.lit("")).schema))
+    cells = [tuple(map(int, r["__cell"].split(","))) for r in laid.select("__cell").distinct().collect()]  # cells with rows, about CELLS at most
+    place = np.array(cells)
+    alive = np.array([not np.any(np.all(place < c, axis=1)) for c in place])
+    place = place[alive]
+    pairs = []
+    for c in place:  # a cell that lies below in all directions has removed this one already
+        name = ",".join(map(str, c))
+        pairs += [(",".join(map(str, o)), name, bool((o == c).all())) for o in place[np.all(place <= c, axis=1)]]
+    meets = front.sparkSession.createDataFrame(pairs, "__cell string, __target string, __own boolean")
+    dealt = laid.join(F.broadcast(meets), "__cell")  # cells that meet; few per cell on a front
+
+    def settle(pdf):
+        own = pdf["__own"].to_numpy(bool)
+        cost = ranks(pdf)
+        return pdf[own][~_beaten(cost[own], cost)].drop(columns=["__cell", "__target", "__own"])
+
+    return dealt.groupBy("__target").applyInPandas(settle, front.schema)

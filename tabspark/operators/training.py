@@ -18,6 +18,7 @@ from tabspark.functions.order_stats import with_global_rank
 from tabspark.operators import metrics
 from tabspark.operators.folds import Folds
 from tabspark.operators.models import BOOSTED, FoldModel, ModelSpec, class_labels, fit_model, load_models
+from tabspark.operators.parzen import propose
 from tabspark.operators.search import Choice, Range
 from tabspark.operators.target import CLASSIFICATION, REGRESSION, ModelTable
 from tabspark.operators.transforms import fit_chain
@@ -45,8 +46,8 @@ class CVResult:
 
 
 def cross_validate(table: ModelTable, folds: Folds, spec: ModelSpec, transforms: Sequence[TargetFitter] = (), *,
-                   parallelism: int = 2, kinds: Sequence[str] = ("test",), keep: Sequence[str] = ()) -> CVResult:
-    """One model per fold and target.  Transforms are fitted on the training rows of the fold only.
+                   parallelism: int = 2, kinds: Sequence[str] = ("test",), keep: Sequence[str] = (), only: Sequence[int] | None = None) -> CVResult:
+    """One model per fold (those in ``only``) and target.  Transforms are fitted on the training rows of the fold only.
 
     Folds are trained from a small pool of driver threads so that the cluster stays busy.  Every fold
     reads the fold table, so it is persisted until the predictions are written; they are scored once and
@@ -66,7 +67,7 @@ def cross_validate(table: ModelTable, folds: Folds, spec: ModelSpec, transforms:
         val = folds.val(fold) if spec.flavor != "RF" else None  # for early stopping
         return fit_model(train, table.features, y, table.task, spec, chain, fitted, fold, labels.get(y), val)
 
-    jobs = [(f, y) for f in range(folds.n_folds) for y in table.targets]
+    jobs = [(f, y) for f in (range(folds.n_folds) if only is None else only) for y in table.targets]
     try:
         with ThreadPool(max(1, min(parallelism, len(jobs)))) as pool:
             models = pool.map(one, jobs)
@@ -109,23 +110,52 @@ def draw(space: Mapping[str, Any], rng: random.Random) -> dict[str, Any]:
 
 
 def tune(table: ModelTable, folds: Folds, spec: ModelSpec, space: Mapping[str, Any], n_trials: int = 20, scoring: str | None = None,
-         transforms: Sequence[TargetFitter] = (), parallelism: int = 2, seed: int = SEED) -> Tuning:
-    """Seeded random trials, each scored by the mean over folds and targets."""
+         transforms: Sequence[TargetFitter] = (), parallelism: int = 2, seed: int = SEED, startup: int = 10, halving: int = 0) -> Tuning:
+    """Seeded trials, each scored by the mean over folds and targets.
+
+    The first ``startup`` trials are random, later ones are proposed from the scores so far (``parzen``) in batches of
+    ``parallelism``.  With ``halving`` = 2 or more, trials run in rounds of successive halving: all are scored on one fold, the best 1 / halving of
+    them on ``halving`` times as many folds, until the rest have run on all; a trial that ended early is marked so and never wins.
+    """
     metric = scoring or metrics.DEFAULT_METRIC[table.task]
     sign = 1 if metrics.lower_is_better(metric) else -1
     rng = random.Random(seed)
-    settings = [draw(space, rng) for _ in range(n_trials)]
 
-    def trial(params):
-        result = cross_validate(table, folds, spec.with_params(**params), transforms, parallelism=1)
-        return metrics.overall_metric(result.long_metrics(), metric, task=table.task).first()["value"]
-
-    with ThreadPool(max(1, min(parallelism, n_trials))) as pool:
-        scores = pool.map(trial, settings)
-    best = min(range(n_trials), key=lambda i: (sign * scores[i], i))
-    rows = [(i, {k: str(v) for k, v in p.items()}, metric, float(s)) for i, (p, s) in enumerate(zip(settings, scores))]
-    trials = table.df.sparkSession.createDataFrame(rows, "trial int, params map<string,string>, metric string, value double")
-    return Tuning(spec.with_params(**settings[best]), scores[best], trials)
+    def score(params, fold_range):
+        part = cross_validate(table, folds, spec.with_params(**params), transforms, parallelism=1, only=fold_range)
+        return metrics.overall_metric(part.long_metrics(), metric, task=table.task).first()["value"]
+
+    tried: list[tuple[dict, float, int]] = []  # setting, score, folds it ran on
+
+    def batch(settings):
+        with ThreadPool(max(1, min(parallelism, len(settings)))) as pool:
+            if halving < 2:
+                return [(p, v, folds.n_folds) for p, v in zip(settings, pool.map(lambda p: score(p, range(folds.n_folds)), settings))]
+            alive, sums, done, width = list(range(len(settings))), [0.0] * len(settings), 0, 1
+            ended = {}
+            while True:
+                until = min(width, folds.n_folds)
+                for i, v in zip(alive, pool.map(lambda i: score(settings[i], range(done, until)), alive)):
+                    sums[i] += v * (until - done)
+                done = until
+                if done == folds.n_folds:
+                    return [(p, sums[i] / ended.get(i, done), ended.get(i, done)) for i, p in enumerate(settings)]
+                ranked = sorted(alive, key=lambda i: (sign * sums[i], i))
+                keep = max(1, len(ranked) // halving)
+                ended.update({i: done for i in ranked[keep:]})
+                alive, width = sorted(ranked[:keep]), width * halving
+
+    size = max(parallelism, halving**2) if halving >= 2 else max(1, parallelism)
+    while len(tried) < n_trials:
+        n = min(size if len(tried) >= startup else max(size, startup), n_trials - len(tried))
+        known = [(p, sign * v) for p, v, _ in tried if not math.isnan(v)]
+        settings = [draw(space, rng) for _ in range(n)] if len(tried) < startup or not known else propose(space, known, rng, n)
+        tried += batch(settings)
+    whole = [i for i, t in enumerate(tried) if t[2] == folds.n_folds]
+    best = min(whole, key=lambda i: (sign * tried[i][1], i))
+    rows = [(i, {k: str(v) for k, v in p.items()}, metric, float(s), n, n < folds.n_folds) for i, (p, s, n) in enumerate(tried)]
+    trials = table.df.sparkSession.createDataFrame(rows, "trial int, params map<string,string>, metric string, value double, folds int, ended_early boolean")
+    return Tuning(spec.with_params(**tried[best][0]), tried[best][1], trials)
 
 
 def loss_curve(result: CVResult, folds: Folds, kinds: Sequence[str] = ("train", "val")) -> DataFrame | None:
@@ -207,31 +237,35 @@ def feature_importance(models: Sequence[FoldModel]) -> DataFrame | None:
 def permutation_importance(model: FoldModel, df: DataFrame, key, metric: str | None = None, n_repeats: int = 30, seed: int = SEED) -> DataFrame:
     """(feature, importance, std): loss of score when one feature is shuffled.
 
-    A shuffle gives every row the values of another row: two seeded ranks of the key are joined, once
-    per repeat for all features, and the variants of a row are scored in the same pass.
+    Rows get one seeded rank.  A repeat gives every row the values of the row a seeded number of ranks further on (round
+    the end), another number in each repeat; all repeats and features are scored in one pass, so the number of jobs does not depend on
+    ``n_repeats``.  With more repeats than rows less one, shifts come again.
     """
     key = as_list(key)
     metric = metric or metrics.DEFAULT_METRIC[model.task]
     sign = 1.0 if metrics.lower_is_better(metric) else -1.0
     base = df.filter(col(model.y_name).isNotNull()).select(*[col(k) for k in key], *[col(c) for c in model.x_names if c not in key], col(model.y_name))
     n = base.count()
-    results = []
-    for r in range(n_repeats):
-        mine = with_global_rank(base, key, seed=seed + 2 * r + 1, rows=n, out="__rank")
-        donor = with_global_rank(base.select(*[col(c) for c in dict.fromkeys([*key, *model.x_names])]), key, seed=seed + 2 * r + 2, rows=n, out="__rank2")
-        donor = donor.select("__rank2", F.struct(*[col(c) for c in model.x_names]).alias("__other"))
-        joined = mine.join(donor, F.col("__rank") == F.col("__rank2"))
-        def variant(feature):
-            return F.struct(F.lit(feature).alias("y_name"), *[(F.col("__other")[c] if c == feature else col(c)).alias(c) for c in model.x_names])
-        rows = joined.select(col(model.y_name).alias("y"), F.inline(F.array(variant(""), *[variant(c) for c in model.x_names])))
-        kind = "double" if model.task == REGRESSION else "string"
-        scored = model.score(rows, "y_pred").select(
-            F.lit("m").alias("model"), F.lit(r).alias("fold"), F.lit("test").alias("type"), "y_name", F.col("y").cast(kind).alias("y"), F.col("y_pred").cast(kind).alias("y_pred"))
-        results += metrics.metrics_long(metrics.evaluate(scored, model.task)).filter(F.col("metric") == metric).collect()  # features + 1 rows
-    plain = {r["fold"]: r["value"] for r in results if r["y_name"] == ""}
-    rows = [(r["y_name"], sign * (r["value"] - plain[r["fold"]])) for r in results if r["y_name"]]
-    table = df.sparkSession.createDataFrame(rows, "feature string, loss double")
-    return table.groupBy("feature").agg(F.avg("loss").alias("importance"), F.stddev_pop("loss").alias("std"))
+    rng = random.Random(seed)
+    shifts = rng.sample(range(1, n), min(n_repeats, n - 1)) if n > 1 else [0]
+    shifts = [shifts[i % len(shifts)] for i in range(n_repeats)]
+    ranked = materialize(with_global_rank(base, key, seed=seed, rows=n, out="__rank"))
+    donor = ranked.select(F.col("__rank").alias("__rank2"), F.struct(*[col(c) for c in model.x_names]).alias("__other"))
+    repeats = F.explode(F.array(*[F.struct(F.lit(r).alias("fold"), F.lit(s).cast("bigint").alias("shift")) for r, s in enumerate(shifts)]))
+    wanted = ranked.withColumn("__repeat", repeats).withColumn("__rank2", F.pmod(F.col("__rank") + F.col("__repeat.shift"), F.lit(max(n, 1))))
+    joined = wanted.join(donor, "__rank2")
+
+    def variant(feature):
+        return F.struct(F.lit(feature).alias("y_name"), *[(F.col("__other")[c] if c == feature else col(c)).alias(c) for c in model.x_names])
+
+    rows = joined.select(col(model.y_name).alias("y"), F.col("__repeat.fold").alias("fold"), F.inline(F.array(variant(""), *[variant(c) for c in model.x_names])))
+    kind = "double" if model.task == REGRESSION else "string"
+    scored = model.score(rows, "y_pred").select(
+        F.lit("m").alias("model"), "fold", F.lit("test").alias("type"), "y_name", F.col("y").cast(kind).alias("y"), F.col("y_pred").cast(kind).alias("y_pred"))
+    found = metrics.metrics_long(metrics.evaluate(scored, model.task)).filter(F.col("metric") == metric)
+    plain = found.filter("y_name = ''").select("fold", F.col("value").alias("plain"))
+    loss = found.filter("y_name <> ''").join(F.broadcast(plain), "fold").select(F.col("y_name").alias("feature"), (sign * (F.col("value") - F.col("plain"))).alias("loss"))  # a row per repeat
+    return loss.groupBy("feature").agg(F.avg("loss").alias("importance"), F.stddev_pop("loss").alias("std"))
 
 
 def reuse_or_train(runs: DataFrame, experiment: str, specs: Sequence[ModelSpec], root: str, train: Callable[[ModelSpec], Sequence[FoldModel]],

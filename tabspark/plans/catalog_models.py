@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabspark.operators import density, diagnose, folds, metrics, models, search, shap, training
+from tabspark.operators import boosting, density, diagnose, folds, metrics, models, search, shap, training
 from tabspark.operators import transforms as tr
 from tabspark.operators.target import CLASSIFICATION, REGRESSION, x_y
 from tabspark.plans import jobs
@@ -66,14 +66,15 @@ def stratified_k_fold_ordered(spark, sf):
     return folds.stratified_k_fold(orders_key(spark, sf), "o_orderkey", "o_orderstatus", 5, shuffle=False).table.select("o_orderkey", "fold")
 
 
-@query("SELECT count(*) AS n, count(DISTINCT quality || ',' || toxic) AS label_sets, 5 AS folds, true AS balanced FROM labels")
+@query("""SELECT label, r AS place, t // 5 + CAST(r < t % 5 AS INTEGER) AS rows_of_label FROM
+ (SELECT 'quality' AS label, CAST(sum(quality) AS BIGINT) AS t FROM labels UNION ALL SELECT 'toxic', CAST(sum(toxic) AS BIGINT) FROM labels UNION ALL SELECT 'rows', count(*) FROM labels), (SELECT unnest(range(5)) AS r)""")
 def stratified_multilabel(spark, sf):
-    """Every label's count differs between folds by little more than the rare sets allow."""
+    """Rows and every label are spread over the folds as evenly as whole rows allow: counts per fold, largest first."""
     f = folds.stratified_k_fold(read(spark, sf, "labels"), "doc_id", ["quality", "toxic"], 5).table
-    per_fold = f.groupBy("fold").agg(F.count(F.lit(1)).alias("n"), F.sum("quality").alias("q"), F.sum("toxic").alias("t"))
-    spread = per_fold.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("folds"), ((F.max("q") - F.min("q") <= 4) & (F.max("t") - F.min("t") <= 4)).alias("balanced"))
-    sets = f.agg(F.count_distinct("quality", "toxic").alias("label_sets"))
-    return spread.join(F.broadcast(sets)).select("n", "label_sets", "folds", "balanced")  # one row each
+    per_fold = f.groupBy("fold").agg(F.count(F.lit(1)).alias("rows"), F.sum("quality").alias("quality"), F.sum("toxic").alias("toxic"))
+    every = F.array_sort(F.collect_list("n"))
+    long = per_fold.select(F.inline(F.array(*[F.struct(F.lit(c).alias("label"), F.col(c).alias("n")) for c in ("rows", "quality", "toxic")])))
+    return long.groupBy("label").agg(F.reverse(every).alias("all")).select("label", F.posexplode("all").alias("place", "rows_of_label")).withColumn("place", F.col("place").cast("bigint"))
 
 
 @query("SELECT 3 * count(*) AS n, 15 AS folds, true AS balanced FROM orders")
@@ -414,6 +415,63 @@ def cross_validate_category_preset(spark, sf):
     return _check(training.cross_validate(t, _two_folds(t, "o_orderkey"), models.gbt("cat", n_estimators=4, depth=3)))
 
 
+STUMP_SQL = """cum AS (SELECT *, sum(n) OVER w AS nl, sum(g) OVER w AS gl, sum(h) OVER w AS hl, sum(g) OVER t AS gt, sum(h) OVER t AS ht, row_number() OVER (PARTITION BY k ORDER BY x DESC) AS last
+ FROM v WINDOW w AS (PARTITION BY k ORDER BY x), t AS (PARTITION BY k)),
+gain AS (SELECT *, (gl * gl / (hl + 1) + (gt - gl) * (gt - gl) / (ht - hl + 1) - gt * gt / (ht + 1)) / 2 AS gain FROM cum WHERE last > 1)
+SELECT k AS output, CAST(x AS DOUBLE) AS threshold, round(gain, 3) AS gain, CAST(nl AS DOUBLE) AS left_rows, round(-gl / (hl + 1), 6) AS left_value, round(-(gt - gl) / (ht - hl + 1), 6) AS right_value
+FROM gain QUALIFY row_number() OVER (PARTITION BY k ORDER BY gain DESC, x) = 1"""
+
+
+def _stumps(spark, model, labels) -> DataFrame:
+    rows = [(labels[k], t.threshold[0], t.gain[0], t.cover[t.left[0]], t.value[t.left[0]], t.value[t.right[0]]) for k, t in enumerate(model.rounds[0])]
+    out = spark.createDataFrame(rows, "output string, threshold double, gain double, left_rows double, left_value double, right_value double")  # one row per output
+    return out.select("output", "threshold", F.round("gain", 3).alias("gain"), "left_rows", F.round("left_value", 6).alias("left_value"), F.round("right_value", 6).alias("right_value"))
+
+
+@query("WITH v AS (SELECT 'value' AS k, p_size AS x, count(*) AS n, sum(b - p_retailprice) AS g, CAST(count(*) AS DOUBLE) AS h FROM part, (SELECT avg(p_retailprice) AS b FROM part) GROUP BY p_size), " + STUMP_SQL)
+def boosted_round_regression(spark, sf):
+    """The first split of second-order boosting is the best of all splits by closed form."""
+    part = read(spark, sf, "part", "p_size", "p_retailprice").withColumn("__label", F.col("p_retailprice"))
+    return _stumps(spark, boosting.fit(part, ["p_size"], {}, "squared", 1, boosting.Settings("level", 1, max_depth=1)), ["value"])
+
+
+@query("""WITH d AS (SELECT month(o_orderdate) AS x, o_orderpriority AS y FROM orders), c AS (SELECT y AS k, count(*) / (SELECT CAST(count(*) AS DOUBLE) FROM d) AS p FROM d GROUP BY y),
+v AS (SELECT k, x, count(*) AS n, sum(p - CASE WHEN y = k THEN 1 ELSE 0 END) AS g, count(*) * p * (1 - p) AS h FROM d, c GROUP BY k, x, p), """ + STUMP_SQL)
+def boosted_round_classes(spark, sf):
+    """One round of a five-class ensemble has a tree of its own for each class."""
+    orders = read(spark, sf, "orders").select(F.month("o_orderdate").alias("x"), "o_orderpriority")
+    names = models.class_labels(orders, "o_orderpriority")
+    label = (F.array_position(F.array(*[F.lit(v) for v in names]), F.col("o_orderpriority")) - 1).cast("double")
+    return _stumps(spark, boosting.fit(orders.withColumn("__label", label), ["x"], {}, "softmax", len(names), boosting.Settings("level", 1, max_depth=1)), names)
+
+
+@query("SELECT 15 AS leaves, CAST(count(*) AS DOUBLE) AS cover, round(avg(p_retailprice), 4) AS mean_prediction FROM part")
+def leafwise_tree(spark, sf):
+    """Best-first growth stops at its number of leaves; unpenalised leaves are means, so predictions average to the target's mean."""
+    part = read(spark, sf, "part", "p_size", "p_partkey", "p_retailprice").withColumn("__label", F.col("p_retailprice"))
+    model = boosting.fit(part, ["p_size", "p_partkey"], {}, "squared", 1, boosting.Settings("leaf", 1, 1.0, 0, 15, reg_lambda=0.0, min_child_samples=5))
+    (t,) = model.rounds[0]
+    leaf = [i for i, f in enumerate(t.feature) if f < 0]
+    mean = model.facts["start"][0] + sum(t.value[i] * t.cover[i] for i in leaf) / t.cover[0]
+    return spark.createDataFrame([(len(leaf), float(sum(t.cover[i] for i in leaf)), mean)], "leaves int, cover double, mean_prediction double").withColumn("mean_prediction", F.round("mean_prediction", 4))
+
+
+@query("""WITH t AS (SELECT p_brand, p_retailprice AS y FROM part WHERE p_partkey % 5 <> 0), m AS (SELECT avg(y) AS prior FROM t)
+SELECT p_brand, count(*) AS n, round((sum(y) + any_value(prior)) / (count(*) + 1), 6) AS statistic FROM t, m GROUP BY p_brand""")
+def category_statistics(spark, sf):
+    """Rows that training does not see get the statistic of all training rows of their level."""
+    part = read(spark, sf, "part").select("p_brand", F.col("p_retailprice").alias("y"), (F.col("p_partkey") % 5 == 0).alias("held"))
+    out, _ = boosting.ordered_statistics(part, ["p_brand"], {"y": F.col("y")}, "held")
+    return out.groupBy("p_brand").agg(F.count(F.when(~F.col("held"), 1)).alias("n"), F.round(F.max(F.when(F.col("held"), F.col("p_brand__y"))), 6).alias("statistic"))
+
+
+@query(CV_SQL.format(m="MLP", y="p_retailprice", k=4, t="part"))
+def cross_validate_network_regression(spark, sf):
+    t = part_table(spark, sf)
+    steps = [lambda d, y: tr.standard_scaler(d, ["p_size", "p_partkey"]), lambda d, y: tr.onehot_encoder(d, ["p_type", "p_brand"])]
+    return _check(training.cross_validate(t, _two_folds(t, "key"), models.mlp(hidden=[8], epochs=4), steps))
+
+
 @query(CV_SQL.format(m="MLP", y="label", k=6, t="embeddings"))
 def cross_validate_perceptron(spark, sf):
     emb = read(spark, sf, "embeddings", "vec_id", "embedding", "label")

@@ -63,8 +63,28 @@ def test_stratified(frame):
     per_class = t.groupby(["y", "fold"]).size().unstack()
     assert (per_class.max(axis=1) - per_class.min(axis=1) <= 1).all()
     assert sorted(t.fold.value_counts().tolist()) == [100, 100, 101, 101, 101]
-    m = assigned(folds.stratified_k_fold(df, "id", ["a", "b"], 5))
-    assert m.groupby("fold").a.mean().std() < 0.03 and len(m) == 503
+    m = assigned(folds.stratified_k_fold(df, "id", ["a", "b", "y"], 5))
+    assert len(m) == 503 and sorted(m.fold.value_counts().tolist()) == [100, 100, 101, 101, 101]
+    for label in ("a", "b", "y"):
+        counts = m.groupby("fold")[label].sum()
+        assert (counts - m[label].sum() / 5).abs().max() < 2 and (label == "a" or counts.max() - counts.min() <= 1)
+    assert m.equals(assigned(folds.stratified_k_fold(df.repartition(3), "id", ["a", "b", "y"], 5)))
+
+
+def test_label_sets_are_dealt_as_row_by_row():
+    """Dealing a set at once gives the same demands as one row at a time, whatever its size."""
+    rng = np.random.default_rng(8)
+    for k in (2, 5, 7):
+        sets = {tuple(map(int, rng.random(5) < [0.02, 0.1, 0.3, 0.5, 0.8])): int(n) for n in rng.integers(1, 400, 25)}
+        out = dict(folds.deal_label_sets(sets, k))
+        assert {s: sum(g) for s, g in out.items()} == sets
+        for j in range(5):
+            total = sum(n for s, n in sets.items() if s[j])
+            per_fold = np.sum([g for s, g in out.items() if s[j]], axis=0) if total else np.zeros(k)
+            assert np.abs(per_fold - total / k).max() < 4
+        rare = min((j for j in range(5) if any(s[j] for s in sets)), key=lambda j: (sum(n for s, n in sets.items() if s[j]), j))
+        counts = np.sum([g for s, g in out.items() if s[rare]], axis=0)
+        assert counts.max() - counts.min() <= 1
 
 
 def test_group_folds(frame):
