@@ -218,7 +218,7 @@ def ordered_statistics(df: DataFrame, levels: Sequence[str], targets: Mapping[st
         totals = sums.groupBy(c).agg(F.sum("__n").alias("__n1"), *[F.sum(f"__s_{t}").alias(f"__b_{t}") for t in names])
         rows = totals.orderBy(c).collect()  # one row per level; levels are limited by the caller
         for t in names:
-            final[f"{c}__{t}"] = [prior[t], {int(r[c]): (r[f"__b_{t}"] + prior[t]) / (r["__n1"] + 1) for r in rows}]
+            final[f"{c}__{t}"] = [prior[t], {r[c] if isinstance(r[c], str) else int(r[c]): (r[f"__b_{t}"] + prior[t]) / (r["__n1"] + 1) for r in rows}]
         here = Window.partitionBy(c, "__range").orderBy("__order").rowsBetween(Window.unboundedPreceding, -1)
         joined = lookup(out, offsets.drop("__n1", *[f"__b_{t}" for t in names]), [c, "__range"], count_col="__n")
         joined = lookup(joined, totals.withColumn("__w", F.col("__n1")), [c], count_col="__w")

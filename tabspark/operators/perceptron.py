@@ -292,7 +292,7 @@ def fit(train: DataFrame, names: Sequence[str], heads: Mapping[str, Head], setti
         if not learn and held is None:
             break
         job = blocks.mapInArrow(_epoch(net, s, (w, m, v), step, epoch, wide, centre, scale, learn), "slot bigint, w double, m double, v double, n double")
-        found = job.groupBy("slot").agg(F.sum("w").alias("w"), F.sum("m").alias("m"), F.sum("v").alias("v"), F.sum("n").alias("n"), F.max("w").alias("most")).orderBy("slot").toArrow()  # as many rows as weights
+        found = job.groupBy("slot").agg(F.sum("w").alias("w"), F.sum("m").alias("m"), F.sum("v").alias("v"), F.sum("n").alias("n"), F.max("w").alias("most")).toArrow().sort_by("slot")  # as many rows as weights
         at = found.column("slot").to_numpy()
         sums = {int(-1 - k): found.column("w")[int(i)].as_py() for i, k in enumerate(at) if k < 0}
         if epoch:

@@ -97,8 +97,9 @@ def test_classification(data):
     out = training.ensemble_predict(r.models, df).toPandas()
     assert (out.label_pred == pdf.set_index("id").loc[out.id, "label"].to_numpy()).mean() > 0.6
     reg = x_y(df.select("id", "a", "y"), "y", keep="id")
+    assert training.cross_validate(reg, folds.k_fold(reg.df, "id", 2), models.mlp(hidden=[4], epochs=2)).predictions.count() == 400
     with pytest.raises(ValueError):
-        training.cross_validate(reg, folds.k_fold(reg.df, "id", 2), models.mlp())
+        models.mlp(layers=3)
 
 
 def test_loss_curve(data):
