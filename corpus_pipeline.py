@@ -43,6 +43,8 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Columns of the input that are called like an added one make room for it."""
+    docs = docs.drop("n_tokens", "token_ids", "decoded", "round_trip")
     out = sentencepiece_codec.encode(docs, decoded=True)  # both ways in one pass
     return out.select(*docs.columns, F.coalesce(F.size("__ids"), F.lit(0)).cast("bigint").alias("n_tokens"), F.col("__ids").alias("token_ids"),
                       F.col("__decoded").alias("decoded"), F.col("text").eqNullSafe(F.col("__decoded")).alias("round_trip"))
