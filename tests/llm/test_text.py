@@ -159,7 +159,8 @@ def test_pipeline_stages(spark, tmp_path):
     passage, near = text(14), text(200)
     rows += [(500, text(40) + " " + passage + " end", "en", "s", 1), (600, near, "en", "s", 1), (601, near + " more", "en", "s", 1), (602, near, "en", "s", 1), (700, None, "en", "s", 1)]
     rows += [(800 + i, text(30) + "\nOne common line\n" + text(5), "en", "s", 1) for i in range(12)]
-    spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(f"{tmp_path}/documents.parquet")
+    clash = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint").selectExpr("*", "'x' AS n_tokens", "'x' AS decoded")
+    clash.write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     spark.createDataFrame([(1, passage)], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     out = {x.doc_id: x for x in corpus_pipeline.run(spark, str(tmp_path)).collect()}
