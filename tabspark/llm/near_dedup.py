@@ -3,18 +3,23 @@
 A document's set holds its distinct shingles of ``SHINGLE`` words.  Equal sets are merged first.  Each other
 set is summarised by ``COORDS`` minwise tokens.  In every tree a document goes down the paths of the
 tokens that are smallest under a hash of the node, and of the few more below a threshold, ``1 / similarity``
-paths on average; documents that go on together are a node.  Nodes of at most ``LEAF`` documents are compared
-exhaustively by their tokens.  Larger ones are first cut into overlapping blocks, which are leaves too.
+paths on average; documents that go on together are a node.
 
-Only confirmed links count: candidates are first a forest in each leaf, counted on full sets, and their components
-are found.  A large node inside one component is done; of one with few members outside its main component, these are
-compared with every block; any other branches, ``DEPTH`` levels at most, after which the outsiders of what is
-still large meet all blocks as well.  At last every pair of a leaf that lies in two components and is not plainly
-dissimilar (estimate 4 standard errors below the similarity) is counted on full sets.  So no group of copies is expanded
-into its pairs, and no pair that meets in a node is lost to a cap.
+A node that fits in a task (``BUNDLE_BYTES`` of sets, ``BUNDLE_ROWS`` documents) is a bundle: its members meet there with their whole
+sets, and the task goes on branching by the same rule until nodes hold ``LEAF`` documents, which are compared exhaustively. Where
+branching does not thin a node out, all pairs that lie in different components are compared, tile by tile.  Intersections are
+counted exactly, and only merged components leave the task, at most one row per document.  A larger node is cut into blocks, which are
+bundles too; if that leaves more than one component in it, it branches as a Spark stage, ``DEPTH`` levels at most, or, once what lies
+outside its main component is small, that meets all blocks of the node.  Trees come in two rounds: nodes of the second are compared
+only if they span two components that the first has found.  So no group of copies is expanded into its pairs, and no link within a
+compared node is lost to a cap or an estimate.
+
+A link of exactly the similarity meets in a tree's first nodes with about that probability, so ``TREES`` trees miss one in 10^8 or fewer there;
+what branching loses below them is measured against brute force (README).
 
 Null and blank texts have empty sets and are linked with nothing.  Rows of one doc_id are one node, linked by all
-their texts; a null doc_id is never linked and stays.  An empty table gives an empty result.
+their texts; a null doc_id is never linked and stays.  An empty table gives an empty result.  Very long texts are read whole; a set larger
+than a bundle is a block of its own.  doc_id must be a whole number that fits 64 bits.
 """
 
 from __future__ import annotations
@@ -30,8 +35,11 @@ from tabspark.llm.common import attach, flat, pieces, saved, text_column
 from tabspark.llm.tokens import SOLID, grams, mix, words
 
 SHINGLE = 5
-TREES, COORDS, LEAF, DEPTH = 12, 128, 24, 4
-FEW = 48  # members outside the main component of a large node that are compared with all of it instead of branching
+TREES, FIRST, COORDS, LEAF, DEPTH = 12, 4, 128, 128, 4
+TILE = 512  # documents on a side of an exhaustive comparison
+BUNDLE_BYTES, BUNDLE_ROWS = 32 << 20, 16_384  # sets and documents that one task holds at a time
+GRAM = 6  # bytes of a shingle hash that are kept to count intersections
+COLUMNS = 4096  # shingles that are counted at once
 U32, U64 = np.uint32, np.uint64
 _SEEDS = mix(np.arange(1, 2 * COORDS + 1, dtype=U64))
 _A, _B = (_SEEDS[:COORDS] >> U64(32)).astype(U32) | U32(1), (_SEEDS[COORDS:] >> U64(32)).astype(U32)
@@ -57,7 +65,7 @@ def _chosen(tokens: np.ndarray, node: np.ndarray, extra: float) -> tuple[np.ndar
 
 
 def sketches(docs: DataFrame, similarity: float, trees: int) -> DataFrame:
-    """doc_id, set size, digest of the set, minwise tokens (16 bits each) and the first node of every path."""
+    """doc_id, set size, digest of the set, minwise tokens (16 bits each) and the first node of every path, by round."""
     extra = 1 / similarity - 1
     place = (np.arange(COORDS, dtype=U64) + U64(1)) << U64(32)
 
@@ -73,18 +81,18 @@ def sketches(docs: DataFrame, similarity: float, trees: int) -> DataFrame:
                 starts = (np.cumsum(sizes) - sizes)[full]
                 for i in range(COORDS):
                     low[full, i] = np.minimum.reduceat(short * _A[i] + _B[i], starts)
-            paths: list[list[int]] = [[] for _ in sets]
-            tokens = low[full].astype(U64) + place
+            paths: list[list[list[int]]] = [[[] for _ in sets] for _ in range(2)]
+            tokens = low.astype(np.uint16)[full].astype(U64) + place
             for t in range(trees if len(full) else 0):
                 row, key = _chosen(tokens, np.full(len(full), mix(np.array([t + 1], U64))[0]), extra)
                 for r, k in zip(full[row].tolist(), key.view(np.int64).tolist()):
-                    paths[r].append(k)
+                    paths[t >= FIRST][r].append(k)
             yield pa.RecordBatch.from_pydict({
                 "doc_id": batch.column("doc_id").cast(pa.int64()), "n_shingles": pa.array(sizes, pa.int64()),
                 "digest": pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], pa.binary()),
-                "tokens": pa.array([r.tobytes() for r in low.astype(np.uint16)], pa.binary()), "paths": pa.array(paths, pa.list_(pa.int64()))})
+                "tokens": pa.array([r.tobytes() for r in low.astype(np.uint16)], pa.binary()), **{f"paths_{k}": pa.array(p, pa.list_(pa.int64())) for k, p in enumerate(paths)}})
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n_shingles bigint, digest binary, tokens binary, paths array<bigint>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n_shingles bigint, digest binary, tokens binary, paths_0 array<bigint>, paths_1 array<bigint>")
 
 
 def _branch(similarity: float):
@@ -103,59 +111,144 @@ def _branch(similarity: float):
     return run
 
 
-def _pairs(similarity: float, forest: bool):
-    """Candidates of a leaf: a forest of its likeliest links, or all pairs that cross components."""
-    floor = similarity - 4 * (similarity * (1 - similarity) / COORDS) ** 0.5
+def _shared(left: list[np.ndarray], right: list[np.ndarray] | None = None) -> np.ndarray:
+    """Sizes of the intersections of all sets with each other, or of ``left`` with ``right``: products of 0/1 matrices over the shingles of two or more sets."""
+    sets = left + (right or [])
+    _, column, n = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    keep = n[column] > 1
+    row, column = row[keep], (np.cumsum(n > 1) - 1)[column[keep]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    k = len(left)
+    total = np.zeros((k, len(right) if right else k), np.float64)
+    width = int(column[-1]) + 1 if len(column) else 0
+    for c in range(0, width, COLUMNS):
+        a, b = np.searchsorted(column, [c, c + COLUMNS])
+        part = np.zeros((len(sets), min(COLUMNS, width - c)), np.float32)
+        part[row[a:b], column[a:b] - c] = 1
+        total += part[:k] @ (part[k:] if right else part).T
+    return total.astype(np.int64)
+
+
+class _Bundle:
+    """Members of one node with whole sets; finds which of their components are linked."""
+
+    def __init__(self, component: np.ndarray, tokens: np.ndarray, sets: list[np.ndarray], percent: int, leaf: int):
+        self.names, self.label = np.unique(component, return_inverse=True)
+        self.tokens, self.sets, self.sizes = tokens, sets, np.array([len(s) for s in sets])
+        self.percent, self.leaf, self.extra = percent, leaf, 100 / percent - 1
+        self.to = np.arange(len(self.names))  # component that each of the first ones has become
+        self.start = self.label.copy()
+
+    def compare(self, i: np.ndarray, j: np.ndarray | None = None) -> None:
+        """Link all pairs within ``i``, or across ``i`` and ``j``."""
+        both = i if j is None else np.concatenate([i, j])
+        if (self.label[both] == self.label[both[0]]).all():
+            return
+        other = i if j is None else j
+        shared = _shared([self.sets[x] for x in i], None if j is None else [self.sets[x] for x in j])
+        near = 100 * shared >= self.percent * (self.sizes[i][:, None] + self.sizes[other][None, :] - shared)
+        if j is None:
+            np.fill_diagonal(near, False)
+        for r in np.flatnonzero(near.any(axis=1)):
+            a = self.label[i[r]]
+            for b in np.unique(self.label[other[near[r]]]):
+                if b != a:
+                    low, high = min(a, b), max(a, b)
+                    self.label[self.label == high] = low
+                    a = low
+
+    def visit(self, rows: np.ndarray, node: np.uint64, level: int = 0) -> None:
+        if len(rows) < 2 or (self.label[rows] == self.label[rows[0]]).all():
+            return
+        if len(rows) <= self.leaf:
+            return self.compare(rows)
+        if level < DEPTH:
+            row, key = _chosen(self.tokens[rows], np.full(len(rows), node, U64), self.extra)
+            order = np.argsort(key, kind="stable")
+            key, row = key[order], row[order]
+            cuts = np.concatenate([[0], np.flatnonzero(np.diff(key)) + 1, [len(key)]])
+            sizes = np.diff(cuts).astype(float)
+            if (sizes**2).sum() <= len(rows) ** 2 / 2:
+                for a in np.flatnonzero(sizes > 1):
+                    self.visit(rows[row[cuts[a] : cuts[a + 1]]], key[cuts[a]], level + 1)
+                return
+        self.dense(rows)
+
+    def dense(self, rows: np.ndarray) -> None:
+        """All pairs in different components: tiles on the diagonal first, then what is outside the main component against all."""
+        blocks = [rows[a : a + TILE] for a in range(0, len(rows), TILE)]
+        for block in blocks:
+            self.compare(block)
+        found, n = np.unique(self.label[rows], return_counts=True)
+        odd = rows[self.label[rows] != found[n.argmax()]]
+        for a in range(0, len(odd), TILE):
+            for block in blocks:
+                self.compare(odd[a : a + TILE], block)
+
+    def merged(self) -> tuple[np.ndarray, np.ndarray]:
+        """Old components and the smaller ones they are linked with."""
+        self.to[self.start] = self.label
+        moved = np.flatnonzero(self.to != np.arange(len(self.to)))
+        return self.names[moved], self.names[self.to[moved]]
+
+
+def _linked(rows: DataFrame, percent: int, leaf: int) -> DataFrame:
+    """Pairs (a, b) of components that bundles in (leaf, component, tokens, grams) link.  Rows arrive sorted by leaf; a task holds one bundle."""
+    place = (np.arange(COORDS, dtype=U64) + U64(1)) << U64(32)
+
+    def solve(key: int, parts: list) -> tuple[np.ndarray, np.ndarray]:
+        component = np.concatenate([p.column("component").to_numpy() for p in parts])
+        if len(component) < 2 or (component == component[0]).all():
+            return component[:0], component[:0]
+        tokens = np.frombuffer(b"".join(x for p in parts for x in p.column("tokens").to_pylist()), np.uint16).reshape(-1, COORDS).astype(U64) + place
+        sets = []
+        for p in parts:
+            for g in p.column("grams").to_pylist():
+                wide = np.zeros((len(g) // GRAM, 8), np.uint8)
+                wide[:, :GRAM] = np.frombuffer(g, np.uint8).reshape(-1, GRAM)
+                sets.append(wide.view(U64).ravel())
+        bundle = _Bundle(component, tokens, sets, percent, leaf)
+        bundle.visit(np.arange(len(sets)), np.array([key], np.int64).view(U64)[0])
+        return bundle.merged()
 
     def run(batches):
+        key, parts = None, []
         for batch in batches:
+            if not batch.num_rows:
+                continue
+            leaves = batch.column("leaf").to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(leaves)) + 1).tolist(), batch.num_rows]
             left, right = [], []
-            for members in batch.column("members").to_pylist():
-                members.sort(key=lambda m: m["id"])
-                ids, sizes = [m["id"] for m in members], np.array([m["n_shingles"] for m in members])
-                tokens = np.frombuffer(b"".join(m["tokens"] for m in members), np.uint16).reshape(-1, COORDS)
-                i, j = np.triu_indices(len(ids), 1)
-                near = np.minimum(sizes[i], sizes[j]) >= similarity * np.maximum(sizes[i], sizes[j]) - 1e-9
-                group = np.array([m["component"] for m in members])
-                near &= group[i] != group[j]
-                i, j = i[near], j[near]
-                same = (tokens[i] == tokens[j]).mean(axis=1)
-                order = np.flatnonzero(same >= floor)
-                order = order[np.argsort(-same[order], kind="stable")]
-                root = list(range(len(ids)))
-
-                def top(x):
-                    while root[x] != x:
-                        root[x] = x = root[root[x]]
-                    return x
-
-                for p in order.tolist():
-                    a, b = int(i[p]), int(j[p])
-                    if forest:
-                        ra, rb = top(a), top(b)
-                        if ra == rb:
-                            continue
-                        root[rb] = ra
-                    left.append(ids[a])
-                    right.append(ids[b])
-            yield pa.RecordBatch.from_pydict({"a": pa.array(left, pa.int64()), "b": pa.array(right, pa.int64())})
-
-    return run
-
-
-def _confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """Pairs whose full sets have 100 * intersection >= percent * union."""
-    side = lambda k: texts.select(F.col("id").alias(k), F.col("text").alias(f"text_{k}"))
-
+            for a, b in zip(cuts, cuts[1:]):
+                if parts and leaves[a] != key:
+                    x, y = solve(key, parts)
+                    left.append(x), right.append(y)
+                    parts = []
+                key = leaves[a]
+                parts.append(batch.slice(a, b - a))
+            if left:
+                yield pa.RecordBatch.from_pydict({"a": pa.array(np.concatenate(left), pa.int64()), "b": pa.array(np.concatenate(right), pa.int64())})
+        if parts:
+            x, y = solve(key, parts)
+            yield pa.RecordBatch.from_pydict({"a": pa.array(x, pa.int64()), "b": pa.array(y, pa.int64())})
+
+    cut = rows.select("leaf", "component", "tokens", "grams").repartition("leaf").sortWithinPartitions("leaf")
+    return cut.mapInArrow(run, "a bigint, b bigint")
+
+
+def _grams(docs: DataFrame, needed: DataFrame, single: bool) -> DataFrame:
+    """id and shingle hashes of the sets in ``needed`` (id, doc_id, digest)."""
     def run(batches):
-        for batch in pieces(batches, "text_a", 1 << 20):
-            keep = []
-            for x, y in zip(shingle_sets(text_column(batch, "text_a")), shingle_sets(text_column(batch, "text_b"))):
-                shared = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * shared >= percent * (len(x) + len(y) - shared))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        for batch in pieces(batches):
+            sets = shingle_sets(text_column(batch, "text"))
+            mine = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() == d for s, d in zip(sets, batch.column("digest").to_pylist())]
+            grams = [(s >> U64(64 - 8 * GRAM)).view(np.uint8).reshape(-1, 8)[:, :GRAM].tobytes() if ok else None for s, ok in zip(sets, mine)]
+            yield pa.RecordBatch.from_pydict({"id": batch.column("id"), "grams": pa.array(grams, pa.binary())}).filter(pa.array(mine, pa.bool_()))
 
-    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a bigint, b bigint")
+    found = docs.select("doc_id", "text").join(needed, "doc_id").select("id", "digest", "text").mapInArrow(run, "id bigint, grams binary")
+    return found if single else found.dropDuplicates(["id"])
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -179,58 +272,56 @@ def components(edges: DataFrame) -> DataFrame:
             labels = saved(attach(labels, roots, "component", "__w").select("id", F.least("component", F.coalesce("__to", "component")).alias("component")))
 
 
-def _with_members(leaves: DataFrame, reps: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """Leaves with the tokens and component of their members, only those that span two components."""
-    rows = leaves.select("leaf", F.explode("ids").alias("id"))
-    if labels is None:
-        rows = rows.withColumn("component", F.col("id"))
-    else:
-        rows = rows.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
-        split = rows.groupBy("leaf").agg(F.min("component").alias("__lo"), F.max("component").alias("__hi")).where("__lo <> __hi").select("leaf")
-        rows = rows.join(split, "leaf", "left_semi")
-    full = rows.join(reps.select("id", "n_shingles", "tokens"), "id")
-    return full.groupBy("leaf").agg(F.collect_list(F.struct("id", "n_shingles", "tokens", "component")).alias("members")).select("members")
+def _leaf_sets(rows: DataFrame) -> DataFrame:
+    """(leaf, id, component): distinct member lists of the nodes in (node, id, component) that span two components."""
+    spans = rows.groupBy("node").agg(F.collect_set(F.struct("id", "component")).alias("members"), F.min("component").alias("__lo"), F.max("component").alias("__hi"))
+    lists = spans.where("__lo <> __hi").select(F.array_sort("members").alias("members"))
+    keyed = lists.select(F.xxhash64("members").alias("leaf"), "members").dropDuplicates(["leaf"])
+    return keyed.select("leaf", F.explode("members").alias("m")).select("leaf", "m.id", "m.component")
 
 
-def _leaf_sets(rows: DataFrame) -> DataFrame:
-    """Distinct member lists of the nodes in (node, id)."""
-    return rows.groupBy("node").agg(F.array_sort(F.collect_set("id")).alias("ids")).where(F.size("ids") > 1).select("ids").distinct().select(F.xxhash64("ids").alias("leaf"), "ids")
+def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    return rows.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
 
 
-def links(docs: DataFrame, percent: int = 85, trees: int = TREES, depth: int = DEPTH, leaf: int = LEAF) -> tuple[DataFrame, DataFrame]:
+def links(docs: DataFrame, percent: int = 85, trees: int = TREES, depth: int = DEPTH, leaf: int = LEAF, bundle_bytes: int = BUNDLE_BYTES,
+          bundle_rows: int = BUNDLE_ROWS) -> tuple[DataFrame, DataFrame]:
     """Per row doc_id, n_shingles, digest; and per digest the component of its set and the number of rows."""
     similarity = percent / 100
     rows = saved(sketches(docs, similarity, trees))
     sets = rows.where("digest is not null and doc_id is not null")
     one = sets.groupBy("digest").agg(F.min("doc_id").alias("id"), F.count("*").alias("n_rows"))
-    reps = sets.select("digest", F.col("doc_id").alias("id"), "n_shingles", "tokens", "paths").join(one, ["digest", "id"]).dropDuplicates(["digest"])
+    reps = sets.select("digest", F.col("doc_id").alias("id"), "n_shingles", "tokens", "paths_0", "paths_1").join(one, ["digest", "id"]).dropDuplicates(["digest"])
     # a doc_id with several texts is several sets: compare the sets under ids of their own
+    share = F.greatest(F.col("n_shingles") * (GRAM / bundle_bytes), F.lit(1 / bundle_rows)).alias("share")
     reps = saved(reps.withColumnRenamed("id", "doc_id").withColumn("id", F.monotonically_increasing_id()))
-    schema = "a bigint, b bigint"
-    small, dense = _nodes(reps.select("id", F.explode("paths").alias("node")).distinct(), leaf)
-    blocks = saved(_blocks(dense, leaf))
-    leaf_sets = saved(_leaf_sets(small.unionByName(blocks.select(F.xxhash64("node", "block").alias("node"), "id"))))
-    needed = leaf_sets.select(F.explode("ids").alias("id")).distinct().join(reps.select("id", "doc_id", "digest"), "id")
-    texts = saved(docs.select("doc_id", "text").join(needed, "doc_id").dropDuplicates(["id"]).select("id", "text")) if _unique(rows) else _own_texts(docs, needed)
-    first = saved(_confirmed(_with_members(leaf_sets, reps, None).mapInArrow(_pairs(similarity, True), schema).distinct(), texts, percent))
+    level = lambda paths: reps.select("id", share, F.explode(F.array_distinct(paths)).alias("node"))
+    small, dense = _nodes(level("paths_0"))
+    more, dense_more = _nodes(level("paths_1"))
+    met = small.select("id").unionByName(dense.select("id")).unionByName(more.select("id")).unionByName(dense_more.select("id")).distinct()
+    grams = saved(_grams(docs, met.join(reps.select("id", "doc_id", "digest"), "id"), _unique(rows)))
+    members = reps.select("id", "tokens").join(grams, "id")
+    alone = lambda nodes: nodes.select("node", "id").withColumn("component", F.col("id"))
+    blocks = _blocks(dense)
+    bundles = alone(small).unionByName(alone(blocks.select(F.xxhash64("node", "block").alias("node"), "id")))
+    first = saved(_linked(_leaf_sets(bundles).join(members, "id"), percent, leaf).distinct())
     labels = components(first)
-    rest = _leaf_sets(small)  # blocks have done their part: what a large node leaves open is compared below
-    for step in range(depth):
+    rest = _leaf_sets(_labelled(more.select("node", "id"), labels))
+    dense = dense.unionByName(dense_more)
+    for step in range(depth + 1):
         if dense.isEmpty():
             break
-        # a large node within one component is done; few members outside its main one meet all blocks; else it branches
-        marked, main = _main(blocks, labels)
-        last = step + 1 == depth
-        few = main.where(F.lit(last) | ((F.col("odd") > 0) & (F.col("odd") <= FEW)))
-        rest = rest.unionByName(_outside(marked, few, leaf))
+        # a large node within one component is done; if half a bundle is outside its main one, that meets all blocks; else it branches
+        marked, main = _main(_blocks(dense), labels)
+        last = step == depth
+        rest = rest.unionByName(_outside(marked, main.where(F.lit(last) | (F.col("odd") <= 0.5))))
         if last:
             break
-        again = dense.join(main.where(F.col("odd") > FEW).select("node"), "node", "left_semi")
-        level = again.join(reps.select("id", "tokens"), "id").select("id", "node", "tokens").mapInArrow(_branch(similarity), "node bigint, id bigint").distinct()
-        small, dense = _nodes(level, leaf)
-        blocks = saved(_blocks(dense, leaf))
-        rest = rest.unionByName(_leaf_sets(small))
-    second = _confirmed(_with_members(saved(rest.dropDuplicates(["leaf"])), reps, labels).mapInArrow(_pairs(similarity, False), schema).distinct(), texts, percent)
+        again = dense.join(main.where(F.col("odd") > 0.5).select("node"), "node", "left_semi")
+        deeper = again.join(reps.select("id", "tokens"), "id").select("id", "node", "tokens").mapInArrow(_branch(similarity), "node bigint, id bigint").distinct()
+        small, dense = _nodes(deeper.join(reps.select("id", share), "id"))
+        rest = rest.unionByName(_leaf_sets(_labelled(small.select("node", "id"), labels)))
+    second = _linked(saved(rest).join(members, "id"), percent, leaf)
     known = labels.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(second)
     # sets of one doc_id belong together
     same = reps.groupBy("doc_id").agg(F.min("id").alias("b"), F.collect_list("id").alias("all")).where(F.size("all") > 1).select(F.explode("all").alias("a"), "b")
@@ -246,49 +337,39 @@ def _unique(rows: DataFrame) -> bool:
     return n.n == n.d
 
 
-def _own_texts(docs: DataFrame, needed: DataFrame) -> DataFrame:
-    """Texts by set where doc_ids repeat: matched by digest."""
-    def run(batches):
-        for batch in pieces(batches):
-            digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in shingle_sets(text_column(batch, "text"))]
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id").cast(pa.int64()), "digest": pa.array(digests, pa.binary()), "text": batch.column("text")})
-
-    marked = docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, digest binary, text string")
-    return saved(marked.join(needed, ["doc_id", "digest"]).dropDuplicates(["id"]).select("id", "text"))
-
-
-def _nodes(level: DataFrame, leaf: int) -> tuple[DataFrame, DataFrame]:
-    """(node, id) of the nodes that can be compared exhaustively, and (node, id, size) of larger ones; lone members are gone."""
-    sizes = level.groupBy("node").agg(F.count("*").alias("size")).where("size > 1")
-    level = saved(attach(level, sizes, "node", "size").where("size is not null"))
-    return level.where(F.col("size") <= leaf).select("node", "id"), level.where(F.col("size") > leaf)
+def _nodes(level: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(node, id, share) of the nodes that fit in a bundle; and those of larger ones with their ``size`` in bundles.  Lone members are gone."""
+    sizes = level.groupBy("node").agg(F.count("*").alias("__w"), F.sum("share").alias("size")).where("__w > 1")
+    level = saved(attach(level, sizes, "node", "__w").where("size is not null").select("node", "id", "share", "size"))
+    return level.where("size <= 1").drop("size"), level.where("size > 1")
 
 
-def _blocks(dense: DataFrame, leaf: int) -> DataFrame:
-    """Large nodes cut into blocks of about half a leaf; each passes a quarter of its members on to the next block as well."""
+def _blocks(dense: DataFrame) -> DataFrame:
+    """Large nodes cut into blocks of about half a bundle; each passes a quarter of its members on to the next block as well."""
     h = F.xxhash64("node", "id")
-    cut = dense.select("node", "id", F.ceil(F.col("size") / max(2, leaf // 2)).cast("long").alias("n_blocks"), h.alias("h"))
+    cut = dense.select("node", "id", "share", F.ceil(F.col("size") * 2).cast("long").alias("n_blocks"), h.alias("h"))
     own = F.pmod(F.col("h"), F.col("n_blocks"))
     places = F.when(F.pmod(F.shiftright("h", 40), F.lit(4)) == 0, F.array(own, F.pmod(own + 1, F.col("n_blocks")))).otherwise(F.array(own))
-    return cut.select("node", "id", "n_blocks", F.explode(F.array_distinct(places)).alias("block"))
+    return cut.select("node", "id", "share", "n_blocks", F.explode(F.array_distinct(places)).alias("block"))
 
 
 def _main(blocks: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Members of large nodes with their components; and per node the component of most, and how many are outside it."""
-    marked = saved(blocks.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id")))
-    counted = marked.select("node", "id", "component").distinct().groupBy("node", "component").agg(F.count("*").alias("n"))
-    main = counted.groupBy("node").agg(F.max_by("component", F.struct("n", F.col("component"))).alias("main"), F.sum("n").alias("size"), F.max("n").alias("most"))
-    return marked, saved(main.select("node", "main", "size", (F.col("size") - F.col("most")).alias("odd")))
-
-
-def _outside(marked: DataFrame, main: DataFrame, leaf: int) -> DataFrame:
-    """Leaves that bring the members outside a large node's main component together with every block of the node."""
-    odd = attach(marked, main, "node", "size").where("component <> main").select("node", "id", "n_blocks", "odd").distinct()
-    chunks = odd.withColumn("chunk", F.pmod(F.xxhash64("id"), F.ceil(F.col("odd") / leaf).cast("long")))
-    spread = chunks.select("node", "chunk", "id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_blocks") - 1)).alias("block"))
-    own = spread.select("node", "block", "chunk").distinct().join(marked.select("node", "block", "id"), ["node", "block"])
-    rows = spread.select("node", "block", "chunk", "id").unionByName(own.select("node", "block", "chunk", "id"))
-    return _leaf_sets(rows.select(F.xxhash64("node", "block", "chunk").alias("node"), "id"))
+    """Members of large nodes with their components; and per node the component of most, and the share of a bundle outside it."""
+    marked = saved(_labelled(blocks, labels))
+    counted = marked.select("node", "id", "component", "share").distinct().groupBy("node", "component").agg(F.sum("share").alias("n"), F.count("*").alias("rows"))
+    main = counted.groupBy("node").agg(F.max_by("component", F.struct("n", F.col("component"))).alias("main"), F.sum("rows").alias("size"), F.sum("n").alias("all"), F.max("n").alias("most"))
+    spans = counted.groupBy("node").agg(F.count("*").alias("n")).where("n > 1").select("node")
+    return marked, saved(main.join(spans, "node").select("node", "main", "size", (F.col("all") - F.col("most")).alias("odd")))
+
+
+def _outside(marked: DataFrame, main: DataFrame) -> DataFrame:
+    """Bundles that bring the members outside a large node's main component together with every block of the node."""
+    odd = attach(marked, main, "node", "size").where("component <> main").select("node", "id", "component", "n_blocks", "odd").distinct()
+    chunks = odd.withColumn("chunk", F.pmod(F.xxhash64("id"), F.ceil(F.col("odd") * 2).cast("long")))
+    spread = chunks.select("node", "chunk", "id", "component", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_blocks") - 1)).alias("block"))
+    own = spread.select("node", "block", "chunk").distinct().join(marked.select("node", "block", "id", "component"), ["node", "block"])
+    both = spread.select("node", "block", "chunk", "id", "component").unionByName(own.select("node", "block", "chunk", "id", "component"))
+    return _leaf_sets(both.select(F.xxhash64("node", "block", "chunk").alias("node"), "id", "component"))
 
 
 def near_dedup(docs: DataFrame, percent: int = 85, trees: int = TREES) -> DataFrame:

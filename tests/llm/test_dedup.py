@@ -172,18 +172,41 @@ def test_near_dedup(spark):
     assert got == brute_components(rows)
 
 
-def test_near_dedup_large_nodes(spark):
-    """Leaves of three members: nodes are cut, branch and meet their outsiders."""
+@pytest.mark.parametrize("depth,bundle", [(2, 6), (0, 12), (4, 1000)])
+def test_near_dedup_large_nodes(spark, depth, bundle):
+    """Bundles of a few members: nodes are cut into blocks, branch and meet their outsiders."""
     r = random.Random(5)
     shared = " ".join(f"s{i}" for i in range(120))
     rows = [(i, shared + " " + " ".join(f"u{i}_{j}" for j in range(60))) for i in range(40)]
     rows += [(100 + i, edited(r, rows[i % 5][1], 2)) for i in range(30)]
     docs = docs_of(spark, rows)
-    rows_, classes = near_dedup.links(docs, 85, trees=8, depth=2, leaf=4)
+    rows_, classes = near_dedup.links(docs, 85, trees=8, depth=depth, leaf=4, bundle_rows=bundle)
     got = rows_.join(classes, "digest", "left").select("doc_id", "n_shingles", "component_id").collect()
     assert sorted((tuple(x) for x in got), key=str) == brute_components(rows)
 
 
+def test_bundle_counts_and_links_like_plain_sets():
+    import numpy as np
+
+    r = random.Random(8)
+    sets = [sorted(r.sample(range(60), r.randint(1, 40))) for _ in range(30)]
+    sets += [sorted(set(sets[i % 30]) ^ {100 + i}) for i in range(40)]
+    arrays = [np.array(s, np.uint64) for s in sets]
+    plain = [[len(set(a) & set(b)) for b in sets] for a in sets]
+    counted = near_dedup._shared(arrays)
+    assert all(counted[i][j] == plain[i][j] for i in range(70) for j in range(70) if i != j)
+    assert near_dedup._shared(arrays[:9], arrays[9:]).tolist() == [p[9:] for p in plain[:9]]
+    for leaf in (100, 5):  # at once, and by tiles after branching that thins nothing out
+        bundle = near_dedup._Bundle(np.arange(70), np.zeros((70, near_dedup.COORDS), np.uint64), arrays, 80, leaf)
+        bundle.visit(np.arange(70), np.uint64(3))
+        want = list(range(70))
+        for i in range(70):
+            for j in range(70):
+                if i != j and 100 * plain[i][j] >= 80 * (len(sets[i]) + len(sets[j]) - plain[i][j]):
+                    want = [min(want[i], want[j]) if x in (want[i], want[j]) else x for x in want]
+        assert bundle.label.tolist() == want
+
+
 def test_near_dedup_edges(spark):
     assert near_dedup.near_dedup(docs_of(spark, [])).count() == 0
     out = near_dedup.keep_one(docs_of(spark, [(1, None), (2, ""), (3, "a b"), (4, "A  b\n"), (None, "a b")]))
