@@ -5,14 +5,15 @@ set is summarised by ``COORDS`` minwise tokens.  In every tree a document goes d
 tokens that are smallest under a hash of the node, and of the few more below a threshold, ``1 / similarity``
 paths on average; documents that go on together are a node.
 
-A node that fits in a task (``BUNDLE_BYTES`` of sets, ``BUNDLE_ROWS`` documents) is a bundle: its members meet there with their whole
-sets, and the task goes on branching by the same rule until nodes hold ``LEAF`` documents, which are compared exhaustively. Where
-branching does not thin a node out, all pairs that lie in different components are compared, tile by tile.  Intersections are
-counted exactly, and only merged components leave the task, at most one row per document.  A larger node is cut into blocks, which are
-bundles too; if that leaves more than one component in it, it branches as a Spark stage, ``DEPTH`` levels at most, or, once what lies
-outside its main component is small, that meets all blocks of the node.  Trees come in two rounds: nodes of the second are compared
-only if they span two components that the first has found.  So no group of copies is expanded into its pairs, and no link within a
-compared node is lost to a cap or an estimate.
+A node that fits in a task (``BUNDLE_BYTES`` of sets, ``BUNDLE_ROWS`` documents) goes on branching there by the same rule until nodes hold
+``LEAF`` documents.  Those are compared exhaustively by their tokens: members that may be linked (sizes agree, and the estimated
+similarity is no more than ``SLACK`` standard errors too low, so one link in three million of exactly the similarity is lost here) are a group.
+Nodes that branching does not thin out are groups as a whole.  Members of a group meet with their whole sets; intersections
+are counted exactly for all pairs in different components, tile by tile, and only merged components leave the task, at most
+one row per document.  A larger node is cut into blocks, which are groups too; if that leaves more than one component in it, it
+branches as a Spark stage, ``DEPTH`` levels at most, or, once what lies outside its main component is small, that meets all blocks of the
+node.  Trees come in two rounds: groups of the second are compared only if they span two components that the first has found.  So
+no group of copies is expanded into its pairs, and nothing is capped.
 
 A link of exactly the similarity meets in a tree's first nodes with about that probability, so ``TREES`` trees miss one in 10^8 or fewer there;
 what branching loses below them is measured against brute force (README).
@@ -36,6 +37,7 @@ from tabspark.llm.tokens import SOLID, grams, mix, words
 
 SHINGLE = 5
 TREES, FIRST, COORDS, LEAF, DEPTH = 12, 4, 128, 128, 4
+SLACK = 5
 TILE = 512  # documents on a side of an exhaustive comparison
 BUNDLE_BYTES, BUNDLE_ROWS = 32 << 20, 16_384  # sets and documents that one task holds at a time
 GRAM = 6  # bytes of a shingle hash that are kept to count intersections
@@ -43,6 +45,7 @@ COLUMNS = 4096  # shingles that are counted at once
 U32, U64 = np.uint32, np.uint64
 _SEEDS = mix(np.arange(1, 2 * COORDS + 1, dtype=U64))
 _A, _B = (_SEEDS[:COORDS] >> U64(32)).astype(U32) | U32(1), (_SEEDS[COORDS:] >> U64(32)).astype(U32)
+_PLACE = (np.arange(COORDS, dtype=U64) + U64(1)) << U64(32)
 
 
 def shingle_sets(texts: pa.Array) -> list[np.ndarray]:
@@ -67,7 +70,6 @@ def _chosen(tokens: np.ndarray, node: np.ndarray, extra: float) -> tuple[np.ndar
 def sketches(docs: DataFrame, similarity: float, trees: int) -> DataFrame:
     """doc_id, set size, digest of the set, minwise tokens (16 bits each) and the first node of every path, by round."""
     extra = 1 / similarity - 1
-    place = (np.arange(COORDS, dtype=U64) + U64(1)) << U64(32)
 
     def run(batches):
         for batch in pieces(batches):
@@ -82,7 +84,7 @@ def sketches(docs: DataFrame, similarity: float, trees: int) -> DataFrame:
                 for i in range(COORDS):
                     low[full, i] = np.minimum.reduceat(short * _A[i] + _B[i], starts)
             paths: list[list[list[int]]] = [[[] for _ in sets] for _ in range(2)]
-            tokens = low.astype(np.uint16)[full].astype(U64) + place
+            tokens = low.astype(np.uint16)[full].astype(U64) + _PLACE
             for t in range(trees if len(full) else 0):
                 row, key = _chosen(tokens, np.full(len(full), mix(np.array([t + 1], U64))[0]), extra)
                 for r, k in zip(full[row].tolist(), key.view(np.int64).tolist()):
@@ -97,14 +99,13 @@ def sketches(docs: DataFrame, similarity: float, trees: int) -> DataFrame:
 
 def _branch(similarity: float):
     extra = 1 / similarity - 1
-    place = (np.arange(COORDS, dtype=U64) + U64(1)) << U64(32)
 
     def run(batches):
         for batch in batches:
             if not batch.num_rows:
                 continue
             ids, nodes = batch.column("id").to_numpy(), batch.column("node").to_numpy().view(U64)
-            tokens = np.frombuffer(b"".join(batch.column("tokens").to_pylist()), np.uint16).reshape(-1, COORDS).astype(U64) + place
+            tokens = np.frombuffer(b"".join(batch.column("tokens").to_pylist()), np.uint16).reshape(-1, COORDS).astype(U64) + _PLACE
             row, key = _chosen(tokens, nodes, extra)
             yield pa.RecordBatch.from_pydict({"node": pa.array(key.view(np.int64)), "id": pa.array(ids[row])})
 
@@ -132,12 +133,11 @@ def _shared(left: list[np.ndarray], right: list[np.ndarray] | None = None) -> np
 
 
 class _Bundle:
-    """Members of one node with whole sets; finds which of their components are linked."""
+    """Members of one group with whole sets; finds which of their components are linked."""
 
-    def __init__(self, component: np.ndarray, tokens: np.ndarray, sets: list[np.ndarray], percent: int, leaf: int):
+    def __init__(self, component: np.ndarray, sets: list[np.ndarray], percent: int):
         self.names, self.label = np.unique(component, return_inverse=True)
-        self.tokens, self.sets, self.sizes = tokens, sets, np.array([len(s) for s in sets])
-        self.percent, self.leaf, self.extra = percent, leaf, 100 / percent - 1
+        self.sets, self.sizes, self.percent = sets, np.array([len(s) for s in sets]), percent
         self.to = np.arange(len(self.names))  # component that each of the first ones has become
         self.start = self.label.copy()
 
@@ -159,23 +159,6 @@ class _Bundle:
                     self.label[self.label == high] = low
                     a = low
 
-    def visit(self, rows: np.ndarray, node: np.uint64, level: int = 0) -> None:
-        if len(rows) < 2 or (self.label[rows] == self.label[rows[0]]).all():
-            return
-        if len(rows) <= self.leaf:
-            return self.compare(rows)
-        if level < DEPTH:
-            row, key = _chosen(self.tokens[rows], np.full(len(rows), node, U64), self.extra)
-            order = np.argsort(key, kind="stable")
-            key, row = key[order], row[order]
-            cuts = np.concatenate([[0], np.flatnonzero(np.diff(key)) + 1, [len(key)]])
-            sizes = np.diff(cuts).astype(float)
-            if (sizes**2).sum() <= len(rows) ** 2 / 2:
-                for a in np.flatnonzero(sizes > 1):
-                    self.visit(rows[row[cuts[a] : cuts[a + 1]]], key[cuts[a]], level + 1)
-                return
-        self.dense(rows)
-
     def dense(self, rows: np.ndarray) -> None:
         """All pairs in different components: tiles on the diagonal first, then what is outside the main component against all."""
         blocks = [rows[a : a + TILE] for a in range(0, len(rows), TILE)]
@@ -194,48 +177,105 @@ class _Bundle:
         return self.names[moved], self.names[self.to[moved]]
 
 
-def _linked(rows: DataFrame, percent: int, leaf: int) -> DataFrame:
-    """Pairs (a, b) of components that bundles in (leaf, component, tokens, grams) link.  Rows arrive sorted by leaf; a task holds one bundle."""
-    place = (np.arange(COORDS, dtype=U64) + U64(1)) << U64(32)
+class _Branches:
+    """Members of one node with their tokens; finds the groups that have to be compared."""
 
-    def solve(key: int, parts: list) -> tuple[np.ndarray, np.ndarray]:
-        component = np.concatenate([p.column("component").to_numpy() for p in parts])
-        if len(component) < 2 or (component == component[0]).all():
-            return component[:0], component[:0]
-        tokens = np.frombuffer(b"".join(x for p in parts for x in p.column("tokens").to_pylist()), np.uint16).reshape(-1, COORDS).astype(U64) + place
-        sets = []
-        for p in parts:
-            for g in p.column("grams").to_pylist():
-                wide = np.zeros((len(g) // GRAM, 8), np.uint8)
-                wide[:, :GRAM] = np.frombuffer(g, np.uint8).reshape(-1, GRAM)
-                sets.append(wide.view(U64).ravel())
-        bundle = _Bundle(component, tokens, sets, percent, leaf)
-        bundle.visit(np.arange(len(sets)), np.array([key], np.int64).view(U64)[0])
-        return bundle.merged()
+    def __init__(self, tokens: np.ndarray, sizes: np.ndarray, similarity: float, leaf: int):
+        self.low, self.tokens, self.sizes, self.leaf = tokens, tokens.astype(U64) + _PLACE, sizes, leaf
+        self.similarity, self.extra = similarity, 1 / similarity - 1
+        self.floor = similarity - SLACK * (similarity * (1 - similarity) / COORDS) ** 0.5
+        self.groups: list[np.ndarray] = []
 
+    def visit(self, rows: np.ndarray, node: np.uint64, level: int = 0) -> None:
+        if len(rows) <= self.leaf:
+            return self.compare(rows)
+        if level < DEPTH:
+            row, key = _chosen(self.tokens[rows], np.full(len(rows), node, U64), self.extra)
+            order = np.argsort(key, kind="stable")
+            key, row = key[order], row[order]
+            cuts = np.concatenate([[0], np.flatnonzero(np.diff(key)) + 1, [len(key)]])
+            sizes = np.diff(cuts).astype(float)
+            if (sizes**2).sum() <= len(rows) ** 2 / 2:
+                for a in np.flatnonzero(sizes > 1):
+                    self.visit(rows[row[cuts[a] : cuts[a + 1]]], key[cuts[a]], level + 1)
+                return
+        self.groups.append(rows)
+
+    def compare(self, rows: np.ndarray) -> None:
+        low, sizes = self.low[rows], self.sizes[rows].astype(float)
+        near = np.minimum(sizes[:, None], sizes) >= self.similarity * np.maximum(sizes[:, None], sizes) - 1e-9
+        i, j = np.nonzero(np.triu(near, 1))
+        hit = (low[i] == low[j]).sum(axis=1) >= self.floor * COORDS
+        part = np.arange(len(rows))  # connected candidates are a group: the same copies are the same group in every tree
+        for a, b in zip(i[hit].tolist(), j[hit].tolist()):
+            if part[a] != part[b]:
+                part[part == part[b]] = part[a]
+        order = np.argsort(part, kind="stable")
+        for g in np.split(order, np.flatnonzero(np.diff(part[order])) + 1):
+            if len(g) > 1:
+                self.groups.append(rows[np.sort(g)])
+
+
+def _by_leaf(rows: DataFrame, solve, schema: str) -> DataFrame:
+    """``solve(leaf, batches)`` for the rows of each leaf, which arrive sorted; a task holds one leaf at a time."""
     def run(batches):
         key, parts = None, []
         for batch in batches:
             if not batch.num_rows:
                 continue
-            leaves = batch.column("leaf").to_numpy()
+            leaves, done = batch.column("leaf").to_numpy(), []
             cuts = [0, *(np.flatnonzero(np.diff(leaves)) + 1).tolist(), batch.num_rows]
-            left, right = [], []
             for a, b in zip(cuts, cuts[1:]):
                 if parts and leaves[a] != key:
-                    x, y = solve(key, parts)
-                    left.append(x), right.append(y)
+                    done.append(solve(key, parts))
                     parts = []
                 key = leaves[a]
                 parts.append(batch.slice(a, b - a))
-            if left:
-                yield pa.RecordBatch.from_pydict({"a": pa.array(np.concatenate(left), pa.int64()), "b": pa.array(np.concatenate(right), pa.int64())})
+            if done:
+                yield from pa.Table.from_batches(done).combine_chunks().to_batches()
         if parts:
-            x, y = solve(key, parts)
-            yield pa.RecordBatch.from_pydict({"a": pa.array(x, pa.int64()), "b": pa.array(y, pa.int64())})
+            yield solve(key, parts)
+
+    return rows.repartition("leaf").sortWithinPartitions("leaf").mapInArrow(run, schema)
+
+
+def _groups(nodes: DataFrame, reps: DataFrame, similarity: float, leaf: int) -> DataFrame:
+    """(leaf, id) of the distinct groups to compare within the nodes of (node, id)."""
+    def solve(key, parts):
+        ids = np.concatenate([p.column("id").to_numpy() for p in parts])
+        order = np.argsort(ids)
+        tokens = np.frombuffer(b"".join(x for p in parts for x in p.column("tokens").to_pylist()), np.uint16).reshape(-1, COORDS)[order]
+        sizes = np.concatenate([p.column("n_shingles").to_numpy() for p in parts])[order]
+        found = _Branches(tokens, sizes, similarity, leaf)
+        found.visit(np.arange(len(ids)), np.array([key], np.int64).view(U64)[0])
+        return pa.RecordBatch.from_pydict({"ids": pa.array([ids[order[g]] for g in found.groups], pa.list_(pa.int64()))})
+
+    lists = nodes.groupBy("node").agg(F.array_sort(F.collect_set("id")).alias("ids"))
+    met = _listed(lists).join(reps.select("id", "n_shingles", "tokens"), "id").select("leaf", "id", "n_shingles", "tokens")
+    return _listed(_by_leaf(met, solve, "ids array<bigint>"))
+
+
+def _listed(lists: DataFrame) -> DataFrame:
+    """(leaf, id) of distinct sorted lists ``ids``."""
+    return lists.select(F.xxhash64("ids").alias("leaf"), "ids").dropDuplicates(["leaf"]).select("leaf", F.explode("ids").alias("id"))
+
+
+def _linked(rows: DataFrame, grams: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of components that the groups in (leaf, id, component) link."""
+    def solve(key, parts):
+        component = np.concatenate([p.column("component").to_numpy() for p in parts])
+        sets = []
+        for p in parts:
+            for g in p.column("grams").to_pylist():
+                wide = np.zeros((len(g) // GRAM, 8), np.uint8)
+                wide[:, :GRAM] = np.frombuffer(g, np.uint8).reshape(-1, GRAM)
+                sets.append(wide.view(U64).ravel())
+        bundle = _Bundle(component, sets, percent)
+        bundle.dense(np.arange(len(sets)))
+        a, b = bundle.merged()
+        return pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    cut = rows.select("leaf", "component", "tokens", "grams").repartition("leaf").sortWithinPartitions("leaf")
-    return cut.mapInArrow(run, "a bigint, b bigint")
+    return _by_leaf(rows.join(grams, "id").select("leaf", "component", "grams"), solve, "a bigint, b bigint")
 
 
 def _grams(docs: DataFrame, needed: DataFrame, single: bool) -> DataFrame:
@@ -272,12 +312,10 @@ def components(edges: DataFrame) -> DataFrame:
             labels = saved(attach(labels, roots, "component", "__w").select("id", F.least("component", F.coalesce("__to", "component")).alias("component")))
 
 
-def _leaf_sets(rows: DataFrame) -> DataFrame:
-    """(leaf, id, component): distinct member lists of the nodes in (node, id, component) that span two components."""
-    spans = rows.groupBy("node").agg(F.collect_set(F.struct("id", "component")).alias("members"), F.min("component").alias("__lo"), F.max("component").alias("__hi"))
-    lists = spans.where("__lo <> __hi").select(F.array_sort("members").alias("members"))
-    keyed = lists.select(F.xxhash64("members").alias("leaf"), "members").dropDuplicates(["leaf"])
-    return keyed.select("leaf", F.explode("members").alias("m")).select("leaf", "m.id", "m.component")
+def _split(rows: DataFrame) -> DataFrame:
+    """The groups of (leaf, id, component) that span two components."""
+    spans = rows.groupBy("leaf").agg(F.collect_set(F.struct("id", "component")).alias("members"), F.min("component").alias("__lo"), F.max("component").alias("__hi"))
+    return spans.where("__lo <> __hi").select("leaf", F.explode("members").alias("m")).select("leaf", "m.id", "m.component")
 
 
 def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
@@ -298,15 +336,13 @@ def links(docs: DataFrame, percent: int = 85, trees: int = TREES, depth: int = D
     level = lambda paths: reps.select("id", share, F.explode(F.array_distinct(paths)).alias("node"))
     small, dense = _nodes(level("paths_0"))
     more, dense_more = _nodes(level("paths_1"))
-    met = small.select("id").unionByName(dense.select("id")).unionByName(more.select("id")).unionByName(dense_more.select("id")).distinct()
+    blocks = _blocks(dense).select(F.xxhash64("node", "block").alias("leaf"), "id")
+    early, late = saved(_groups(small, reps, similarity, leaf)), saved(_groups(more, reps, similarity, leaf))
+    met = early.select("id").unionByName(late.select("id")).unionByName(dense.select("id")).unionByName(dense_more.select("id")).distinct()
     grams = saved(_grams(docs, met.join(reps.select("id", "doc_id", "digest"), "id"), _unique(rows)))
-    members = reps.select("id", "tokens").join(grams, "id")
-    alone = lambda nodes: nodes.select("node", "id").withColumn("component", F.col("id"))
-    blocks = _blocks(dense)
-    bundles = alone(small).unionByName(alone(blocks.select(F.xxhash64("node", "block").alias("node"), "id")))
-    first = saved(_linked(_leaf_sets(bundles).join(members, "id"), percent, leaf).distinct())
+    first = saved(_linked(early.unionByName(blocks).withColumn("component", F.col("id")), grams, percent).distinct())
     labels = components(first)
-    rest = _leaf_sets(_labelled(more.select("node", "id"), labels))
+    rest = _split(_labelled(late, labels))
     dense = dense.unionByName(dense_more)
     for step in range(depth + 1):
         if dense.isEmpty():
@@ -320,8 +356,8 @@ def links(docs: DataFrame, percent: int = 85, trees: int = TREES, depth: int = D
         again = dense.join(main.where(F.col("odd") > 0.5).select("node"), "node", "left_semi")
         deeper = again.join(reps.select("id", "tokens"), "id").select("id", "node", "tokens").mapInArrow(_branch(similarity), "node bigint, id bigint").distinct()
         small, dense = _nodes(deeper.join(reps.select("id", share), "id"))
-        rest = rest.unionByName(_leaf_sets(_labelled(small.select("node", "id"), labels)))
-    second = _linked(saved(rest).join(members, "id"), percent, leaf)
+        rest = rest.unionByName(_split(_labelled(_groups(small, reps, similarity, leaf), labels)))
+    second = _linked(saved(rest), grams, percent)
     known = labels.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(second)
     # sets of one doc_id belong together
     same = reps.groupBy("doc_id").agg(F.min("id").alias("b"), F.collect_list("id").alias("all")).where(F.size("all") > 1).select(F.explode("all").alias("a"), "b")
@@ -369,7 +405,7 @@ def _outside(marked: DataFrame, main: DataFrame) -> DataFrame:
     spread = chunks.select("node", "chunk", "id", "component", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_blocks") - 1)).alias("block"))
     own = spread.select("node", "block", "chunk").distinct().join(marked.select("node", "block", "id", "component"), ["node", "block"])
     both = spread.select("node", "block", "chunk", "id", "component").unionByName(own.select("node", "block", "chunk", "id", "component"))
-    return _leaf_sets(both.select(F.xxhash64("node", "block", "chunk").alias("node"), "id", "component"))
+    return _split(both.select(F.xxhash64("node", "block", "chunk").alias("leaf"), "id", "component"))
 
 
 def near_dedup(docs: DataFrame, percent: int = 85, trees: int = TREES) -> DataFrame:

@@ -185,7 +185,7 @@ def test_near_dedup_large_nodes(spark, depth, bundle):
     assert sorted((tuple(x) for x in got), key=str) == brute_components(rows)
 
 
-def test_bundle_counts_and_links_like_plain_sets():
+def test_bundle_counts_and_links_like_plain_sets(monkeypatch):
     import numpy as np
 
     r = random.Random(8)
@@ -196,15 +196,18 @@ def test_bundle_counts_and_links_like_plain_sets():
     counted = near_dedup._shared(arrays)
     assert all(counted[i][j] == plain[i][j] for i in range(70) for j in range(70) if i != j)
     assert near_dedup._shared(arrays[:9], arrays[9:]).tolist() == [p[9:] for p in plain[:9]]
-    for leaf in (100, 5):  # at once, and by tiles after branching that thins nothing out
-        bundle = near_dedup._Bundle(np.arange(70), np.zeros((70, near_dedup.COORDS), np.uint64), arrays, 80, leaf)
-        bundle.visit(np.arange(70), np.uint64(3))
-        want = list(range(70))
-        for i in range(70):
-            for j in range(70):
-                if i != j and 100 * plain[i][j] >= 80 * (len(sets[i]) + len(sets[j]) - plain[i][j]):
-                    want = [min(want[i], want[j]) if x in (want[i], want[j]) else x for x in want]
+    want = list(range(70))
+    for i in range(70):
+        for j in range(70):
+            if i != j and 100 * plain[i][j] >= 80 * (len(sets[i]) + len(sets[j]) - plain[i][j]):
+                want = [min(want[i], want[j]) if k in (want[i], want[j]) else k for k in want]
+    for tile in (100, 16):
+        monkeypatch.setattr(near_dedup, "TILE", tile)
+        bundle = near_dedup._Bundle(np.arange(70), arrays, 80)
+        bundle.dense(np.arange(70))
         assert bundle.label.tolist() == want
+        a, b = bundle.merged()
+        assert dict(zip(a.tolist(), b.tolist())) == {k: w for k, w in enumerate(want) if k != w}
 
 
 def test_near_dedup_edges(spark):
