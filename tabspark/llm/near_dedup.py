@@ -15,8 +15,8 @@ branches as a Spark stage, ``DEPTH`` levels at most, or, once what lies outside
 node.  Trees come in two rounds: groups of the second are compared only if they span two components that the first has found.  So
 no group of copies is expanded into its pairs, and nothing is capped.
 
-A link of exactly the similarity meets in a tree's first nodes with about that probability, so ``TREES`` trees miss one in 10^8 or fewer there;
-what branching loses below them is measured against brute force (README).
+A link of exactly the similarity meets in a tree's first nodes with about that probability, so ``TREES`` trees miss one in 10^8 or fewer there.
+Branching below the first nodes loses more; it starts only beyond ``LEAF`` members.
 
 Null and blank texts have empty sets and are linked with nothing.  Rows of one doc_id are one node, linked by all
 their texts; a null doc_id is never linked and stays.  An empty table gives an empty result.  Very long texts are read whole; a set larger
