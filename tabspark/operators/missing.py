@@ -139,14 +139,16 @@ def ordered_fill(df: DataFrame, strategies: Mapping[str, str], order_by, partiti
     coded = with_range_bucket(df.withColumn("__code", order_code(df, order[0])), [], "__code", buckets).drop("__code")
     parts = [col(k) for k in keys]
     inside = Window.partitionBy(*parts, "__bucket").orderBy(*[col(o) for o in order])
-    back, ahead = inside.rowsBetween(Window.unboundedPreceding, 0), inside.rowsBetween(0, Window.unboundedFollowing)
+    back = inside.rowsBetween(Window.unboundedPreceding, 0)
+    # looking ahead is looking back in reverse order: a frame that ends at the last row is added up anew for every row
+    ahead = Window.partitionBy(*parts, "__bucket").orderBy(F.desc("__at")).rowsBetween(Window.unboundedPreceding, 0)
     spot = coded.withColumn("__at", F.row_number().over(inside).cast("long"))
     names = list(strategies)
     local = spot.select(
         "*",
         *[F.last(F.when(col(c).isNotNull(), F.struct(F.col("__at").alias("at"), col(c).alias("v"))), ignorenulls=True).over(back).alias(f"__prev{i}")
           for i, c in enumerate(names) if strategies[c] != "backward"],
-        *[F.first(F.when(col(c).isNotNull(), F.struct(F.col("__at").alias("at"), col(c).alias("v"))), ignorenulls=True).over(ahead).alias(f"__next{i}")
+        *[F.last(F.when(col(c).isNotNull(), F.struct(F.col("__at").alias("at"), col(c).alias("v"))), ignorenulls=True).over(ahead).alias(f"__next{i}")
           for i, c in enumerate(names) if strategies[c] != "forward"],
     )
     # one row per (partition, bucket): size, first and last known cell of each column
@@ -156,15 +158,15 @@ def ordered_fill(df: DataFrame, strategies: Mapping[str, str], order_by, partiti
         *[F.max_by(cell[c], F.when(col(c).isNotNull(), F.col("__at"))).alias(f"__last{i}") for i, c in enumerate(names)],
         *[F.min_by(cell[c], F.when(col(c).isNotNull(), F.col("__at"))).alias(f"__first{i}") for i, c in enumerate(names)],
     )
-    across = Window.partitionBy(*parts).orderBy("__bucket") if parts else Window.partitionBy(F.lit(0)).orderBy("__bucket")
-    before, after = across.rowsBetween(Window.unboundedPreceding, -1), across.rowsBetween(1, Window.unboundedFollowing)
+    across = Window.partitionBy(*parts) if parts else Window.partitionBy(F.lit(0))
+    before, after = (across.orderBy(o).rowsBetween(Window.unboundedPreceding, -1) for o in ("__bucket", F.desc("__bucket")))
     placed = summary.withColumn("__start", F.coalesce(F.sum("__n").over(before), F.lit(0)))
     def shifted(x):
         return F.when(F.col(x).isNotNull(), F.struct((F.col(x)["at"] + F.col("__start")).alias("at"), F.col(x)["v"].alias("v")))
     carry = placed.select(
         *[col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.col("__bucket").alias("__b"), "__start",
         *[F.last(shifted(f"__last{i}"), ignorenulls=True).over(before).alias(f"__cprev{i}") for i in range(len(names))],
-        *[F.first(shifted(f"__first{i}"), ignorenulls=True).over(after).alias(f"__cnext{i}") for i in range(len(names))],
+        *[F.last(shifted(f"__first{i}"), ignorenulls=True).over(after).alias(f"__cnext{i}") for i in range(len(names))],
     )
     on = [F.col("__bucket") == F.col("__b")] + [col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)]
     joined = local.join(carry, on, "left")

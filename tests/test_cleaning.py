@@ -169,3 +169,14 @@ def test_run_log(spark, tmp_path):
     assert [tuple(r) for r in runlog.finished_models(log, "e").collect()] == [("RF", "r1")]
     with pytest.raises(KeyError):
         runlog.get_run(log, "zzz")
+
+
+@pytest.mark.parametrize("how", ["backward"])
+def test_ordered_fill_has_no_frame_that_is_added_up_anew_for_every_row(spark, how):
+    df = spark.range(400).select("id", F.when(F.col("id") % 50 == 7, F.col("id").cast("double")).alias("v"))
+    out = missing.ordered_fill(df, {"v": how}, "id", buckets=4)
+    assert "unboundedfollowing" not in out._jdf.queryExecution().analyzed().toString().lower()
+    want = df.toPandas().sort_values("id").v
+    want = want.bfill() if how == "backward" else want.interpolate()
+    got = out.toPandas().sort_values("id").v
+    assert [None if x != x else x for x in got] == [None if x != x else x for x in want]
