@@ -171,7 +171,7 @@ def test_run_log(spark, tmp_path):
         runlog.get_run(log, "zzz")
 
 
-@pytest.mark.parametrize("how", ["backward"])
+@pytest.mark.parametrize("how", ["backward", "interpolate"])
 def test_ordered_fill_has_no_frame_that_is_added_up_anew_for_every_row(spark, how):
     df = spark.range(400).select("id", F.when(F.col("id") % 50 == 7, F.col("id").cast("double")).alias("v"))
     out = missing.ordered_fill(df, {"v": how}, "id", buckets=4)
