@@ -115,6 +115,19 @@ def test_loss_curve(data):
     assert training.loss_curve(training.cross_validate(table, f, models.random_forest(n_estimators=2)), f) is None
 
 
+def test_loss_curve_shows_the_rounds_after_the_best_one(spark):
+    """Nothing to learn: validation is best early, and the curve goes on to the last round."""
+    noise = spark.range(400).select("id", (F.xxhash64("id") % 1000 / 1000).alias("a"), (F.xxhash64("id", F.lit(7)) % 1000 / 1000).alias("y"))
+    table = x_y(noise, "y", task="regression", keep="id")
+    f = folds.simple_cv(table.df, "id", 0.6, 0.2)
+    r = training.cross_validate(table, f, models.gbt(n_estimators=6, learning_rate=1.0))
+    curve = training.loss_curve(r, f).toPandas()
+    assert len(r.models[0].model.rounds) < 6
+    for kind in ("train", "val"):
+        assert sorted(curve[curve.type == kind].iteration) == list(range(6))
+    assert training.loss_curve(r, f, ("test",)).count() == len(r.models[0].model.rounds)
+
+
 def test_tune_prefers_deeper_trees(data):
     pdf, df = data
     table = x_y(df.select("id", "a", "b", "c", "y"), "y", task="regression", keep="id")
