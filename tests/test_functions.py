@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tabspark.functions import special
 from tabspark.functions.lookup import lookup
+from tabspark.functions import order_stats
 from tabspark.functions.order_stats import column_quantiles, grouped_quantiles, ranked_counts, with_global_rank
 
 
@@ -62,6 +63,17 @@ def test_quantiles_are_exact_on_both_paths(skewed, small):
         assert rows.loc[g].tolist() == pytest.approx(part["x"].quantile(probs).tolist())
 
 
+def test_hundreds_of_quantiles_are_found_without_an_expression_for_each(skewed, monkeypatch):
+    pdf, df = skewed
+    monkeypatch.setattr(order_stats, "_bracketed_quantiles", None)
+    probs = [i / 255 for i in range(256)]
+    got = column_quantiles(df, ["x", "y"], probs, small=0)
+    for c in ("x", "y"):
+        assert got[c] == pytest.approx(pdf[c].quantile(probs).tolist())
+    empty = df.select(F.lit(None).cast("double").alias("x"), "y")
+    assert column_quantiles(empty, ["x", "y"], probs, small=0) == {"x": [None] * 256, "y": got["y"]}
+
+
 @pytest.mark.parametrize("small", [0, 10**9])
 def test_ranked_counts(skewed, small):
     pdf, df = skewed
