@@ -24,6 +24,7 @@ from tabspark.operators.boosting import BoostedModel
 from tabspark.operators.correlation import correlation_long
 from tabspark.operators.models import FoldModel
 from tabspark.operators.target import CLASSIFICATION
+from tabspark.session import materialize
 
 MAX_DISPLAY = 20
 NO_PARTNER = 1e-10
@@ -232,6 +233,7 @@ def shap_dependence(shap: DataFrame, key, top_n: int = 10, frac: float = 0.3, ou
     one = shap.filter(F.col("output").eqNullSafe(F.lit(output)))
     if y_name is not None:
         one = one.filter(F.col("y_name") == y_name)
+    one = materialize(one)  # contributions are worked out once, not in every pass below
     long = shap_long(one, key)
     top = [r["feature"] for r in shap_summary(long, top_n).orderBy("rank").select("feature").collect()]  # top_n rows
     names = [r[0] for r in one.select(F.explode(F.map_keys("shap"))).distinct().collect()]  # one row per feature

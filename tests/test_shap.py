@@ -90,3 +90,16 @@ def test_tables(fitted, spark):
     assert w.end.iloc[-1] == pytest.approx(row.base + sum(row["shap"].values()))
     line = spark.createDataFrame([("f", float(x), float(y)) for x, y in enumerate([-1, 0.5, 0.4, -4, -5])], "feature string, x double, smooth double")
     assert shap.turning_points(line).first().turn == pytest.approx(2 + 0.4 / 4.4)
+
+
+def test_dependence_works_out_contributions_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(x):
+        read.add(1)
+        return x
+
+    cell = F.udf(seen, "double")(F.col("id").cast("double"))
+    df = spark.range(60).select("id", F.lit("y").alias("y_name"), F.lit(None).cast("string").alias("output"), F.create_map(F.lit("a"), cell).alias("shap"), F.create_map(F.lit("a"), F.col("id") * 2.0).alias("x"))
+    assert shap.shap_dependence(df, "id", top_n=1).line.count() == 60
+    assert read.value <= 60
