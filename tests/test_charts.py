@@ -1,6 +1,7 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from tabspark.operators import charts, density
 
@@ -120,3 +121,15 @@ def test_association_counts_nulls(spark):
     df = spark.createDataFrame([("a", "u"), ("a", None), (None, "u")], "c string, t string")
     rows = {(r.category, r.value): r.n for r in charts.target_association(df, "t", "c").collect()}
     assert rows == {("a", "u"): 1, ("a", None): 1, (None, "u"): 1}
+
+
+def test_lowess_reads_its_rows_a_few_times_whatever_the_rounds(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(x):
+        read.add(1)
+        return x
+
+    df = spark.range(300).select(F.lit("a").alias("g"), F.udf(seen, "double")(F.col("id").cast("double")).alias("x"), (F.col("id") % 7).cast("double").alias("y"))
+    assert density.lowess(df, ["g"], "x", "y").count() == 300
+    assert read.value <= 20 * 300
