@@ -180,3 +180,12 @@ def test_task_inference(spark):
     assert subtask(df, ["r", "k"], "regression") == "multi-regression"
     with pytest.raises(TaskError):
         subtask(df, ["k", "s"], "classification", boosted=True)
+
+
+def test_forest_cuts_inside_a_thirtieth_of_the_rows(spark):
+    """A pulse of 32 among 4,000 rows: a quarter of one of 32 quantile bins."""
+    df = spark.range(4000).select("id", F.col("id").cast("double").alias("x"), F.col("id").between(2000, 2031).cast("double").alias("y"))
+    table = x_y(df, "y", task="regression", keep="id")
+    model = training.cross_validate(table, folds.k_fold(table.df, "id", 2), models.random_forest(n_estimators=4, max_features="all")).models[0]
+    got = model.score(df, "p").agg(F.avg(F.when(F.col("id").between(2008, 2023), F.col("p"))).alias("inside"), F.avg(F.when(F.col("id").between(2050, 2100), F.col("p"))).alias("beside")).first()
+    assert got.inside > 0.75 and got.beside < 0.1
