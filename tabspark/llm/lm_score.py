@@ -5,14 +5,15 @@ estimates with weights that depend on how often its context occurred:
 
     l2[b] c(context, token) / c(context) + l1[b] c(token) / N + l0[b] / (V + 1)
 
-The context is the word before (or the start of the text); b is the octave of c(context).  The most
-frequent words (those from a count on, at most ``HEAD``) are contexts of their own, all rarer words share one.  The weights maximise, by expectation-maximisation, the
+The context is the word before (or the start of the text); b is the octave of c(context).  With ``own_contexts`` every
+word is a context of its own; without, rarer words than the ``HEAD`` most frequent share one.  The weights maximise, by expectation-maximisation, the
 likelihood of the deleted part of the training documents (remainder 1) under counts of the rest; the final
 estimates use counts of all training documents.  Unigram and bigram counts cover every token of every training text.
 
 How it runs: unigram counts are one aggregation; the head table is broadcast (a fixed number of words).  Bigram
 occurrences are packed into bytes and dealt by a hash of the bigram, so that one task counts a bigram and scores
-its occurrences; only partial sums per text travel back.  Bigrams with more than ``1 / HOT`` of all tokens (fewer than
+its occurrences; only partial sums per text travel back.  A bigram with a word outside the head goes where that word's occurrences
+are counted; where both words are, to the second one, and the count of the first comes along from the table of unigrams.  Bigrams with more than ``1 / HOT`` of all tokens (fewer than
 HOT can exist) are broadcast with their counts and scored where they are read.
 
 Null texts are empty: their only token is the end.  A null doc_id counts as training.  Repeated rows are counted and
@@ -36,13 +37,14 @@ from tabspark.llm.supervised import remainder
 from tabspark.llm.tokens import SOLID, U, mix, words
 
 FOLDS, HELD, DELETED = 10, 0, 1
-HEAD = (1 << 18) - 4  # words with an identifier; two more identifiers are the start and all rarer words as contexts
+HEAD = (1 << 18) - 4  # words with an identifier; two more identifiers are the start and all rarer words
 HOT = 2048
 SLICE = 2_000_000  # bigram occurrences that one task handles at a time
 END = int(mix(np.array([0x5EED], U))[0])
 RARE_BUCKET, START_BUCKET, NO_CONTEXT, BUCKETS = 48, 49, 50, 51
 STEPS = 4  # histogram bins an octave
 PIECE_ROWS = 1 << 12
+HEADS, TAIL, AFTER, BOTH, COUNTS = range(5)  # bigrams: no word outside the head, the second, the first, both; and counts of first words
 ROOM = 1_500_000  # distinct entries that a task gathers before it sends them
 
 
@@ -171,17 +173,50 @@ def _dealt(v: Vocabulary, tokens: np.ndarray, text: np.ndarray) -> tuple[np.ndar
     return ids, before
 
 
+def _kinds(v: Vocabulary, ids: np.ndarray, before: np.ndarray, own: bool) -> np.ndarray:
+    return (ids == v.rare) + 2 * (own & (before == v.rare))
+
+
+def _octave(n: np.ndarray) -> np.ndarray:
+    return np.where(n > 0, np.minimum(np.log2(np.maximum(n, 1)).astype(int), RARE_BUCKET - 1), NO_CONTEXT)
+
+
+def _find(known: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """The value of each wanted word; 0 for those not known."""
+    if not len(known):
+        return np.zeros(len(wanted))
+    at = np.minimum(np.searchsorted(known, wanted), len(known) - 1)
+    return np.where(known[at] == wanted, values[at], 0)
+
+
 def _packed(values: np.ndarray, width: int) -> bytes:
-    return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
+    """The low bytes of numbers, byte by byte over all of them: the high ones of sorted numbers are alike and travel compressed."""
+    return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
 
 
 def _unpacked(data: list[bytes], width: int) -> np.ndarray:
-    raw = np.frombuffer(b"".join(data), np.uint8).reshape(-1, width)
-    out = np.zeros((len(raw), 8), np.uint8)
-    out[:, :width] = raw
+    out, i = np.zeros((sum(map(len, data)) // width, 8), np.uint8), 0
+    for x in data:
+        n = len(x) // width
+        out[i : i + n, :width] = np.frombuffer(x, np.uint8).reshape(width, n).T
+        i += n
     return out.view("<u8").ravel()
 
 
+def _two(data: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
+    """First and second halves of bytes that hold n words and then n numbers of a width."""
+    sizes = [len(x) // (8 + width) for x in data]
+    first = np.frombuffer(b"".join(x[: 8 * n] for x, n in zip(data, sizes)), U)
+    return first, _unpacked([x[8 * n :] for x, n in zip(data, sizes)], width)
+
+
+def _counted_words(data: list[bytes], part: int) -> tuple[np.ndarray, np.ndarray]:
+    """Words, sorted, with their counts: in all training texts (0) or those not deleted (1)."""
+    rows = np.frombuffer(b"".join(data), U).reshape(-1, 3)
+    words_, at = np.unique(rows[:, 0], return_index=True)
+    return words_, rows[at, 1 + part].astype(float)
+
+
 def _slices(keys: np.ndarray, n: int) -> np.ndarray:
     return (mix(keys ^ U(0xABCDEF)) % U(n)).astype(np.int64)
 
@@ -203,76 +238,121 @@ def _bins(ratio: np.ndarray) -> np.ndarray:
     return np.where(ratio > 0, np.clip(np.rint(STEPS * np.log2(np.maximum(ratio, 1e-300))) + 60, 1, 255), 0).astype(np.int64)
 
 
-def weights(docs: DataFrame, v: Vocabulary, n_slices: int, most: int = HOT) -> tuple[np.ndarray, dict[int, int]]:
+def first_words(docs: DataFrame, counts: DataFrame, v: Vocabulary, n_slices: int) -> DataFrame:
+    """slice, words (hash, count, count not deleted): the first words of bigrams outside the head, for the slices of the second words."""
+    shared = docs.sparkSession.sparkContext.broadcast(v)
+
+    def run(batches):
+        voc = shared.value
+        for batch in _small(batches):
+            tokens, text = _sequence(batch)
+            ids, before = _dealt(voc, tokens, text)
+            at = np.flatnonzero(_kinds(voc, ids, before, True) == BOTH)
+            found = np.unique(np.column_stack([tokens[at - 1].view(np.int64), _slices(tokens[at], n_slices)]), axis=0)
+            yield pa.RecordBatch.from_pydict({"token": pa.array(found[:, 0], pa.int64()), "slice": pa.array(found[:, 1], pa.int64())})
+
+    def pack(batches):
+        for batch in batches:
+            rows = np.column_stack([batch.column(c).to_numpy() for c in ("token", "n", "kept")])
+            packed = [(s, rows[part].tobytes()) for s, part in _groups(batch.column("slice").to_numpy())]
+            yield pa.RecordBatch.from_pydict({"slice": pa.array([s for s, _ in packed], pa.int64()), "words": pa.array([w for _, w in packed], pa.binary())})
+
+    found = docs.mapInArrow(run, "token bigint, slice bigint").distinct()
+    return saved(found.join(counts, "token").select("slice", "token", "n", "kept").mapInArrow(pack, "slice bigint, words binary"))
+
+
+def weights(docs: DataFrame, v: Vocabulary, n_slices: int, most: int = HOT, own: bool = False, firsts: DataFrame | None = None) -> tuple[np.ndarray, dict[int, int]]:
     """Mixture weights (buckets x 3: bigram, unigram, uniform) and the training counts of hot bigrams."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(v)
 
     def count(batches):
-        voc, held, tails = shared.value, [], []
+        voc, held = shared.value, {j: [] for j in (HEADS, TAIL, AFTER, BOTH)}
 
-        def merged(parts):
+        def send(kind):
+            parts = held[kind]
+            if not parts:
+                return
             keys = np.concatenate([p[0] for p in parts])
             values, at, back = np.unique(keys, return_index=True, return_inverse=True)
-            sums = np.stack([np.bincount(back, np.concatenate([p[1][j] for p in parts]), len(values)) for j in (0, 1)])
-            return values, sums, np.concatenate([p[2] for p in parts])[at]
-
-        def send(parts, tail):
-            values, sums, word = merged(parts)
+            sums = np.stack([np.bincount(back, np.concatenate([p[1][j] for p in parts]), len(values)) for j in (0, 1)]).astype(np.uint32)
+            one, two = (np.concatenate([p[j] for p in parts])[at] for j in (2, 3)) if kind != HEADS else (values, values)
             parts.clear()
-            for s, part in _groups(_slices(word[:, 0] if tail else values, n_slices)):
-                yield pa.RecordBatch.from_pydict({"slice": [s], "tail": [tail], "keys": [_packed(values[part], 8 if tail else 5)], "word": [np.ascontiguousarray(word[part]).tobytes() if tail else b""],
-                                                  "kept": [sums[0][part].astype(np.uint32).tobytes()], "gone": [sums[1][part].astype(np.uint32).tobytes()]})
+            for s, part in _groups(_slices(one, n_slices)):
+                pairs = _packed(values[part], 5) if kind == HEADS else one[part].tobytes() + _packed(two[part], 8 if kind == BOTH else 4)
+                yield pa.RecordBatch.from_pydict({"slice": [s], "kind": pa.array([kind], pa.int32()), "pairs": [pairs], "kept": [sums[0][part].tobytes()], "gone": [sums[1][part].tobytes()]})
 
         for batch in _small(batches):
             tokens, text = _sequence(batch)
             ids, before = _dealt(voc, tokens, text)
             rest = batch.column("rest").to_numpy()[text]
-            use = rest != HELD
-            for tail, parts in ((False, held), (True, tails)):
-                k = use & ((ids == voc.rare) == tail)
-                keys = _tail_key(tokens[k], before[k]) if tail else (before[k].astype(U) << U(18) | ids[k].astype(U))
+            kinds, last = np.where(rest != HELD, _kinds(voc, ids, before, own), -1), np.roll(tokens, 1)
+            for kind, parts in held.items():
+                k = np.flatnonzero(kinds == kind)
+                # a bigram outside the head keeps the word whose slice it goes to, and the other one
+                one = last[k] if kind == AFTER else tokens[k]
+                two = last[k] if kind == BOTH else ids[k].astype(U) if kind == AFTER else before[k].astype(U)
+                keys = _tail_key(one, two) if kind != HEADS else (two << U(18) | ids[k].astype(U))
                 values, at, back = np.unique(keys, return_index=True, return_inverse=True)
                 gone = np.bincount(back, rest[k] == DELETED, len(values))
-                # a tail bigram keeps its word (for the slice) and its context
-                word = tokens[k][at] if tail else np.zeros(len(values), U)
-                if tail:
-                    word = np.stack([word, before[k][at].astype(U)], axis=1)
-                parts.append((values, np.stack([np.bincount(back, minlength=len(values)) - gone, gone]), word))
-                if sum(len(p[0]) for p in parts) > ROOM:
-                    yield from send(parts, tail)
-        for tail, parts in ((False, held), (True, tails)):
-            if parts:
-                yield from send(parts, tail)
+                parts.append((values, np.stack([np.bincount(back, minlength=len(values)) - gone, gone]), *((one[at], two[at]) if kind != HEADS else ())))
+            if sum(len(p[0]) for p in held[HEADS]) > ROOM:
+                yield from send(HEADS)
+            if sum(len(p[0]) for kind in (TAIL, AFTER, BOTH) for p in held[kind]) > ROOM:
+                for kind in (TAIL, AFTER, BOTH):
+                    yield from send(kind)
+        for kind in held:
+            yield from send(kind)
 
     def learn(group: pa.Table) -> pa.Table:
         voc = shared.value
         contexts, buckets = voc.contexts(1)
         total, uniform = max(1, voc.total[1]), 1 / (voc.distinct[1] + 1)
         hist, hot = {}, []
-        for tail in (False, True):
-            t = group.filter(pc.equal(group.column("tail"), tail))
-            if not t.num_rows:
-                continue
-            keys, at, back = np.unique(_unpacked(t.column("keys").to_pylist(), 8 if tail else 5), return_index=True, return_inverse=True)
-            kept, gone = (np.bincount(back, np.frombuffer(b"".join(t.column(c).to_pylist()), np.uint32), len(keys)) for c in ("kept", "gone"))
-            if tail:
-                own = np.frombuffer(b"".join(t.column("word").to_pylist()), U).reshape(-1, 2)
-                word, back = np.unique(own[at, 0], return_inverse=True)
-                before, single = own[at, 1].astype(np.int64), np.bincount(back, kept, len(word))[back]
+
+        def of(kind):
+            t = group.filter(pc.equal(group.column("kind"), kind))
+            pairs = t.column("pairs").to_pylist()
+            if kind == HEADS:
+                keys = _unpacked(pairs, 5)
+                one, two = keys & U((1 << 18) - 1), keys >> U(18)
             else:
-                before, single = (keys >> U(18)).astype(np.int64), voc.counts[1][(keys & U((1 << 18) - 1)).astype(np.int64)]
-                big = (kept + gone) > voc.total[0] / most
-                hot += zip(keys[big].tolist(), (kept + gone)[big].astype(int).tolist())
-            some = gone > 0
-            n = np.maximum(contexts[before[some]], 1)
-            cell = (buckets[before[some]] * 256 + _bins(kept[some] / n / uniform)) * 256 + _bins(single[some] / total / uniform)
-            for c, k in zip(*[x.tolist() for x in _summed(cell, gone[some])]):
+                one, two = _two(pairs, 8 if kind == BOTH else 4)
+                keys = _tail_key(one, two)
+            keys, at, back = np.unique(keys, return_index=True, return_inverse=True)
+            kept, gone = (np.bincount(back, np.frombuffer(b"".join(t.column(c).to_pylist()), np.uint32), len(keys)) for c in ("kept", "gone"))
+            return one[at], two[at], kept, gone
+
+        def note(n, bucket, single, kept, gone):
+            cell = (bucket * 256 + _bins(kept / np.maximum(n, 1) / uniform)) * 256 + _bins(single / total / uniform)
+            for c, k in zip(*[x.tolist() for x in _summed(cell, gone)]):
                 hist[c] = hist.get(c, 0) + k
+
+        one, two, kept, gone = of(HEADS)
+        big = kept + gone > voc.total[0] / most
+        hot += zip((two[big] << U(18) | one[big]).tolist(), (kept + gone)[big].astype(int).tolist())
+        one, two, kept, gone = (x[gone > 0] for x in (one.astype(np.int64), two.astype(np.int64), kept, gone))
+        note(contexts[two], buckets[two], voc.counts[1][one], kept, gone)
+        outside = {kind: of(kind) for kind in (TAIL, AFTER, BOTH)}
+        known, of_known = _summed(*(np.concatenate([outside[TAIL][j], outside[BOTH][j]]) for j in (0, 2)))
+        firsts_of, first_counts = _counted_words(group.filter(pc.equal(group.column("kind"), COUNTS)).column("pairs").to_pylist(), 1)
+        for kind, (one, two, kept, gone) in outside.items():
+            one, two, kept, gone = (x[gone > 0] for x in (one, two, kept, gone))
+            of_one, other = _find(known, of_known, one), two.astype(np.int64)
+            if kind == TAIL:
+                note(contexts[other], buckets[other], of_one, kept, gone)
+            elif kind == AFTER:
+                note(of_one, _octave(of_one), voc.counts[1][other], kept, gone)
+            else:
+                n = _find(firsts_of, first_counts, two)
+                note(n, _octave(n), of_one, kept, gone)
         cells, numbers = [-1 - k for k, _ in hot] + list(hist), [n for _, n in hot] + list(hist.values())
         return pa.table({"cell": pa.array(cells, pa.int64()), "n": pa.array(numbers, pa.float64())})
 
-    counted = docs.mapInArrow(count, "slice bigint, tail boolean, keys binary, word binary, kept binary, gone binary")
+    counted = docs.mapInArrow(count, "slice bigint, kind int, pairs binary, kept binary, gone binary")
+    if firsts is not None:
+        nothing = F.lit(b"")
+        counted = counted.unionByName(firsts.select("slice", F.lit(COUNTS).alias("kind"), F.col("words").alias("pairs"), nothing.alias("kept"), nothing.alias("gone")))
     rows = counted.groupBy("slice").applyInArrow(learn, "cell bigint, n double").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
     hot = {-1 - int(c): int(n) for c, n in zip(rows.cell, rows.n) if c < 0}
     rows = rows[rows.cell >= 0]
@@ -303,22 +383,35 @@ def maximise(cells: np.ndarray, n: np.ndarray, rounds: int = 40) -> np.ndarray:
     return out / out.sum(axis=1, keepdims=True)
 
 
-def score(docs: DataFrame, head: int = HEAD, slice_size: int = SLICE, most: int = HOT) -> DataFrame:
+def score(docs: DataFrame, head: int = HEAD, slice_size: int = SLICE, most: int = HOT, own_contexts: bool = False) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row."""
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text", F.coalesce(remainder(F.col("doc_id"), FOLDS), F.lit(FOLDS - 1)).cast("int").alias("rest"))
-    v = vocabulary(saved(unigrams(docs)), head)
+    counts = saved(unigrams(docs))
+    v = vocabulary(counts, head)
     n_slices = max(8, int(v.total[0] * 1.15) // slice_size + 1)
-    mixture, hot = weights(docs, v, n_slices, most)
+    if own_contexts:
+        # training texts without a word outside the head need no counts of such words
+        firsts = first_words(docs, counts, v, n_slices) if (v.counts[0] > 0).sum() < v.distinct[0] else None
+        mixture, hot = weights(docs, v, n_slices, most, True, firsts)
+    else:
+        firsts = None
+        mixture, hot = weights(docs, v, n_slices, most)
     total, distinct = int(v.total[0]), int(v.distinct[0])
     shared = spark.sparkContext.broadcast((v, mixture, np.array(sorted(hot), U), np.array([hot[k] for k in sorted(hot)], float)))
     floor, uniform = np.log10(total + 0.1 * (distinct + 1)), 1 / (distinct + 1)
 
-    def mixed(before, pair, single):
-        voc, table = shared.value[:2]
+    def mixed(n, bucket, pair, single):
+        t = shared.value[1][bucket]
+        return np.log10(t[:, 0] * pair / np.maximum(n, 1) + t[:, 1] * single / max(1, total) + t[:, 2] * uniform)
+
+    def mixed_heads(before, pair, ids):
+        voc, out = shared.value[0], np.empty(len(ids))
         contexts, buckets = voc.contexts(0)
-        t = table[buckets[before]]
-        return np.log10(t[:, 0] * pair / np.maximum(contexts[before], 1) + t[:, 1] * single / max(1, total) + t[:, 2] * uniform)
+        for i in range(0, len(ids), 1 << 18):  # the factors of some records at a time
+            part = slice(i, i + (1 << 18))
+            out[part] = mixed(contexts[before[part]], buckets[before[part]], pair[part], voc.counts[0][ids[part]])
+        return out
 
     def base(counts):
         return np.log10(counts + 0.1) - floor
@@ -331,55 +424,79 @@ def score(docs: DataFrame, head: int = HEAD, slice_size: int = SLICE, most: int
             ids, before = _dealt(voc, tokens, text)
             train = (batch.column("rest").to_numpy() != HELD)[text]
             n, block = batch.num_rows, [task + number]
-            tail = ids == voc.rare
+            tail, kinds, last = ids == voc.rare, _kinds(voc, ids, before, own_contexts), np.roll(tokens, 1)
             keys = before.astype(U) << U(18) | ids.astype(U)
             at = np.minimum(np.searchsorted(hot_keys, keys), max(0, len(hot_keys) - 1))
-            warm = ~tail & (hot_keys[at] == keys) if len(hot_keys) else np.zeros(len(keys), bool)
+            warm = (kinds == HEADS) & (hot_keys[at] == keys) if len(hot_keys) else np.zeros(len(keys), bool)
             here = np.zeros(n)
             if warm.any():
-                here = np.bincount(text[warm], mixed(before[warm], hot_counts[at[warm]], voc.counts[0][ids[warm]]), n)
+                here = np.bincount(text[warm], mixed_heads(before[warm], hot_counts[at[warm]], ids[warm]), n)
             single = voc.counts[0][ids[~tail]]
             yield pa.RecordBatch.from_pydict({
                 "slice": [-1 - number % n_slices], "block": block, "head": [batch.column("doc_id").cast(pa.int64()).fill_null(0).to_numpy().tobytes()],
                 "tail": [np.column_stack([np.bincount(text, minlength=n), np.bincount(text[~tail], single > 0, n), np.bincount(text[~tail], base(single), n), here,
-                                          batch.column("rest").to_numpy(), batch.column("doc_id").is_valid().to_numpy(zero_copy_only=False)]).astype(float).tobytes()], "word": [b""]})
+                                          batch.column("rest").to_numpy(), batch.column("doc_id").is_valid().to_numpy(zero_copy_only=False)]).astype(float).tobytes()], "word": [b""], "first": [b""], "after": [b""]})
             # pair (36 bits), training text or not (1 bit), text (12 bits): 7 bytes
-            cold = np.flatnonzero(~tail & ~warm)
+            cold = np.flatnonzero((kinds == HEADS) & ~warm)
             record = keys[cold] << U(13) | train[cold].astype(U) << U(12) | text[cold].astype(U)
-            rest = np.flatnonzero(tail)
-            note = before[rest].astype(U) << U(13) | train[rest].astype(U) << U(12) | text[rest].astype(U)
+            rest, after = np.flatnonzero(tail), np.flatnonzero(kinds == AFTER)
+            note = before.astype(U) << U(13) | train.astype(U) << U(12) | text.astype(U)
+            after_note = ids[after].astype(U) << U(13) | note[after] & U(8191)
             head_of = dict(_groups(_slices(keys[cold], n_slices)))
             tail_of = dict(_groups(_slices(tokens[rest], n_slices)))
-            for s in sorted({*head_of, *tail_of}):
-                a, b = head_of.get(s, cold[:0]), tail_of.get(s, rest[:0])
-                yield pa.RecordBatch.from_pydict({"slice": [s], "block": block, "head": [_packed(np.sort(record[a]), 7)], "tail": [_packed(note[b], 4)], "word": [tokens[rest][b].tobytes()]})
+            after_of = dict(_groups(_slices(last[after], n_slices)))
+            for s in sorted({*head_of, *tail_of, *after_of}):
+                a, b, c = head_of.get(s, cold[:0]), rest[tail_of.get(s, rest[:0])], after_of.get(s, after[:0])
+                yield pa.RecordBatch.from_pydict({"slice": [s], "block": block, "head": [_packed(np.sort(record[a]), 7)], "tail": [_packed(note[b], 4)], "word": [tokens[b].tobytes()],
+                                                  "first": [last[b][kinds[b] == BOTH].tobytes()], "after": [last[after][c].tobytes() + _packed(after_note[c], 4)]})
 
     def rate(group: pa.Table) -> pa.Table:
         voc = shared.value[0]
         if group.column("slice")[0].as_py() < 0:
             return group.select(["block", "head", "tail"])
+        given = pc.less(group.column("block"), 0)
+        firsts_of, first_counts = _counted_words(group.filter(given).column("word").to_pylist(), 0)
+        group = group.filter(pc.invert(given))
         block = group.column("block").to_numpy()
-        heads, notes, own = (group.column(c).to_pylist() for c in ("head", "tail", "word"))
+        heads, notes, own, first, after = (group.column(c).to_pylist() for c in ("head", "tail", "word", "first", "after"))
         record = _unpacked(heads, 7)
         row = [np.repeat(np.arange(len(block)), [len(x) // 7 for x in heads])]
         keys, back = np.unique(record >> U(13), return_inverse=True)
         pair = np.bincount(back, (record >> U(12)) & U(1), len(keys))[back]
         before, ids = (record >> U(31)).astype(np.int64), ((record >> U(13)) & U((1 << 18) - 1)).astype(np.int64)
         text = [(record & U(4095)).astype(np.int64)]
-        value = [np.column_stack([np.zeros((len(record), 2)), mixed(before, pair, voc.counts[0][ids])]) if len(record) else np.zeros((0, 3))]
+        value, facts = [mixed_heads(before, pair, ids)], np.zeros((0, 2))
+        del keys, back, pair, before, ids
         note, tokens = _unpacked(notes, 4), np.frombuffer(b"".join(own), U)
+        known, back = np.unique(tokens, return_inverse=True)
+        train, of_known = (note >> U(12)) & U(1), np.zeros(len(known))
         if len(note):
-            train, before = (note >> U(12)) & U(1), (note >> U(13)).astype(np.int64)
-            known, back = np.unique(tokens, return_inverse=True)
-            single = np.bincount(back, train, len(known))[back]
-            known, back = np.unique(_tail_key(tokens, before), return_inverse=True)
-            pair = np.bincount(back, train, len(known))[back]
+            of_known = np.bincount(back, train, len(known))
+            single, other = of_known[back], note >> U(13)
+            n, bucket = (x[other.astype(np.int64)] for x in voc.contexts(0))
+            if own_contexts:
+                both = other == U(voc.rare)
+                other[both] = np.frombuffer(b"".join(first), U)
+                n[both] = _find(firsts_of, first_counts, other[both])
+                bucket[both] = _octave(n[both])
+            same, back = np.unique(_tail_key(tokens, other), return_inverse=True)
+            pair = np.bincount(back, train, len(same))[back]
             row.append(np.repeat(np.arange(len(block)), [len(x) // 4 for x in notes]))
             text.append((note & U(4095)).astype(np.int64))
-            value.append(np.column_stack([single > 0, base(single), mixed(before, pair, single)]))
+            value.append(mixed(n, bucket, pair, single))
+            facts = np.column_stack([single > 0, base(single)])
+        one, note = _two(after, 4)
+        if len(note):
+            n, ids = _find(known, of_known, one), note >> U(13)
+            same, back = np.unique(_tail_key(one, ids), return_inverse=True)
+            pair = np.bincount(back, (note >> U(12)) & U(1), len(same))[back]
+            row.append(np.repeat(np.arange(len(block)), [len(x) // 12 for x in after]))
+            text.append((note & U(4095)).astype(np.int64))
+            value.append(mixed(n, _octave(n), pair, voc.counts[0][ids.astype(np.int64)]))
         row, text, value = np.concatenate(row), np.concatenate(text), np.concatenate(value)
         cell, back = np.unique(row << 12 | text, return_inverse=True)
-        sums = np.column_stack([np.bincount(back, value[:, j], len(cell)) for j in range(3)])
+        tails = back[len(record) : len(record) + len(facts)]
+        sums = np.column_stack([*(np.bincount(tails, facts[:, j], len(cell)) for j in (0, 1)), np.bincount(back, value, len(cell))])
         cuts = np.searchsorted(cell >> 12, np.arange(len(block) + 1))
         return pa.table({"block": block, "head": pa.array([(cell[a:b] & 4095).astype(np.uint16).tobytes() for a, b in zip(cuts, cuts[1:])], pa.binary()),
                          "tail": pa.array([sums[a:b].tobytes() for a, b in zip(cuts, cuts[1:])], pa.binary())}).cast(pa.schema([("block", pa.int64()), ("head", pa.binary()), ("tail", pa.binary())]))
@@ -395,7 +512,10 @@ def score(docs: DataFrame, head: int = HEAD, slice_size: int = SLICE, most: int
         return pa.table({"doc_id": pa.array(ids, pa.int64(), mask=facts[:, 5] == 0), "held_out": facts[:, 4] == HELD, "n_tokens": facts[:, 0].astype(np.int64),
                          "n_known": np.rint(sums[:, 0]).astype(np.int64), "base_score": sums[:, 1], "score": sums[:, 2]})
 
-    dealt = docs.mapInArrow(deal, "slice bigint, block bigint, head binary, tail binary, word binary")
+    dealt = docs.mapInArrow(deal, "slice bigint, block bigint, head binary, tail binary, word binary, first binary, after binary")
+    if firsts is not None:
+        nothing = F.lit(b"")
+        dealt = dealt.unionByName(firsts.select("slice", F.lit(-1).cast("long").alias("block"), nothing.alias("head"), nothing.alias("tail"), F.col("words").alias("word"), nothing.alias("first"), nothing.alias("after")))
     rated = dealt.groupBy("slice").applyInArrow(rate, "block bigint, head binary, tail binary")
     out = rated.groupBy("block").applyInArrow(gather, "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double")
     return out.withColumn("train_tokens", F.lit(total).cast("long")).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")

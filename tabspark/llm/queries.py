@@ -98,7 +98,7 @@ def op5_license_scan(spark, sf):
 
 @query()
 def op2_lm_score(spark, sf):
-    return lm_score.score(table(spark, sf, "documents"))
+    return lm_score.score(table(spark, sf, "documents"), own_contexts=True)
 
 
 @query()

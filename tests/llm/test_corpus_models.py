@@ -79,6 +79,20 @@ def test_language_model(spark, monkeypatch, head, hot):
     assert np.allclose(mixture.sum(axis=1), 1) and len(got) == len(rows)
 
 
+@pytest.mark.parametrize("hot", [1, 64])
+def test_language_model_does_not_depend_on_the_size_of_the_head(spark, hot):
+    """Words outside the head are contexts of their own, in training texts and in held-out ones, also side by side."""
+    r = random.Random(8)
+    names = [f"W{i}" for i in range(90)]
+    rows = [(i, " ".join(r.choices(names, [1 / (k + 1) for k in range(90)], k=r.randint(0, 60)))) for i in range(200)]
+    rows += [(900, None), (None, "w1 w2 new"), (3, "w80 w81 w80 w81"), (902, "never seen w85 never seen w85 w86")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    whole, small, none = (sorted((tuple(x) for x in lm_score.score(docs, head, 300, hot, own_contexts=True).collect()), key=str) for head in (1 << 12, 30, 1))
+    assert len(whole) == len(rows)
+    for a, b, c in zip(whole, small, none):
+        assert a[:5] == b[:5] == c[:5] and a[5:] == pytest.approx(b[5:]) and a[5:] == pytest.approx(c[5:])
+
+
 def test_language_model_of_nothing(spark):
     empty = spark.createDataFrame([], "doc_id bigint, text string")
     assert lm_score.score(empty).count() == 0
