@@ -134,7 +134,7 @@ def _spearman_by_column(df: DataFrame, names: list[str], pairs, rows: int, small
                         .select("name", "value", "cnt", (F.col("before") + (F.col("cnt") + 1) / 2).alias("rank")))
     for i, c in enumerate(names):
         one = table.filter(F.col("name") == c).select(F.col("value").alias(f"v{i}"), F.col("cnt").alias("n"), F.col("rank").alias(f"r{i}"))
-        ranks = lookup(ranks, one, [f"v{i}"], "n", broadcast_rows=broadcast_rows)
+        ranks = lookup(ranks, one, [f"v{i}"], "n", broadcast_rows=broadcast_rows).drop(f"v{i}")
     renamed = ranks.select(*[F.col(f"r{i}").alias(c) for i, c in enumerate(names)])
     middle = (rows + 1) / 2
     return _pearson(renamed, names, pairs, {c: middle for c in names})

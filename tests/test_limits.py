@@ -66,3 +66,15 @@ def test_dates_stay_in_the_modelling_table(spark):
 def test_normal_quantile():
     got = normal_ppf([[0.5, 0.975], [0.0, 1.0]])
     assert abs(got[0, 1] - 1.959963984540054) < 1e-12 and got[0, 0] == 0 and list(got[1]) == [float("-inf"), float("inf")]
+
+
+def test_lookup_takes_more_tasks_for_more_rows(spark, monkeypatch):
+    monkeypatch.setattr(lookups, "TASK_ROWS", 100)
+    monkeypatch.setattr(lookups, "HOT_KEYS", 2)
+    df = spark.range(3000).select("id", F.when(F.col("id") % 10 > 0, (F.col("id") % 700 - 350) / 7).alias("k"), F.when(F.col("id") % 3 > 0, F.concat(F.lit("t"), F.col("id") % 11)).alias("t"))
+    mapping = df.groupBy("k", "t").agg(F.count(F.lit(1)).alias("n"), F.sum("id").alias("s"))
+    out = lookups.lookup(df, mapping, ["k", "t"], "n", broadcast_rows=1)
+    assert out.rdd.getNumPartitions() == 30
+    sums = {(r.k, r.t): r.s for r in mapping.collect()}
+    got = out.collect()
+    assert len(got) == 3000 and all(r.s == sums[r.k, r.t] for r in got)
