@@ -1,3 +1,4 @@
+import gzip
 import hashlib
 
 import numpy as np
@@ -35,6 +36,24 @@ def test_readers(spark, tmp_path):
         readers.content_hash(spark, p, "crc")
 
 
+def test_content_hash_of_files_that_are_not_held_as_one_value(spark, tmp_path):
+    noise = np.random.default_rng(3).integers(0, 256, 40_000, np.uint8).tobytes()
+    mark = b"\xef\xbb\xbf"
+    files = {"a": noise, "b": noise + b"\n", "c": mark + noise, "d": mark + b"\n" + noise + b"\n", "e": b"\n" * 5000, "f": b"x" * 5000, "g [1]*": b"\r\n" * 3000 + b"\r", "h": b"small", "i": mark * 2 + b"\n\n" + noise}
+    for name, data in files.items():
+        (tmp_path / name).write_bytes(data)
+    (tmp_path / "j.gz").write_bytes(gzip.compress(noise))
+    files["j.gz"] = (tmp_path / "j.gz").read_bytes()
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1500")
+    try:
+        for algorithm in ("sha256", "sha1"):
+            got = {r.path.rsplit("/", 1)[1]: (r.hash, r.size_bytes) for r in readers.content_hash(spark, str(tmp_path), algorithm, whole_bytes=100).collect()}
+            assert got == {name: (hashlib.new(algorithm, data).hexdigest(), len(data)) for name, data in files.items()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
 def test_json_documents(spark, tmp_path):
     docs = ['[{"a":1,"b":"x"},{"a":2}]', '{"data":[{"a":3}],"results":[{"a":9}]}', '{"items":[{"a":4}]}', '{"a":5,"b":"[z"}', '{"data":"no list","rows":[{"a":6}]}']
     df = spark.createDataFrame([(i, d) for i, d in enumerate(docs)], "id int, body string")
