@@ -12,13 +12,14 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabspark.columns import aggregate_once, as_list, category_columns, col, numeric_columns, require
+from tabspark.columns import aggregate_once, as_list, category_columns, col, numeric_columns, quoted, require
 from tabspark.functions.lookup import lookup
 from tabspark.functions.order_stats import bucket_count, column_quantiles, order_code, with_range_bucket
 
 ORDERED = ("forward", "backward", "interpolate")
 NUMERIC = ("mean", "median", *ORDERED, "fill_grouped_mode")
 TEXT = ("fill", "mode", "fill_grouped_mode")
+UNKEYED_BUCKETS = 64  # fewest buckets of an ordered fill without partition keys
 EMPTY_GROUP_NUMBER = 1e-8  # value given to a group without any number (fixed value)
 
 
@@ -135,28 +136,27 @@ def ordered_fill(df: DataFrame, strategies: Mapping[str, str], order_by, partiti
         raise ValueError("ordered fills need order_by: rows have no order of their own")
     require(df, [*order, *keys, *strategies])
     if buckets is None:
-        buckets = bucket_count(df.count() if rows is None else rows)
+        # without keys only the buckets part the rows: a dozen of them, dealt by hash, would leave a third of a table to one task
+        buckets = bucket_count(df.count() if rows is None else rows, *([] if keys else [UNKEYED_BUCKETS]))
     coded = with_range_bucket(df.withColumn("__code", order_code(df, order[0])), [], "__code", buckets).drop("__code")
     parts = [col(k) for k in keys]
     inside = Window.partitionBy(*parts, "__bucket").orderBy(*[col(o) for o in order])
     back = inside.rowsBetween(Window.unboundedPreceding, 0)
-    # looking ahead is looking back in reverse order: a frame that ends at the last row is added up anew for every row
-    ahead = Window.partitionBy(*parts, "__bucket").orderBy(F.desc("__at")).rowsBetween(Window.unboundedPreceding, 0)
-    spot = coded.withColumn("__at", F.row_number().over(inside).cast("long"))
+    # looking ahead is a lead over the same sorted rows: a frame that ends at the last row is added up anew for every row
+    ahead = f"OVER (PARTITION BY {', '.join([*map(quoted, keys), '__bucket'])} ORDER BY {', '.join(map(quoted, order))})"
     names = list(strategies)
+    numbered = coded.withColumn("__at", F.row_number().over(inside).cast("long"))
+    spot = numbered.select("*", *[F.when(col(c).isNotNull(), F.struct(F.col("__at").alias("at"), col(c).alias("v"))).alias(f"__cell{i}") for i, c in enumerate(names)])
     local = spot.select(
         "*",
-        *[F.last(F.when(col(c).isNotNull(), F.struct(F.col("__at").alias("at"), col(c).alias("v"))), ignorenulls=True).over(back).alias(f"__prev{i}")
-          for i, c in enumerate(names) if strategies[c] != "backward"],
-        *[F.last(F.when(col(c).isNotNull(), F.struct(F.col("__at").alias("at"), col(c).alias("v"))), ignorenulls=True).over(ahead).alias(f"__next{i}")
-          for i, c in enumerate(names) if strategies[c] != "forward"],
+        *[F.last(f"__cell{i}", ignorenulls=True).over(back).alias(f"__prev{i}") for i, c in enumerate(names) if strategies[c] != "backward"],
+        *[F.expr(f"lead(__cell{i}) IGNORE NULLS {ahead}").alias(f"__next{i}") for i, c in enumerate(names) if strategies[c] != "forward"],
     )
     # one row per (partition, bucket): size, first and last known cell of each column
-    cell = {c: F.when(col(c).isNotNull(), F.struct(F.col("__at").alias("at"), col(c).alias("v"))) for c in names}
     summary = spot.groupBy(*parts, "__bucket").agg(
         F.count(F.lit(1)).alias("__n"),
-        *[F.max_by(cell[c], F.when(col(c).isNotNull(), F.col("__at"))).alias(f"__last{i}") for i, c in enumerate(names)],
-        *[F.min_by(cell[c], F.when(col(c).isNotNull(), F.col("__at"))).alias(f"__first{i}") for i, c in enumerate(names)],
+        *[F.max_by(f"__cell{i}", f"__cell{i}.at").alias(f"__last{i}") for i in range(len(names))],
+        *[F.min_by(f"__cell{i}", f"__cell{i}.at").alias(f"__first{i}") for i in range(len(names))],
     )
     across = Window.partitionBy(*parts) if parts else Window.partitionBy(F.lit(0))
     before, after = (across.orderBy(o).rowsBetween(Window.unboundedPreceding, -1) for o in ("__bucket", F.desc("__bucket")))

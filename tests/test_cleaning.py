@@ -1,5 +1,6 @@
 import gzip
 import hashlib
+import re
 
 import numpy as np
 import pandas as pd
@@ -199,3 +200,21 @@ def test_ordered_fill_has_no_frame_that_is_added_up_anew_for_every_row(spark, ho
     want = want.bfill() if how == "backward" else want.interpolate()
     got = out.toPandas().sort_values("id").v
     assert [None if x != x else x for x in got] == [None if x != x else x for x in want]
+
+
+def test_ordered_fill_looks_both_ways_in_one_sort_of_even_tasks(spark):
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", "12")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        df = spark.range(24_000).select(F.col("id").alias("o`x y"), F.when(F.col("id") % 3000 == 700, F.col("id").cast("double")).alias("v"), F.lit("k").alias("g.h"))
+        out = missing.ordered_fill(df, {"v": "interpolate"}, "o`x y", rows=6_000_000)  # buckets as for so many rows
+        sizes = [r["n"] for r in out.groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n"), F.max("v")).collect()]
+        assert sum(sizes) == 24_000 and max(sizes) < 24_000 / 4
+        assert not re.search(r"__at#\d+L? DESC", out._jdf.queryExecution().executedPlan().toString())
+        want = df.toPandas().sort_values("o`x y").v.interpolate()
+        for filled in (out, missing.ordered_fill(df, {"v": "interpolate"}, "o`x y", "g.h")):
+            assert np.allclose(filled.toPandas().sort_values("o`x y").v, want, equal_nan=True)
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
