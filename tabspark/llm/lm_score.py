@@ -46,6 +46,9 @@ STEPS = 4  # histogram bins an octave
 PIECE_ROWS = 1 << 12
 HEADS, TAIL, AFTER, BOTH, COUNTS = range(5)  # bigrams: no word outside the head, the second, the first, both; and counts of first words
 ROOM = 1_500_000  # distinct entries that a task gathers before it sends them
+SHARES = 8  # a task sorts what it holds in so many shares, one after another
+BLOCK = 1 << 18  # entries with temporary arrays at a time
+ROW_PAIRS = 1 << 15  # bigrams in a row on their way to be counted
 
 
 @dataclass
@@ -118,13 +121,14 @@ def unigrams(docs: DataFrame) -> DataFrame:
         held: list[tuple[np.ndarray, np.ndarray]] = []
 
         def flush():
-            keys = np.concatenate([k for k, _ in held])
-            values, back = np.unique(keys, return_inverse=True)
-            sums = [np.bincount(back, np.concatenate([c[j] for _, c in held]), len(values)).astype(np.int64) for j in (0, 1)]
+            keys, numbers = (np.concatenate([h[j] for h in held], axis=-1) for j in (0, 1))
             held.clear()
-            for i in range(0, len(values), 1 << 18):
-                part = slice(i, i + (1 << 18))
-                yield pa.RecordBatch.from_pydict({"token": values[part].view(np.int64), "n": sums[0][part], "kept": sums[1][part]})
+            for at in _shares(keys, 61):
+                values, back = np.unique(keys[at], return_inverse=True)
+                sums = [np.bincount(back, x[at], len(values)).astype(np.int64) for x in numbers]
+                for i in range(0, len(values), BLOCK):
+                    part = slice(i, i + BLOCK)
+                    yield pa.RecordBatch.from_pydict({"token": values[part].view(np.int64), "n": sums[0][part], "kept": sums[1][part]})
 
         for batch in _small(batches):
             tokens, text = _sequence(batch)
@@ -218,7 +222,25 @@ def _counted_words(data: list[bytes], part: int) -> tuple[np.ndarray, np.ndarray
 
 
 def _slices(keys: np.ndarray, n: int) -> np.ndarray:
-    return (mix(keys ^ U(0xABCDEF)) % U(n)).astype(np.int64)
+    out = np.empty(len(keys), np.int64)
+    for i in range(0, len(keys), BLOCK):
+        out[i : i + BLOCK] = mix(keys[i : i + BLOCK] ^ U(0xABCDEF)) % U(n)
+    return out
+
+
+def _shares(keys: np.ndarray, bit: int = 0) -> Iterator[np.ndarray]:
+    """Positions of the keys in each of ``SHARES`` shares, by their bits from one on: equal keys are in the same share."""
+    share = np.empty(len(keys), np.uint8)
+    for i in range(0, len(keys), BLOCK):
+        share[i : i + BLOCK] = (keys[i : i + BLOCK] >> keys.dtype.type(bit)) & keys.dtype.type(SHARES - 1)
+    for i in range(SHARES):
+        yield np.flatnonzero(share == i)
+
+
+def _alike(keys: np.ndarray, what: np.ndarray) -> np.ndarray:
+    """For each entry, the sum of ``what`` over the entries with its key."""
+    values, back = np.unique(keys, return_inverse=True)
+    return np.bincount(back, what, len(values))[back]
 
 
 def _groups(where: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
@@ -233,6 +255,12 @@ def _tail_key(tokens: np.ndarray, before: np.ndarray) -> np.ndarray:
     return mix(tokens + before.astype(U) * U(0x9FB21C651E98DF25))
 
 
+def _merged(one: np.ndarray, two: np.ndarray | None, *numbers: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Distinct bigrams (those of the head are one number) with the sums of their numbers."""
+    keys, at, back = np.unique(one if two is None else _tail_key(one, two), return_index=True, return_inverse=True)
+    return one[at], None if two is None else two[at], *(np.bincount(back, x, len(keys)) for x in numbers)
+
+
 def _bins(ratio: np.ndarray) -> np.ndarray:
     """0 for no evidence, else quarter octaves from 2 ** -15."""
     return np.where(ratio > 0, np.clip(np.rint(STEPS * np.log2(np.maximum(ratio, 1e-300))) + 60, 1, 255), 0).astype(np.int64)
@@ -270,17 +298,19 @@ def weights(docs: DataFrame, v: Vocabulary, n_slices: int, most: int = HOT, own:
         voc, held = shared.value, {j: [] for j in (HEADS, TAIL, AFTER, BOTH)}
 
         def send(kind):
-            parts = held[kind]
+            parts, held[kind] = held[kind], []
             if not parts:
                 return
-            keys = np.concatenate([p[0] for p in parts])
-            values, at, back = np.unique(keys, return_index=True, return_inverse=True)
-            sums = np.stack([np.bincount(back, np.concatenate([p[1][j] for p in parts]), len(values)) for j in (0, 1)]).astype(np.uint32)
-            one, two = (np.concatenate([p[j] for p in parts])[at] for j in (2, 3)) if kind != HEADS else (values, values)
+            sums, one, two = (np.concatenate([p[j] for p in parts], axis=-1) if j < len(parts[0]) else None for j in range(3))
             parts.clear()
-            for s, part in _groups(_slices(one, n_slices)):
-                pairs = _packed(values[part], 5) if kind == HEADS else one[part].tobytes() + _packed(two[part], 8 if kind == BOTH else 4)
-                yield pa.RecordBatch.from_pydict({"slice": [s], "kind": pa.array([kind], pa.int32()), "pairs": [pairs], "kept": [sums[0][part].tobytes()], "gone": [sums[1][part].tobytes()]})
+            where = _slices(one, n_slices)
+            for at in _shares(where):  # some slices at a time
+                a, b, k, g = _merged(one[at], None if two is None else two[at], *sums[:, at])
+                for s, part in _groups(_slices(a, n_slices)):
+                    for i in range(0, len(part), ROW_PAIRS):
+                        x = part[i : i + ROW_PAIRS]
+                        pairs = _packed(a[x], 5) if kind == HEADS else a[x].tobytes() + _packed(b[x], 8 if kind == BOTH else 4)
+                        yield pa.RecordBatch.from_pydict({"slice": [s], "kind": pa.array([kind], pa.int32()), "pairs": [pairs], "kept": [k[x].astype(np.uint32).tobytes()], "gone": [g[x].astype(np.uint32).tobytes()]})
 
         for batch in _small(batches):
             tokens, text = _sequence(batch)
@@ -292,13 +322,14 @@ def weights(docs: DataFrame, v: Vocabulary, n_slices: int, most: int = HOT, own:
                 # a bigram outside the head keeps the word whose slice it goes to, and the other one
                 one = last[k] if kind == AFTER else tokens[k]
                 two = last[k] if kind == BOTH else ids[k].astype(U) if kind == AFTER else before[k].astype(U)
-                keys = _tail_key(one, two) if kind != HEADS else (two << U(18) | ids[k].astype(U))
-                values, at, back = np.unique(keys, return_index=True, return_inverse=True)
-                gone = np.bincount(back, rest[k] == DELETED, len(values))
-                parts.append((values, np.stack([np.bincount(back, minlength=len(values)) - gone, gone]), *((one[at], two[at]) if kind != HEADS else ())))
-            if sum(len(p[0]) for p in held[HEADS]) > ROOM:
+                if kind == HEADS:
+                    one, two = two << U(18) | ids[k].astype(U), None
+                gone = rest[k] == DELETED
+                one, two, *sums = _merged(one, two, ~gone, gone)
+                parts.append((np.stack(sums).astype(np.uint32), one, *(() if two is None else (two,))))
+            if sum(len(p[1]) for p in held[HEADS]) > ROOM:
                 yield from send(HEADS)
-            if sum(len(p[0]) for kind in (TAIL, AFTER, BOTH) for p in held[kind]) > ROOM:
+            if sum(len(p[1]) for kind in (TAIL, AFTER, BOTH) for p in held[kind]) > ROOM:
                 for kind in (TAIL, AFTER, BOTH):
                     yield from send(kind)
         for kind in held:
@@ -313,39 +344,38 @@ def weights(docs: DataFrame, v: Vocabulary, n_slices: int, most: int = HOT, own:
         def of(kind):
             t = group.filter(pc.equal(group.column("kind"), kind))
             pairs = t.column("pairs").to_pylist()
-            if kind == HEADS:
-                keys = _unpacked(pairs, 5)
-                one, two = keys & U((1 << 18) - 1), keys >> U(18)
-            else:
-                one, two = _two(pairs, 8 if kind == BOTH else 4)
-                keys = _tail_key(one, two)
-            keys, at, back = np.unique(keys, return_index=True, return_inverse=True)
-            kept, gone = (np.bincount(back, np.frombuffer(b"".join(t.column(c).to_pylist()), np.uint32), len(keys)) for c in ("kept", "gone"))
-            return one[at], two[at], kept, gone
+            one, two = (_unpacked(pairs, 5), None) if kind == HEADS else _two(pairs, 8 if kind == BOTH else 4)
+            return one, two, *(np.frombuffer(b"".join(t.column(c).to_pylist()), np.uint32) for c in ("kept", "gone"))
 
         def note(n, bucket, single, kept, gone):
             cell = (bucket * 256 + _bins(kept / np.maximum(n, 1) / uniform)) * 256 + _bins(single / total / uniform)
             for c, k in zip(*[x.tolist() for x in _summed(cell, gone)]):
                 hist[c] = hist.get(c, 0) + k
 
-        one, two, kept, gone = of(HEADS)
-        big = kept + gone > voc.total[0] / most
-        hot += zip((two[big] << U(18) | one[big]).tolist(), (kept + gone)[big].astype(int).tolist())
-        one, two, kept, gone = (x[gone > 0] for x in (one.astype(np.int64), two.astype(np.int64), kept, gone))
-        note(contexts[two], buckets[two], voc.counts[1][one], kept, gone)
+        keys, _, all_kept, all_gone = of(HEADS)
+        for at in _shares(keys):
+            key, _, kept, gone = _merged(keys[at], None, all_kept[at], all_gone[at])
+            big = kept + gone > voc.total[0] / most
+            one, two = (key & U((1 << 18) - 1)).astype(np.int64), (key >> U(18)).astype(np.int64)
+            hot += zip((two[big] << 18 | one[big]).tolist(), (kept + gone)[big].astype(int).tolist())
+            one, two, kept, gone = (x[gone > 0] for x in (one, two, kept, gone))
+            note(contexts[two], buckets[two], voc.counts[1][one], kept, gone)
+        del keys, all_kept, all_gone
         outside = {kind: of(kind) for kind in (TAIL, AFTER, BOTH)}
-        known, of_known = _summed(*(np.concatenate([outside[TAIL][j], outside[BOTH][j]]) for j in (0, 2)))
         firsts_of, first_counts = _counted_words(group.filter(pc.equal(group.column("kind"), COUNTS)).column("pairs").to_pylist(), 1)
-        for kind, (one, two, kept, gone) in outside.items():
-            one, two, kept, gone = (x[gone > 0] for x in (one, two, kept, gone))
-            of_one, other = _find(known, of_known, one), two.astype(np.int64)
-            if kind == TAIL:
-                note(contexts[other], buckets[other], of_one, kept, gone)
-            elif kind == AFTER:
-                note(of_one, _octave(of_one), voc.counts[1][other], kept, gone)
-            else:
-                n = _find(firsts_of, first_counts, two)
-                note(n, _octave(n), of_one, kept, gone)
+        for shares in zip(*[_shares(x[0]) for x in outside.values()]):
+            mine = {kind: _merged(*(x[at] for x in whole)) for (kind, whole), at in zip(outside.items(), shares)}
+            known, of_known = _summed(*(np.concatenate([mine[TAIL][j], mine[BOTH][j]]) for j in (0, 2)))
+            for kind, (one, two, kept, gone) in mine.items():
+                one, two, kept, gone = (x[gone > 0] for x in (one, two, kept, gone))
+                of_one, other = _find(known, of_known, one), two.astype(np.int64)
+                if kind == TAIL:
+                    note(contexts[other], buckets[other], of_one, kept, gone)
+                elif kind == AFTER:
+                    note(of_one, _octave(of_one), voc.counts[1][other], kept, gone)
+                else:
+                    n = _find(firsts_of, first_counts, two)
+                    note(n, _octave(n), of_one, kept, gone)
         cells, numbers = [-1 - k for k, _ in hot] + list(hist), [n for _, n in hot] + list(hist.values())
         return pa.table({"cell": pa.array(cells, pa.int64()), "n": pa.array(numbers, pa.float64())})
 
@@ -383,6 +413,22 @@ def maximise(cells: np.ndarray, n: np.ndarray, rounds: int = 40) -> np.ndarray:
     return out / out.sum(axis=1, keepdims=True)
 
 
+def _by_text(sizes: list[np.ndarray], records: tuple[np.ndarray, ...], values: list[np.ndarray], facts: np.ndarray) -> list[tuple[bytes, bytes]]:
+    """For each row: its texts, and sums over their tokens of two facts (of the second kind of record) and the values; some rows at a time."""
+    ends = [np.concatenate([[0], np.cumsum(n)]) for n in sizes]
+    run = sum(ends)[1:] // BLOCK
+    cuts, out = [0, *(np.flatnonzero(np.diff(run)) + 1).tolist(), len(run)], []
+    for a, b in zip(cuts, cuts[1:]):
+        part = [slice(e[a], e[b]) for e in ends]
+        cell = np.concatenate([np.repeat(np.arange(a, b), n[a:b]) << 12 | (r[p] & U(4095)).astype(np.int64) for n, r, p in zip(sizes, records, part)])
+        cell, back = np.unique(cell, return_inverse=True)
+        tails = back[part[0].stop - part[0].start :][: part[1].stop - part[1].start]
+        sums = np.column_stack([*(np.bincount(tails, f[part[1]], len(cell)) for f in facts), np.bincount(back, np.concatenate([v[p] for v, p in zip(values, part)]), len(cell))])
+        at = np.searchsorted(cell >> 12, np.arange(a, b + 1))
+        out += [((cell[i:j] & 4095).astype(np.uint16).tobytes(), sums[i:j].tobytes()) for i, j in zip(at, at[1:])]
+    return out
+
+
 def score(docs: DataFrame, head: int = HEAD, slice_size: int = SLICE, most: int = HOT, own_contexts: bool = False) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row."""
     spark = docs.sparkSession
@@ -405,20 +451,16 @@ def score(docs: DataFrame, head: int = HEAD, slice_size: int = SLICE, most: int
         t = shared.value[1][bucket]
         return np.log10(t[:, 0] * pair / np.maximum(n, 1) + t[:, 1] * single / max(1, total) + t[:, 2] * uniform)
 
-    def mixed_heads(before, pair, ids):
-        voc, out = shared.value[0], np.empty(len(ids))
-        contexts, buckets = voc.contexts(0)
-        for i in range(0, len(ids), 1 << 18):  # the factors of some records at a time
-            part = slice(i, i + (1 << 18))
-            out[part] = mixed(contexts[before[part]], buckets[before[part]], pair[part], voc.counts[0][ids[part]])
-        return out
+    def mixed_heads(contexts, before, pair, ids):
+        n, bucket = (x[before] for x in contexts)
+        return mixed(n, bucket, pair, shared.value[0].counts[0][ids])
 
     def base(counts):
         return np.log10(counts + 0.1) - floor
 
     def deal(batches):
         voc, _, hot_keys, hot_counts = shared.value
-        task = TaskContext.get().partitionId() << 32
+        task, contexts = TaskContext.get().partitionId() << 32, voc.contexts(0)
         for number, batch in enumerate(_small(batches)):
             tokens, text = _sequence(batch)
             ids, before = _dealt(voc, tokens, text)
@@ -430,7 +472,7 @@ def score(docs: DataFrame, head: int = HEAD, slice_size: int = SLICE, most: int
             warm = (kinds == HEADS) & (hot_keys[at] == keys) if len(hot_keys) else np.zeros(len(keys), bool)
             here = np.zeros(n)
             if warm.any():
-                here = np.bincount(text[warm], mixed_heads(before[warm], hot_counts[at[warm]], ids[warm]), n)
+                here = np.bincount(text[warm], mixed_heads(contexts, before[warm], hot_counts[at[warm]], ids[warm]), n)
             single = voc.counts[0][ids[~tail]]
             yield pa.RecordBatch.from_pydict({
                 "slice": [-1 - number % n_slices], "block": block, "head": [batch.column("doc_id").cast(pa.int64()).fill_null(0).to_numpy().tobytes()],
@@ -454,52 +496,38 @@ def score(docs: DataFrame, head: int = HEAD, slice_size: int = SLICE, most: int
         voc = shared.value[0]
         if group.column("slice")[0].as_py() < 0:
             return group.select(["block", "head", "tail"])
-        given = pc.less(group.column("block"), 0)
-        firsts_of, first_counts = _counted_words(group.filter(given).column("word").to_pylist(), 0)
-        group = group.filter(pc.invert(given))
-        block = group.column("block").to_numpy()
-        heads, notes, own, first, after = (group.column(c).to_pylist() for c in ("head", "tail", "word", "first", "after"))
-        record = _unpacked(heads, 7)
-        row = [np.repeat(np.arange(len(block)), [len(x) // 7 for x in heads])]
-        keys, back = np.unique(record >> U(13), return_inverse=True)
-        pair = np.bincount(back, (record >> U(12)) & U(1), len(keys))[back]
-        before, ids = (record >> U(31)).astype(np.int64), ((record >> U(13)) & U((1 << 18) - 1)).astype(np.int64)
-        text = [(record & U(4095)).astype(np.int64)]
-        value, facts = [mixed_heads(before, pair, ids)], np.zeros((0, 2))
-        del keys, back, pair, before, ids
-        note, tokens = _unpacked(notes, 4), np.frombuffer(b"".join(own), U)
-        known, back = np.unique(tokens, return_inverse=True)
-        train, of_known = (note >> U(12)) & U(1), np.zeros(len(known))
-        if len(note):
+        block, given = group.column("block").to_numpy(), pc.less(group.column("block"), 0)
+        firsts_of, first_counts = _counted_words(group.column("word").filter(given).to_pylist(), 0)
+        tokens = np.frombuffer(b"".join(group.column("word").filter(pc.invert(given)).to_pylist()), U)
+        firsts = np.frombuffer(b"".join(group.column("first").to_pylist()), U)
+        record, note = _unpacked(group.column("head").to_pylist(), 7), _unpacked(group.column("tail").to_pylist(), 4)
+        one, after = _two(group.column("after").to_pylist(), 4)
+        sizes = [pc.binary_length(group.column(c)).to_numpy().astype(np.int64) // width for c, width in (("head", 7), ("tail", 4), ("after", 12))]
+        contexts, values, facts = voc.contexts(0), [np.empty(len(x)) for x in (record, note, after)], np.empty((2, len(note)))
+        for at in _shares(record, 13):
+            r = record[at]
+            pair = _alike(r >> U(13), (r >> U(12)) & U(1))
+            values[0][at] = mixed_heads(contexts, (r >> U(31)).astype(np.int64), pair, ((r >> U(13)) & U((1 << 18) - 1)).astype(np.int64))
+        other = note >> U(13)
+        both = np.flatnonzero(other == U(voc.rare)) if own_contexts else np.zeros(0, np.int64)
+        in_head = np.ones(len(note), bool)
+        in_head[both], other[both] = False, firsts
+        for at, later in zip(_shares(tokens), _shares(one)):  # a word outside the head is counted where it comes second
+            train, heads = (note[at] >> U(12)) & U(1), in_head[at]
+            known, back = np.unique(tokens[at], return_inverse=True)
             of_known = np.bincount(back, train, len(known))
-            single, other = of_known[back], note >> U(13)
-            n, bucket = (x[other.astype(np.int64)] for x in voc.contexts(0))
-            if own_contexts:
-                both = other == U(voc.rare)
-                other[both] = np.frombuffer(b"".join(first), U)
-                n[both] = _find(firsts_of, first_counts, other[both])
-                bucket[both] = _octave(n[both])
-            same, back = np.unique(_tail_key(tokens, other), return_inverse=True)
-            pair = np.bincount(back, train, len(same))[back]
-            row.append(np.repeat(np.arange(len(block)), [len(x) // 4 for x in notes]))
-            text.append((note & U(4095)).astype(np.int64))
-            value.append(mixed(n, bucket, pair, single))
-            facts = np.column_stack([single > 0, base(single)])
-        one, note = _two(after, 4)
-        if len(note):
-            n, ids = _find(known, of_known, one), note >> U(13)
-            same, back = np.unique(_tail_key(one, ids), return_inverse=True)
-            pair = np.bincount(back, (note >> U(12)) & U(1), len(same))[back]
-            row.append(np.repeat(np.arange(len(block)), [len(x) // 12 for x in after]))
-            text.append((note & U(4095)).astype(np.int64))
-            value.append(mixed(n, _octave(n), pair, voc.counts[0][ids.astype(np.int64)]))
-        row, text, value = np.concatenate(row), np.concatenate(text), np.concatenate(value)
-        cell, back = np.unique(row << 12 | text, return_inverse=True)
-        tails = back[len(record) : len(record) + len(facts)]
-        sums = np.column_stack([*(np.bincount(tails, facts[:, j], len(cell)) for j in (0, 1)), np.bincount(back, value, len(cell))])
-        cuts = np.searchsorted(cell >> 12, np.arange(len(block) + 1))
-        return pa.table({"block": block, "head": pa.array([(cell[a:b] & 4095).astype(np.uint16).tobytes() for a, b in zip(cuts, cuts[1:])], pa.binary()),
-                         "tail": pa.array([sums[a:b].tobytes() for a, b in zip(cuts, cuts[1:])], pa.binary())}).cast(pa.schema([("block", pa.int64()), ("head", pa.binary()), ("tail", pa.binary())]))
+            single, before = of_known[back], other[at]
+            n, bucket = (x[np.where(heads, before, U(0)).astype(np.int64)] for x in contexts)
+            n[~heads] = _find(firsts_of, first_counts, before[~heads])
+            bucket[~heads] = _octave(n[~heads])
+            values[1][at] = mixed(n, bucket, _alike(_tail_key(tokens[at], before), train), single)
+            facts[:, at] = single > 0, base(single)
+            ids, n = after[later] >> U(13), _find(known, of_known, one[later])
+            pair = _alike(_tail_key(one[later], ids), (after[later] >> U(12)) & U(1))
+            values[2][later] = mixed(n, _octave(n), pair, voc.counts[0][ids.astype(np.int64)])
+        out = _by_text(sizes, (record, note, after), values, facts)
+        rows = np.flatnonzero(block >= 0)
+        return pa.table({"block": pa.array(block[rows], pa.int64()), **{c: pa.array([out[i][j] for i in rows], pa.binary()) for j, c in enumerate(("head", "tail"))}})
 
     def gather(group: pa.Table) -> pa.Table:
         heads, tails = group.column("head").to_pylist(), group.column("tail").to_pylist()

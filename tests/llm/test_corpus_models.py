@@ -93,6 +93,37 @@ def test_language_model_does_not_depend_on_the_size_of_the_head(spark, hot):
         assert a[:5] == b[:5] == c[:5] and a[5:] == pytest.approx(b[5:]) and a[5:] == pytest.approx(c[5:])
 
 
+def test_language_model_sorts_a_slice_in_shares(spark, monkeypatch, tmp_path):
+    """A task holds its records and their values, not several sorted copies of all of them."""
+    from pyspark.sql.pandas.group_ops import PandasGroupedOpsMixin
+
+    inner, folder = PandasGroupedOpsMixin.applyInArrow, str(tmp_path)
+
+    def measured(self, task, schema):
+        def run(group):
+            import os
+            import tracemalloc
+
+            tracemalloc.start()
+            try:
+                out = task(group)
+                with open(os.path.join(folder, task.__name__), "a") as f:
+                    f.write(f"{tracemalloc.get_traced_memory()[1]}\n")
+            finally:
+                tracemalloc.stop()
+            return out
+
+        run.__annotations__ = dict(task.__annotations__)
+        return inner(self, run, schema)
+
+    monkeypatch.setattr(PandasGroupedOpsMixin, "applyInArrow", measured)
+    docs = spark.range(3000, numPartitions=4).selectExpr("id AS doc_id", "concat_ws(' ', transform(sequence(1, 800), x -> concat('w', pmod(xxhash64(id, x), 20000)))) AS text")
+    assert lm_score.score(docs, own_contexts=True).count() == 3000
+    records = 3000 * 801 / 8
+    for name, most in (("learn", 50), ("rate", 80)):
+        assert max(map(int, (tmp_path / name).read_text().split())) / records < most, name
+
+
 def test_language_model_of_nothing(spark):
     empty = spark.createDataFrame([], "doc_id bigint, text string")
     assert lm_score.score(empty).count() == 0
