@@ -44,6 +44,7 @@ END = int(mix(np.array([0x5EED], U))[0])
 RARE_BUCKET, START_BUCKET, NO_CONTEXT, BUCKETS = 48, 49, 50, 51
 STEPS = 4  # histogram bins an octave
 PIECE_ROWS = 1 << 12
+WORD_BYTES = 1 << 19  # text bytes that are cut into words at a time
 HEADS, TAIL, AFTER, BOTH, COUNTS = range(5)  # bigrams: no word outside the head, the second, the first, both; and counts of first words
 ROOM = 1_500_000  # distinct entries that a task gathers before it sends them
 SHARES = 8  # a task sorts what it holds in so many shares, one after another
@@ -104,9 +105,12 @@ class Vocabulary:
 
 def _sequence(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     """Token hashes of all texts with their ends, and the text of each token."""
-    w = words(*flat(text_column(batch, "text")), SOLID)
-    n = batch.num_rows
-    return np.insert(w.hash, w.first[1:], U(END)), np.repeat(np.arange(n), np.diff(w.first) + 1)
+    hashes, sizes = [], []
+    for part in pieces(iter([batch]), size=WORD_BYTES):
+        w = words(*flat(text_column(part, "text")), SOLID)
+        hashes.append(np.insert(w.hash, w.first[1:], U(END)))
+        sizes.append(np.diff(w.first) + 1)
+    return np.concatenate(hashes), np.repeat(np.arange(batch.num_rows), np.concatenate(sizes))
 
 
 def _small(batches) -> Iterator[pa.RecordBatch]:
@@ -130,12 +134,15 @@ def unigrams(docs: DataFrame) -> DataFrame:
                     part = slice(i, i + BLOCK)
                     yield pa.RecordBatch.from_pydict({"token": values[part].view(np.int64), "n": sums[0][part], "kept": sums[1][part]})
 
-        for batch in _small(batches):
+        def take(batch):
             tokens, text = _sequence(batch)
             rest = batch.column("rest").to_numpy()[text]
             tokens, kept = tokens[rest != HELD], rest[rest != HELD] != DELETED
             values, back = np.unique(tokens, return_inverse=True)
             held.append((values, np.stack([np.bincount(back, minlength=len(values)), np.bincount(back, kept, len(values))]).astype(np.int32)))
+
+        for batch in _small(batches):
+            take(batch)
             if sum(len(k) for k, _ in held) > ROOM:
                 yield from flush()
         if held:
@@ -178,7 +185,7 @@ def _dealt(v: Vocabulary, tokens: np.ndarray, text: np.ndarray) -> tuple[np.ndar
 
 
 def _kinds(v: Vocabulary, ids: np.ndarray, before: np.ndarray, own: bool) -> np.ndarray:
-    return (ids == v.rare) + 2 * (own & (before == v.rare))
+    return (ids == v.rare) + np.int8(2) * (own & (before == v.rare))
 
 
 def _octave(n: np.ndarray) -> np.ndarray:
@@ -301,18 +308,17 @@ def weights(docs: DataFrame, v: Vocabulary, n_slices: int, most: int = HOT, own:
             parts, held[kind] = held[kind], []
             if not parts:
                 return
-            sums, one, two = (np.concatenate([p[j] for p in parts], axis=-1) if j < len(parts[0]) else None for j in range(3))
-            parts.clear()
-            where = _slices(one, n_slices)
-            for at in _shares(where):  # some slices at a time
-                a, b, k, g = _merged(one[at], None if two is None else two[at], *sums[:, at])
+            shares = [list(_shares(_slices(p[1], n_slices))) for p in parts]
+            for i in range(SHARES):  # some slices at a time
+                sums, one, two = (np.concatenate([p[j][..., at[i]] for p, at in zip(parts, shares)], axis=-1) if j < len(parts[0]) else None for j in range(3))
+                a, b, k, g = _merged(one, two, *sums)
                 for s, part in _groups(_slices(a, n_slices)):
-                    for i in range(0, len(part), ROW_PAIRS):
-                        x = part[i : i + ROW_PAIRS]
+                    for j in range(0, len(part), ROW_PAIRS):
+                        x = part[j : j + ROW_PAIRS]
                         pairs = _packed(a[x], 5) if kind == HEADS else a[x].tobytes() + _packed(b[x], 8 if kind == BOTH else 4)
                         yield pa.RecordBatch.from_pydict({"slice": [s], "kind": pa.array([kind], pa.int32()), "pairs": [pairs], "kept": [k[x].astype(np.uint32).tobytes()], "gone": [g[x].astype(np.uint32).tobytes()]})
 
-        for batch in _small(batches):
+        def take(batch):
             tokens, text = _sequence(batch)
             ids, before = _dealt(voc, tokens, text)
             rest = batch.column("rest").to_numpy()[text]
@@ -327,6 +333,9 @@ def weights(docs: DataFrame, v: Vocabulary, n_slices: int, most: int = HOT, own:
                 gone = rest[k] == DELETED
                 one, two, *sums = _merged(one, two, ~gone, gone)
                 parts.append((np.stack(sums).astype(np.uint32), one, *(() if two is None else (two,))))
+
+        for batch in _small(batches):
+            take(batch)
             if sum(len(p[1]) for p in held[HEADS]) > ROOM:
                 yield from send(HEADS)
             if sum(len(p[1]) for kind in (TAIL, AFTER, BOTH) for p in held[kind]) > ROOM:
@@ -482,15 +491,16 @@ def score(docs: DataFrame, head: int = HEAD, slice_size: int = SLICE, most: int
             cold = np.flatnonzero((kinds == HEADS) & ~warm)
             record = keys[cold] << U(13) | train[cold].astype(U) << U(12) | text[cold].astype(U)
             rest, after = np.flatnonzero(tail), np.flatnonzero(kinds == AFTER)
-            note = before.astype(U) << U(13) | train.astype(U) << U(12) | text.astype(U)
-            after_note = ids[after].astype(U) << U(13) | note[after] & U(8191)
+            note, after_note = (x.astype(U) << U(13) | train[k].astype(U) << U(12) | text[k].astype(U) for x, k in ((before[rest], rest), (ids[after], after)))
             head_of = dict(_groups(_slices(keys[cold], n_slices)))
             tail_of = dict(_groups(_slices(tokens[rest], n_slices)))
             after_of = dict(_groups(_slices(last[after], n_slices)))
+            del ids, at, before, train, text, keys, tail
             for s in sorted({*head_of, *tail_of, *after_of}):
-                a, b, c = head_of.get(s, cold[:0]), rest[tail_of.get(s, rest[:0])], after_of.get(s, after[:0])
-                yield pa.RecordBatch.from_pydict({"slice": [s], "block": block, "head": [_packed(np.sort(record[a]), 7)], "tail": [_packed(note[b], 4)], "word": [tokens[b].tobytes()],
-                                                  "first": [last[b][kinds[b] == BOTH].tobytes()], "after": [last[after][c].tobytes() + _packed(after_note[c], 4)]})
+                a, b, c = head_of.get(s, cold[:0]), tail_of.get(s, rest[:0]), after_of.get(s, after[:0])
+                words_ = rest[b]
+                yield pa.RecordBatch.from_pydict({"slice": [s], "block": block, "head": [_packed(np.sort(record[a]), 7)], "tail": [_packed(note[b], 4)], "word": [tokens[words_].tobytes()],
+                                                  "first": [last[words_][kinds[words_] == BOTH].tobytes()], "after": [last[after][c].tobytes() + _packed(after_note[c], 4)]})
 
     def rate(group: pa.Table) -> pa.Table:
         voc = shared.value[0]
