@@ -1,6 +1,7 @@
 """Boosted trees against a plain single-process version that tries every split."""
 
 import math
+import os
 
 import numpy as np
 import pandas as pd
@@ -204,3 +205,28 @@ def test_multiclass_contributions_add_up_to_each_margin(data, spark, tmp_path, s
     path = models.save_model(m, str(tmp_path), "r")
     again = models.load_model(spark, path)
     assert again.score(f.test(0), "p").orderBy("id").select("p").collect() == m.score(f.test(0), "p").orderBy("id").select("p").collect()
+
+
+@pytest.mark.parametrize("extra", [{}, {"growth": "leaf", "max_leaves": 6, "subsample": 0.7}, {"growth": "symmetric", "bagging_temperature": 1.0}])
+def test_small_tables_grow_the_same_trees_in_one_task(data, monkeypatch, extra):
+    pdf, df = data
+    s = Settings(n_estimators=3, max_depth=3, bins=20, **extra)
+    label, kind, n = ("cls", "softmax", 3) if not extra else ("y", "squared", 1)
+    rows = df.select("a", "b", "c", F.col(label).alias("__label"), "id")
+    train, held = rows.where("id % 4 > 0"), rows.where("id % 4 = 0")
+    monkeypatch.setattr(boosting.Trainer, "_best", lambda *_: pytest.fail("a job for a step"))
+    levels = {} if s.growth == "symmetric" else {"c": 5}
+    near = boosting.fit(train, ["a", "b", "c"], levels, kind, n, s, held)
+    monkeypatch.undo()
+    monkeypatch.setattr(boosting, "NEAR_BYTES", 0)
+    far = boosting.fit(train, ["a", "b", "c"], levels, kind, n, s, held)
+    assert len(near.losses) == 4 and np.allclose(near.losses, far.losses, rtol=1e-9)
+    for a, b in zip(sum(near.rounds, []), sum(far.rounds, []), strict=True):
+        assert (a.feature, a.threshold, a.levels, a.left, a.cover) == (b.feature, b.threshold, b.levels, b.left, b.cover) and np.allclose(a.value, b.value)
+
+
+def test_loss_curve_query_runs_every_round_of_the_preset(spark):
+    import __spark_entry__ as entry
+
+    got = entry.queries()["loss_curve"](spark, os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")).collect()
+    assert {(r.type, r.iterations) for r in got} == {(t, models.DEFAULTS["XGB"]["n_estimators"]) for t in ("train", "val")}
