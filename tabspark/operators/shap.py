@@ -201,11 +201,12 @@ def shap_long(shap: DataFrame, key) -> DataFrame:
     return exploded.select(*keys, "y_name", "output", "feature", "shap_value", F.col("x")[F.col("feature")].alias("value"))
 
 
-def shap_summary(long: DataFrame, max_display: int = MAX_DISPLAY) -> DataFrame:
-    """(y_name, output, feature, importance, rank) by mean absolute contribution."""
+def shap_summary(long: DataFrame, max_display: int | None = MAX_DISPLAY) -> DataFrame:
+    """(y_name, output, feature, importance, rank) by mean absolute contribution; ``max_display`` None keeps every feature."""
     mean = long.groupBy("y_name", "output", "feature").agg(F.avg(F.abs("shap_value")).alias("importance"))
     order = Window.partitionBy("y_name", "output").orderBy(F.desc("importance"), "feature")
-    return mean.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= max_display)
+    ranked = mean.withColumn("rank", F.row_number().over(order))
+    return ranked if max_display is None else ranked.filter(F.col("rank") <= max_display)
 
 
 def partners(shap: DataFrame, features: Sequence[str]) -> DataFrame:
@@ -228,21 +229,21 @@ class Dependence:
     turns: DataFrame  # feature, turn
 
 
-def shap_dependence(shap: DataFrame, key, top_n: int = 10, frac: float = 0.3, output: str | None = None, y_name: str | None = None) -> Dependence:
-    """Value against contribution of the strongest features, smoothed, with the steepest zero crossing."""
+def shap_dependence(shap: DataFrame, key, top_n: int | None = 10, frac: float = 0.3, output: str | None = None, y_name: str | None = None) -> Dependence:
+    """Value against contribution of the strongest features (all with ``top_n`` None), smoothed, with the steepest zero crossing."""
     one = shap.filter(F.col("output").eqNullSafe(F.lit(output)))
     if y_name is not None:
         one = one.filter(F.col("y_name") == y_name)
     one = materialize(one)  # contributions are worked out once, not in every pass below
     long = shap_long(one, key)
-    top = [r["feature"] for r in shap_summary(long, top_n).orderBy("rank").select("feature").collect()]  # top_n rows
+    top = [r["feature"] for r in shap_summary(long, top_n).orderBy("rank").select("feature").collect()]  # top_n rows, or one per feature
     names = [r[0] for r in one.select(F.explode(F.map_keys("shap"))).distinct().collect()]  # one row per feature
     points = long.filter(F.col("feature").isin(top)).join(F.broadcast(partners(one, sorted(names))), "feature", "left")
     line = density.lowess(points, ["feature"], "value", "shap_value", frac).select("feature", "x", "smooth")
     return Dependence(points, line, turning_points(line))
 
 
-def turning_points(line: DataFrame, rows_per_feature: int | None = None) -> DataFrame:
+def turning_points(line: DataFrame) -> DataFrame:
     """(feature, turn): where the smoothed line crosses zero most steeply; features without a crossing are left out."""
     order = Window.partitionBy("feature").orderBy("x")
     curve = line.groupBy("feature", "x").agg(F.avg("smooth").alias("smooth"))

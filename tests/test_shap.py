@@ -1,3 +1,4 @@
+import os
 from itertools import combinations
 from math import factorial
 
@@ -103,3 +104,21 @@ def test_dependence_works_out_contributions_once(spark):
     df = spark.range(60).select("id", F.lit("y").alias("y_name"), F.lit(None).cast("string").alias("output"), F.create_map(F.lit("a"), cell).alias("shap"), F.create_map(F.lit("a"), F.col("id") * 2.0).alias("x"))
     assert shap.shap_dependence(df, "id", top_n=1).line.count() == 60
     assert read.value <= 60
+
+
+def test_dependence_of_every_feature(spark):
+    names = [f"f{j:02d}" for j in range(shap.MAX_DISPLAY + 2)]
+    def cells(of):
+        return F.create_map(*[x for j, n in enumerate(names) for x in (F.lit(n), of(j))])
+    df = spark.range(40).select("id", F.lit("y").alias("y_name"), F.lit(None).cast("string").alias("output"),
+                                cells(lambda j: F.sin(F.col("id") * (j + 1.0))).alias("shap"), cells(lambda j: F.col("id") + 0.5 * j).alias("x"))
+    d = shap.shap_dependence(df, "id", top_n=None)
+    assert {r.feature for r in d.line.select("feature").distinct().collect()} == set(names) == {r.feature for r in d.points.select("feature").distinct().collect()}
+
+
+def test_dependence_query_covers_every_feature(spark):
+    import __spark_entry__ as entry
+    from tabspark.plans.catalog_models import FEATURES
+
+    line = entry.queries()["shap_dependence"](spark, os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001"))
+    assert {r.feature for r in line.select("feature").distinct().collect()} == set(FEATURES)
