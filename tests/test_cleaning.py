@@ -55,6 +55,27 @@ def test_content_hash_of_files_that_are_not_held_as_one_value(spark, tmp_path):
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
 
 
+@pytest.mark.parametrize("algorithm", ["sha256", "md5"])
+def test_content_hash_of_other_file_systems(spark, tmp_path, monkeypatch, algorithm):
+    monkeypatch.setattr(readers, "LOCAL", "none:/")
+    files = {"a": b"\xef\xbb\xbf" + b"x\n" * 400, "b c": b"small", "d.gz": gzip.compress(bytes(range(256)) * 9)}
+    for name, data in files.items():
+        (tmp_path / name).write_bytes(data)
+    got = {r.path.rsplit("/", 1)[1]: (r.hash, r.size_bytes) for r in readers.content_hash(spark, str(tmp_path), algorithm, whole_bytes=100).collect()}
+    assert got == {name: (hashlib.new(algorithm, data).hexdigest(), len(data)) for name, data in files.items()}
+
+
+def test_content_hash_holds_pieces_of_local_files(spark, tmp_path, monkeypatch):
+    """No column of contents, whatever the size of a file."""
+    monkeypatch.setattr(readers, "PIECE", 1000)
+    files = {"a b": bytes(range(256)) * 1000, "[c]*": b"z", "d%20": b"x" * 1000, "e.gz": gzip.compress(b"y" * 5000)}
+    for name, data in files.items():
+        (tmp_path / name).write_bytes(data)
+    found = readers.content_hash(spark, str(tmp_path))
+    assert "content:binary" not in found._jdf.queryExecution().executedPlan().toString()
+    assert {r.path.rsplit("/", 1)[1]: (r.hash, r.size_bytes) for r in found.collect()} == {name: (hashlib.sha256(data).hexdigest(), len(data)) for name, data in files.items()}
+
+
 def test_json_documents(spark, tmp_path):
     docs = ['[{"a":1,"b":"x"},{"a":2}]', '{"data":[{"a":3}],"results":[{"a":9}]}', '{"items":[{"a":4}]}', '{"a":5,"b":"[z"}', '{"data":"no list","rows":[{"a":6}]}']
     df = spark.createDataFrame([(i, d) for i, d in enumerate(docs)], "id int, body string")
