@@ -11,6 +11,8 @@ from collections.abc import Iterable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,6 +27,7 @@ PAIR_SCHEMA = "col_a string, col_b string, r double, p double, n bigint"
 JVM_COLUMNS = 16
 KENDALL_BLOCK = 400_000
 KENDALL_BLOCKS = 512
+NEAR_VALUES = 4_000_000  # distinct values of all columns whose ranks, 16 bytes each, go to every task
 
 
 def correlation_long(df: DataFrame, columns: Iterable[str] | None = None, method: str = "spearman",
@@ -125,21 +128,61 @@ def _pearson_blocks(df: DataFrame, names: list[str], pairs, means) -> dict:
 
 def _spearman_by_column(df: DataFrame, names: list[str], pairs, rows: int, small: int | None = None,
                         broadcast_rows: int | None = None) -> dict:
-    """No nulls: rank each column once, then pearson on the ranks."""
-    ranks = df.select(*[col(c).cast("double").alias(f"v{i}") for i, c in enumerate(names)])
-    from tabspark.columns import long_form
+    """No nulls: rank each column once, then pearson on the ranks.
 
-    values = long_form(df, names)
-    table = materialize(ranked_counts(values, ["name"], "value", rows=rows * len(names), small=small)
-                        .select("name", "value", "cnt", (F.col("before") + (F.col("cnt") + 1) / 2).alias("rank")))
-    for i, c in enumerate(names):
-        one = table.filter(F.col("name") == c).select(F.col("value").alias(f"v{i}"), F.col("cnt").alias("n"), F.col("rank").alias(f"r{i}"))
+    Ranks of few distinct values are sent to the tasks, which look them up in one pass over the rows; those of many are joined
+    column by column.
+    """
+    ranks = df.select(*[col(c).cast("double").alias(f"v{i}") for i, c in enumerate(names)])
+    cells = F.array(*[F.struct(F.lit(i).alias("at"), F.col(f"v{i}").alias("value")) for i in range(len(names))])
+    counts = materialize(ranks.select(F.inline(cells)).groupBy("at", "value").agg(F.count(F.lit(1)).alias("cnt")))
+    if counts.count() <= (NEAR_VALUES if broadcast_rows is None else broadcast_rows):
+        near = df.sparkSession.sparkContext.broadcast(_near_ranks(counts, len(names), rows))
+        found = _rank_products(ranks, near, rows)
+        near.destroy()
+        at = {c: i for i, c in enumerate(names)}
+        return {(x, y): found(at[x], at[y]) for x, y in pairs}
+    table = materialize(ranked_counts(counts, ["at"], "value", weight="cnt", rows=rows * len(names), small=small)
+                        .select("at", "value", "cnt", (F.col("before") + (F.col("cnt") + 1) / 2).alias("rank")))
+    for i in range(len(names)):
+        one = table.filter(F.col("at") == i).select(F.col("value").alias(f"v{i}"), F.col("cnt").alias("n"), F.col("rank").alias(f"r{i}"))
         ranks = lookup(ranks, one, [f"v{i}"], "n", broadcast_rows=broadcast_rows).drop(f"v{i}")
     renamed = ranks.select(*[F.col(f"r{i}").alias(c) for i, c in enumerate(names)])
     middle = (rows + 1) / 2
     return _pearson(renamed, names, pairs, {c: middle for c in names})
 
 
+def _near_ranks(counts: DataFrame, wide: int, rows: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(sorted values, mean rank of their copies less the middle rank) of each column, from at most ``NEAR_VALUES`` counts."""
+    found = counts.toArrow()
+    column, value, cnt = (found.column(c).to_numpy() for c in ("at", "value", "cnt"))
+    order = np.lexsort((value, column))
+    column, value, cnt = column[order], value[order], cnt[order].astype(float)
+    edges = np.searchsorted(column, np.arange(wide + 1))
+    return [(value[i:j], np.cumsum(cnt[i:j]) - (cnt[i:j] - 1) / 2 - (rows + 1) / 2) for i, j in zip(edges, edges[1:])]
+
+
+def _rank_products(df: DataFrame, ranks: Broadcast, rows: int):
+    """Sums of products of the ranks in one pass, a matrix product per Arrow batch and a row per task: the correlation of two columns."""
+    wide = len(df.columns)
+
+    def run(batches):
+        total = np.zeros((wide, wide + 1))
+        for batch in batches:
+            x = np.ones((wide + 1, batch.num_rows))
+            for i, (value, rank) in enumerate(ranks.value):
+                cells = batch.column(i).to_numpy(zero_copy_only=False)
+                order = np.argsort(cells) if len(value) > len(cells) else slice(None)  # in order a large table is walked through, not jumped about
+                x[i, order] = rank[np.searchsorted(value, cells[order])]
+            total += x[:wide] @ x.T
+        yield pa.RecordBatch.from_pydict({"sums": [total.ravel()]})
+
+    partial = df.mapInArrow(run, "sums array<double>")
+    cells = partial.select(F.posexplode("sums").alias("at", "v")).groupBy("at").agg(F.sum("v").alias("v")).collect()  # p (p + 1) numbers
+    total = np.array([r["v"] for r in sorted(cells)]).reshape(wide, wide + 1)
+    return lambda i, j: _from_sums(rows, total[i, -1], total[j, -1], total[i, i], total[j, j], total[i, j])
+
+
 def _pair_cells(df: DataFrame, pairs) -> DataFrame:
     """(pair, x, y, w): copies of each complete value pair."""
     cells = F.array(*[

@@ -57,6 +57,22 @@ def test_spearman_paths_agree(frame):
         assert correlation._spearman_by_pair(df, [("x", "z")], len(pdf), **kw)["x", "z"][1] == pytest.approx(want)
 
 
+def test_ranks_of_few_values_are_looked_up_in_one_pass(spark, monkeypatch):
+    """Ties, signed zeros and NaN; no join of the rows."""
+    rng = np.random.default_rng(9)
+    pdf = pd.DataFrame({"a": rng.integers(-3, 4, 500) * 0.5, "b": rng.normal(size=500), "c": rng.integers(0, 3, 500)})
+    pdf.loc[::7, "a"] = -0.0
+    pdf["b"] = pdf.b + pdf.a
+    df = spark.createDataFrame(pdf).repartition(4).withColumn("b", F.when(F.col("b") > 1.5, float("nan")).otherwise(F.col("b")))
+    pairs = [("a", "b"), ("a", "c"), ("b", "c")]
+    joined = correlation._spearman_by_column(df, ["a", "b", "c"], pairs, 500, small=0, broadcast_rows=0)
+    monkeypatch.setattr(correlation, "lookup", lambda *_, **__: pytest.fail("a join"))
+    near = correlation._spearman_by_column(df, ["a", "b", "c"], pairs, 500)
+    want = pdf.assign(b=pdf.b.where(pdf.b <= 1.5, np.inf)).rank().corr()
+    for pair in pairs:
+        assert near[pair][0] == 500 and near[pair][1] == pytest.approx(joined[pair][1], rel=1e-12) == pytest.approx(want.loc[pair], rel=1e-12)
+
+
 def test_block_products_equal_jvm_sums(frame):
     pdf, df = frame
     pairs = [("x", "y"), ("x", "z"), ("y", "z")]
