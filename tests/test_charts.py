@@ -133,3 +133,19 @@ def test_lowess_reads_its_rows_a_few_times_whatever_the_rounds(spark):
     df = spark.range(300).select(F.lit("a").alias("g"), F.udf(seen, "double")(F.col("id").cast("double")).alias("x"), (F.col("id") % 7).cast("double").alias("y"))
     assert density.lowess(df, ["g"], "x", "y").count() == 300
     assert read.value <= 20 * 300
+
+
+def test_lowess_of_few_groups_equals_the_joined_way(spark, monkeypatch):
+    """Null keys, far values, ties and a group without spread; the rows of few groups are not joined to their intervals."""
+    rng = np.random.default_rng(6)
+    pdf = pd.DataFrame({"g": np.where(np.arange(900) % 3 > 0, "a", "b"), "h": 1, "x": np.round(rng.normal(size=900), 2), "y": rng.normal(size=900)})
+    pdf.loc[5, "x"], pdf["y"] = 4_000.0, pdf.y + np.sin(pdf.x)
+    df = spark.createDataFrame(pdf).repartition(4).withColumn("g", F.when(F.col("g") == "a", "a")).unionByName(spark.sql("SELECT 'flat' AS g, 2L AS h, 1D AS x, CAST(id AS double) AS y FROM range(9)"))
+    calls, lookup = [], density.lookup
+    monkeypatch.setattr(density, "lookup", lambda *a, **k: calls.append(a) or lookup(*a, **k))
+    near = density.lowess(df, ["g", "h"], "x", "y", 0.3, bins=64)
+    got = near.toPandas().fillna("null").sort_values(["g", "x"])
+    assert len(calls) == 1 and near.columns == ["g", "h", "x", "smooth"] and len(got) == 900
+    monkeypatch.setattr(density, "NEAR_GROUPS", 0)
+    want = density.lowess(df, ["g", "h"], "x", "y", 0.3, bins=64).toPandas().fillna("null").sort_values(["g", "x"])
+    assert list(got.g) == list(want.g) and np.allclose(got.x, want.x) and np.allclose(got.smooth, want.smooth, rtol=1e-9, atol=1e-9)
